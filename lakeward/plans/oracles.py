@@ -162,3 +162,121 @@ FROM w
 LEFT JOIN a ON a.name = w.view_name AND a.space = w.view_space
 LEFT JOIN lp ON lp.name = w.view_name AND lp.space = w.view_space
 LEFT JOIN lu ON lu.name = w.view_name AND lu.space = w.view_space"""
+
+# --- statistics ------------------------------------------------------------------
+
+_CATALOG = """cat AS (SELECT 'T' || CAST(p_partkey AS VARCHAR) AS table_name, p_size <= 45 AS statistics_supported,
+       CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN NULL WHEN p_type = 'SMALL' THEN 'SIMPLE'
+            WHEN p_type = 'LARGE' THEN 'RECORD_COUNT' ELSE 'HISTOGRAM' END AS statistics_type
+    FROM part)"""
+
+ORACLES["plan_statistics"] = _with(_CATALOG) + """
+SELECT table_name, statistics_supported, statistics_type,
+       CASE WHEN NOT coalesce(statistics_supported, false) THEN 'skip'
+            WHEN statistics_type IS NOT DISTINCT FROM 'HISTOGRAM' THEN 'skip'
+            WHEN statistics_type IS NULL THEN 'create' ELSE 'update' END AS action
+FROM cat"""
+
+ORACLES["plan_refresh"] = _with(_CATALOG) + """
+SELECT table_name, statistics_type FROM cat
+WHERE coalesce(statistics_supported, false) AND statistics_type IS NOT NULL"""
+
+ORACLES["profile_record_count"] = """
+SELECT 'lineitem' AS table_name, count(*) AS record_count FROM lineitem
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'customer', count(*) FROM customer"""
+
+# Columns of the profiled tables, with the floating ones marked.
+_PROFILED = {
+    "lineitem": [("l_orderkey", 0), ("l_partkey", 0), ("l_suppkey", 0), ("l_linenumber", 0), ("l_quantity", 1),
+                 ("l_extendedprice", 1), ("l_discount", 1), ("l_tax", 1), ("l_returnflag", 0),
+                 ("l_linestatus", 0), ("l_shipdate", 0)],
+    "orders": [("o_orderkey", 0), ("o_custkey", 0), ("o_orderstatus", 0), ("o_totalprice", 1),
+               ("o_orderdate", 0), ("o_orderpriority", 0)],
+    "customer": [("c_custkey", 0), ("c_name", 0), ("c_nationkey", 0), ("c_acctbal", 1), ("c_mktsegment", 0)],
+}
+
+
+def _simple_sql(table: str, with_table: bool) -> str:
+    parts = []
+    for c, floating in _PROFILED[table]:
+        z = " + 0.0" if floating else ""
+        tn = f"'{table}' AS table_name, " if with_table else ""
+        parts.append(f"SELECT {tn}'{c}' AS column_name, count({c}) AS row_count, count(*) - count({c}) AS null_count, "
+                     f"count(DISTINCT {c}) AS distinct_count, CAST(min({c}){z} AS VARCHAR) AS min_value, "
+                     f"CAST(max({c}){z} AS VARCHAR) AS max_value FROM {table}")
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLES["profile_simple"] = _simple_sql("lineitem", False)
+ORACLES["refresh_profiles"] = "\nUNION ALL ".join(_simple_sql(t, True) for t in ("lineitem", "orders", "customer"))
+
+
+def _histogram_sql(cols, bins: int) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""(WITH mm AS (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem),
+      g AS (SELECT CAST(b AS INTEGER) AS bin FROM range({bins}) t(b)),
+      c AS (SELECT CASE WHEN hi = lo THEN 0
+                        ELSE least({bins - 1}, CAST(floor(({c} - lo) / (hi - lo) * {bins}) AS INTEGER)) END AS bin,
+                   count(*) AS n
+            FROM lineitem, mm WHERE {c} IS NOT NULL GROUP BY 1)
+ SELECT '{c}' AS column_name, g.bin, lo + (hi - lo) * g.bin / {float(bins)} AS lower,
+        lo + (hi - lo) * (g.bin + 1) / {float(bins)} AS upper, coalesce(c.n, 0) AS row_count
+ FROM g CROSS JOIN mm LEFT JOIN c ON c.bin = g.bin)""")
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLES["profile_histogram"] = _histogram_sql(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 10)
+
+# --- yearly partitions and persistence ---------------------------------------------------
+
+_YEARS = """yr AS (SELECT unnest(range(lo, hi + 1)) AS y
+    FROM (SELECT min(year(l_shipdate)) AS lo, max(year(l_shipdate)) AS hi FROM lineitem))"""
+
+ORACLES["year_ranges"] = _with(_YEARS) + """
+SELECT CAST(y AS VARCHAR) AS "partition", CAST(y AS VARCHAR) AS lower, CAST(y + 1 AS VARCHAR) AS upper FROM yr"""
+
+ORACLES["lock_partitions"] = _with(_YEARS) + """
+SELECT CAST(y AS VARCHAR) AS "partition", CAST(y AS VARCHAR) AS lower, CAST(y + 1 AS VARCHAR) AS upper,
+       y <= 1997 AS locked FROM yr"""
+
+ORACLES["unlock_partitions"] = _with(_YEARS) + """
+SELECT CAST(y AS VARCHAR) AS "partition", CAST(y AS VARCHAR) AS lower, CAST(y + 1 AS VARCHAR) AS upper,
+       false AS locked FROM yr"""
+
+_BYRANGE = """li AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS ship_year, l_quantity, l_linestatus FROM lineitem),
+rg AS (SELECT CAST(b AS VARCHAR) AS lower, CAST(b + 1 AS VARCHAR) AS upper FROM range(1993, 2002) t(b)),
+tagged AS (SELECT coalesce(rg.lower, 'rest') AS p, li.* FROM li
+           LEFT JOIN rg ON li.ship_year >= rg.lower AND li.ship_year < rg.upper)"""
+
+ORACLES["partition_summary"] = _with(_BYRANGE, "cnt AS (SELECT p, count(*) AS n FROM tagged GROUP BY p)",
+                                     "allp AS (SELECT lower AS p, lower, upper FROM rg UNION ALL "
+                                     "SELECT 'rest', NULL, NULL)") + """
+SELECT allp.p AS "partition", allp.lower, allp.upper, coalesce(cnt.n, 0) AS row_count
+FROM allp LEFT JOIN cnt ON cnt.p = allp.p"""
+
+ORACLES["partition_by_year"] = _with(_BYRANGE) + """
+SELECT p AS "partition", count(*) AS n_rows, sum(l_quantity) AS sum_qty FROM tagged GROUP BY p"""
+
+ORACLES["unpartition"] = """
+SELECT CAST(year(l_shipdate) AS VARCHAR) AS "partition", count(*) AS n_rows, sum(l_quantity) AS sum_qty
+FROM lineitem GROUP BY 1"""
+
+ORACLES["repersist"] = _with(_BYRANGE) + """
+SELECT p AS "partition", count(*) AS n_rows, sum(l_quantity) AS sum_qty FROM tagged
+WHERE (p <> 'rest' AND CAST(p AS INTEGER) <= 1997) OR l_linestatus = 'O'
+GROUP BY p"""
+
+ORACLES["persist_view"] = """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total_price
+FROM orders GROUP BY 1, 2"""
+
+# --- sources, sinks and streaming ---------------------------------------------------------
+
+ORACLES["scan_tasks"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity, event_type AS space FROM events"
+ORACLES["results_roundtrip"] = ORACLES["report_persist"]
+ORACLES["export_roundtrip"] = _with(_M, _E, _V) + """
+SELECT m.model_id, m.name AS model_name, e.view_id, e.view_name, v.view_space
+FROM m JOIN e ON e.model_id = m.model_id LEFT JOIN v ON v.view_id = e.view_id"""
+ORACLES["stream_upsert"] = ORACLES["upsert_results"]

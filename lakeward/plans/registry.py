@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.operators import lineage, outcomes as oc, search
+from lakeward import sources
+from lakeward.operators import lineage, outcomes as oc, search, stats, tables
 from lakeward.plans import fixtures as fx
+from lakeward.session import scratch_path
+from lakeward.streaming import upsert as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +127,158 @@ def runtime_report_nested(spark, d):
     return oc.runtime_report_nested(runtime_report(spark, d))
 
 
+# --- statistics -------------------------------------------------------------------
+
+HISTOGRAM_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+HISTOGRAM_BINS = 10
+
+
+def plan_statistics(spark, d):
+    return stats.plan_statistics(fx.statistics_catalog(spark, d), fx.STATISTICS_REQUEST)
+
+
+def plan_refresh(spark, d):
+    return stats.plan_refresh(fx.statistics_catalog(spark, d))
+
+
+def profile_record_count(spark, d):
+    out = None
+    for name in fx.PROFILED_TABLES:
+        one = stats.profile_record_count(fx.table(spark, d, name)).select(
+            F.lit(name).alias("table_name"), "record_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def profile_simple(spark, d):
+    return stats.profile_simple(fx.table(spark, d, "lineitem"))
+
+
+def profile_histogram(spark, d):
+    return stats.profile_histogram(fx.table(spark, d, "lineitem"), HISTOGRAM_COLUMNS, HISTOGRAM_BINS)
+
+
+def refresh_profiles(spark, d):
+    """Refresh the SIMPLE profiles of the profiled tables and read the store back."""
+    catalog = spark.createDataFrame([(t, True, "SIMPLE") for t in fx.PROFILED_TABLES],
+                                    "table_name string, statistics_supported boolean, statistics_type string")
+    store = scratch_path(spark, "profiles")
+    stats.refresh_profiles(spark, catalog, {t: fx.table(spark, d, t) for t in fx.PROFILED_TABLES}, store)
+    return stats.read_profiles(spark, store, "SIMPLE")
+
+
+# --- yearly partitions and persistence -------------------------------------------------
+
+PARTITION_START, PARTITION_END, LOCK_UNTIL = 1993, 2002, 1997
+
+
+def _ship_years(spark, d):
+    return fx.table(spark, d, "lineitem").withColumn("ship_year", F.year("l_shipdate").cast("string"))
+
+
+def _year_totals(df, by):
+    return df.groupBy(F.col(by).alias("partition")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"))
+
+
+def year_ranges(spark, d):
+    return tables.data_year_ranges(fx.table(spark, d, "lineitem"), "l_shipdate")
+
+
+def partition_summary(spark, d):
+    return tables.partition_summary(_ship_years(spark, d), "ship_year", PARTITION_START, PARTITION_END)
+
+
+def lock_partitions(spark, d):
+    return tables.lock_partitions(year_ranges(spark, d), LOCK_UNTIL)
+
+
+def unlock_partitions(spark, d):
+    return tables.unlock_partitions(lock_partitions(spark, d))
+
+
+def partition_by_year(spark, d):
+    path = scratch_path(spark, "by_year")
+    tables.partition_by_year(_ship_years(spark, d), "ship_year", PARTITION_START, PARTITION_END, path)
+    return _year_totals(tables.read_partitioned(spark, path), tables.PARTITION_COL)
+
+
+def unpartition(spark, d):
+    path, out = scratch_path(spark, "by_year"), scratch_path(spark, "flat")
+    tables.partition_by_year(_ship_years(spark, d), "ship_year", PARTITION_START, PARTITION_END, path)
+    tables.unpartition(spark, path, out)
+    return _year_totals(spark.read.parquet(out), "ship_year")
+
+
+def repersist(spark, d):
+    """Persist lineitem by ship year, lock the years up to 1997, then persist
+    the open lines only: locked years keep every line, the others now hold
+    open lines only."""
+    path = scratch_path(spark, "by_year")
+    src = _ship_years(spark, d)
+    tables.partition_by_year(src, "ship_year", PARTITION_START, PARTITION_END, path)
+    ranges = tables.lock_partitions(tables.year_ranges(spark, PARTITION_START, PARTITION_END), LOCK_UNTIL)
+    locked = [r["partition"] for r in ranges.filter("locked").select("partition").collect()]
+    tables.repersist(src.filter(F.col("l_linestatus") == "O"), path, "ship_year",
+                     PARTITION_START, PARTITION_END, locked)
+    return _year_totals(tables.read_partitioned(spark, path), tables.PARTITION_COL)
+
+
+def persist_view(spark, d):
+    """Materialise a view over orders, register it and read it back through
+    the registry."""
+    store = scratch_path(spark, "store")
+    view = fx.table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+    tables.persist(view, "orders_by_status", "SALES", store)
+    return tables.read_view(spark, "orders_by_status", "SALES", store)
+
+
+# --- sources, sinks and streaming ------------------------------------------------------
+
+def scan_tasks(spark, d):
+    path = scratch_path(spark, "tasks")
+    sources.append_results(fx.tasks(spark, d), path, "VIEW_PERSIST")
+    return sources.scan_tasks(spark, path, "VIEW_PERSIST")
+
+
+def results_roundtrip(spark, d):
+    path = scratch_path(spark, "results")
+    sources.reset_results(spark, path, "VIEW_PERSIST_RESULT")
+    sources.append_results(report_persist(spark, d), path, "VIEW_PERSIST_RESULT")
+    return sources.read_results(spark, path, "VIEW_PERSIST_RESULT")
+
+
+def export_roundtrip(spark, d):
+    """Nested model export written as JSON Lines and flattened again."""
+    path = scratch_path(spark, "export")
+    sources.write_model_export(export_models_nested(spark, d), path)
+    back = spark.read.schema("model_id bigint, name string, part int, "
+                             "dependencies map<string, struct<space: string, name: string>>").json(path)
+    return back.select("model_id", F.col("name").alias("model_name"), F.explode("dependencies")) \
+        .select("model_id", "model_name", F.col("key").cast("bigint").alias("view_id"),
+                F.col("value.name").alias("view_name"), F.col("value.space").alias("view_space"))
+
+
+def stream_upsert(spark, d):
+    """The ``upsert_results`` merge run as a stream: later runs arrive as
+    parquet files, micro-batch by micro-batch, into the versioned results."""
+    log = fx.run_log(spark, d)
+    first = log.filter(F.col("ts") < F.lit(fx.TASKS_WINDOW_END).cast("timestamp_ntz")).select("entity", "space").distinct()
+    results = oc.report_task_chains(first, fx.outcomes(spark, d), fx.RUN_ORDER)
+    src, res, ckpt = scratch_path(spark, "runs"), scratch_path(spark, "results"), scratch_path(spark, "ckpt")
+    later = log.filter(F.col("ts") >= F.lit(fx.RUN_WINDOW_END).cast("timestamp_ntz")).select(
+        "entity", "space", "ts", "event_id",
+        F.col("success").alias("isCompleted"),
+        F.when(F.col("success"), F.bround(F.col("run_time_ms") / 1000.0, 0).cast("bigint")).alias("runtime"))
+    later.repartition(4).write.parquet(src)
+    st.init_results(results, res, "ts timestamp_ntz, event_id bigint")
+    stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = st.stream_upsert(stream, res, ckpt, fx.RUN_ORDER)
+    q.awaitTermination()
+    return st.current_results(spark, res)
+
+
 QUERIES: dict[str, Query] = {
     "export_models_long": export_models_long,
     "export_models_dedup": export_models_dedup,
@@ -145,4 +300,22 @@ QUERIES: dict[str, Query] = {
     "upsert_results": upsert_results,
     "runtime_report": runtime_report,
     "runtime_report_nested": runtime_report_nested,
+    "plan_statistics": plan_statistics,
+    "plan_refresh": plan_refresh,
+    "profile_record_count": profile_record_count,
+    "profile_simple": profile_simple,
+    "profile_histogram": profile_histogram,
+    "refresh_profiles": refresh_profiles,
+    "year_ranges": year_ranges,
+    "partition_summary": partition_summary,
+    "lock_partitions": lock_partitions,
+    "unlock_partitions": unlock_partitions,
+    "partition_by_year": partition_by_year,
+    "unpartition": unpartition,
+    "repersist": repersist,
+    "persist_view": persist_view,
+    "scan_tasks": scan_tasks,
+    "results_roundtrip": results_roundtrip,
+    "export_roundtrip": export_roundtrip,
+    "stream_upsert": stream_upsert,
 }
