@@ -60,27 +60,42 @@ def _as_text(c: str, dtype: T.DataType):
 
 def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A4: ``SIMPLE`` -- per column: non-null count, null count, distinct
-    count, min and max (as text), in long form, from ONE aggregation pass.
-
-    ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``) instead of
-    exact distinct counts: one pass with mergeable sketches and no Expand of
-    the input per distinct column -- the choice for very wide or very large
-    tables where an exact count is not required."""
+    count, min and max (as text), in long form.
+
+    Two plain global aggregates over the same column-pruned scan: one for
+    counts/min/max (streaming, no shuffle beyond one row per task) and one
+    for the distinct counts.  Keeping the distinct counts apart stops Spark
+    from expanding every row once per distinct column *with* the min/max
+    buffers attached, which forces sort-based aggregation.  The two long
+    forms are merged by a union and a group-by on the column name.
+
+    ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``): a single
+    pass with mergeable sketches and no Expand at all -- the choice for very
+    wide or very large tables where exact distinct counts are not required."""
     cols = list(columns) if columns else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
+    data = df.select(*cols)
+    basic_aggs = []
     for i, c in enumerate(cols):
-        dist = F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
-        aggs += [F.count(c).alias(f"n{i}"), dist.alias(f"d{i}"),
-                 F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-    one = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    entries = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("row_count"),
-                        (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
-                        F.col(f"d{i}").cast("bigint").alias("distinct_count"),
-                        _as_text(f"lo{i}", types[c]).alias("min_value"),
-                        _as_text(f"hi{i}", types[c]).alias("max_value"))
-               for i, c in enumerate(cols)]
-    return one.select(F.inline(F.array(*entries)))
+        basic_aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    basic = data.agg(F.count(F.lit(1)).alias("_rows"), *basic_aggs)
+    basic_long = basic.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("row_count"),
+                 (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
+                 F.lit(None).cast("bigint").alias("distinct_count"),
+                 _as_text(f"lo{i}", types[c]).alias("min_value"), _as_text(f"hi{i}", types[c]).alias("max_value"))
+        for i, c in enumerate(cols)])))
+    if approx:
+        dist = data.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
+    else:
+        dist = data.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    dist_long = dist.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("bigint").alias("row_count"),
+                 F.lit(None).cast("bigint").alias("null_count"), F.col(f"d{i}").cast("bigint").alias("distinct_count"),
+                 F.lit(None).cast("string").alias("min_value"), F.lit(None).cast("string").alias("max_value"))
+        for i, c in enumerate(cols)])))
+    return basic_long.unionByName(dist_long).groupBy("column_name").agg(
+        *[F.max(c).alias(c) for c in ("row_count", "null_count", "distinct_count", "min_value", "max_value")])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
