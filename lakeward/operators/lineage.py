@@ -107,9 +107,10 @@ def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000) ->
                    F.struct(F.col("view_id").cast("string").alias("key"),
                             F.struct(F.col("view_space").cast("string").alias("space"),
                                      F.col("view_name").cast("string").alias("name")).alias("value")))
-    return keyed.groupBy("model_id", "model_name", "part").agg(
+    return keyed.groupBy("model_id", "model_name", "model_space", "part").agg(
         F.map_from_entries(F.collect_list(entry)).alias("dependencies")
-    ).select(F.col("model_id"), F.col("model_name").alias("name"), "part", "dependencies")
+    ).select(F.col("model_id"), F.col("model_name").alias("name"), F.col("model_space").alias("space_name"),
+             "part", "dependencies")
 
 
 def resolve_models(requests: DataFrame, models: DataFrame) -> DataFrame:

@@ -43,10 +43,11 @@ def attributes_containing(views: DataFrame, word: str, attributes_col: str = "at
     """one row per view attribute that contains ``word`` -- a literal,
     case-insensitive substring test (``_`` and ``%`` are not wildcards).
 
-    ``attributes_col`` is an array<string> per view.  Explode is a generator
-    inside the scan's stage: no shuffle, and each view's list is streamed."""
+    ``attributes_col`` is an array<string> per view.  Everything runs inside
+    the scan's stage: no shuffle, each view's list is handled on its own."""
     w = validate_word(word)
-    exploded = views.select(F.col(entity).alias("entity"), F.col(space).alias("space"),
-                            F.col(business_name).alias("businessName"),
-                            F.explode(F.col(attributes_col)).alias("attribute"))
-    return exploded.filter(contains_ci("attribute", w))
+    # Filter each list first, then explode only the matches: non-matching
+    # attributes never become rows (no copy of the view columns per word).
+    hits = F.filter(F.col(attributes_col), lambda a: contains_ci(a, w))
+    return views.select(F.col(entity).alias("entity"), F.col(space).alias("space"),
+                        F.col(business_name).alias("businessName"), F.explode(hits).alias("attribute"))

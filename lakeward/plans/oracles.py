@@ -280,3 +280,12 @@ ORACLES["export_roundtrip"] = _with(_M, _E, _V) + """
 SELECT m.model_id, m.name AS model_name, e.view_id, e.view_name, v.view_space
 FROM m JOIN e ON e.model_id = m.model_id LEFT JOIN v ON v.view_id = e.view_id"""
 ORACLES["stream_upsert"] = ORACLES["upsert_results"]
+
+ORACLES["export_by_space_roundtrip"] = _with(_M, _E, _V, """d AS (SELECT e.* FROM e JOIN m ON m.model_id = e.model_id
+    QUALIFY row_number() OVER (PARTITION BY e.view_id ORDER BY e.model_id) = 1)""") + """
+SELECT m.model_id, m.space_name AS model_space, d.view_id, d.view_name, v.view_space
+FROM m JOIN d ON d.model_id = m.model_id LEFT JOIN v ON v.view_id = d.view_id"""
+
+ORACLES["persisted_flag"] = """
+SELECT DISTINCT 'orders_' || o_orderstatus AS entity, 'SALES' AS space, o_orderstatus <> 'F' AS isPersisted
+FROM orders"""

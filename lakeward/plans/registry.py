@@ -260,6 +260,33 @@ def export_roundtrip(spark, d):
                 F.col("value.name").alias("view_name"), F.col("value.space").alias("view_space"))
 
 
+def export_by_space_roundtrip(spark, d):
+    """Space-scoped nested export (one folder per space, skip_duplicates on)
+    flattened again, with the space taken from the folder name."""
+    path = scratch_path(spark, "export_by_space")
+    lf = lineage.model_edges(fx.models(spark, d), fx.edges(spark, d), fx.views(spark, d), skip_duplicates=True)
+    sources.write_model_export(lineage.nested_export(lf), path, by_space=True)
+    back = spark.read.schema("model_id bigint, name string, part int, space_name string, "
+                             "dependencies map<string, struct<space: string, name: string>>").json(path)
+    return back.select("model_id", "space_name", F.explode("dependencies")).select(
+        "model_id", F.col("space_name").alias("model_space"), F.col("key").cast("bigint").alias("view_id"),
+        F.col("value.name").alias("view_name"), F.col("value.space").alias("view_space"))
+
+
+def persisted_flag(spark, d):
+    """Persist one view per order status, unpersist the one for status 'F',
+    then flag the list of views from the registry state."""
+    store = scratch_path(spark, "store")
+    orders = fx.table(spark, d, "orders")
+    statuses = [r[0] for r in orders.select("o_orderstatus").distinct().collect()]  # a handful of codes
+    for stt in statuses:
+        tables.persist(orders.filter(F.col("o_orderstatus") == stt), f"orders_{stt}", "SALES", store)
+    tables.unpersist(spark, "orders_F", "SALES", store)
+    views = orders.select(F.concat(F.lit("orders_"), F.col("o_orderstatus")).alias("entity"),
+                          F.lit("SALES").alias("space")).distinct()
+    return tables.with_persisted_flag(views, spark, store)
+
+
 def stream_upsert(spark, d):
     """The ``upsert_results`` merge run as a stream: later runs arrive as
     parquet files, micro-batch by micro-batch, into the versioned results."""
@@ -318,4 +345,6 @@ QUERIES: dict[str, Query] = {
     "results_roundtrip": results_roundtrip,
     "export_roundtrip": export_roundtrip,
     "stream_upsert": stream_upsert,
+    "export_by_space_roundtrip": export_by_space_roundtrip,
+    "persisted_flag": persisted_flag,
 }
