@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.functions.keyed import first_per_key
+from lakeward.session import materialize
 
 
 def models_in_space(models: DataFrame, space: str) -> DataFrame:
@@ -88,7 +89,8 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
         "model_id", "model_name", "model_space", "view_id", "view_name", "view_space")
 
 
-def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000) -> DataFrame:
+def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000,
+                  materialize_input: bool = True) -> DataFrame:
     """A1 nested form: one record per model with
     ``dependencies: map<view_id, struct<space, name>>`` (space null when the
     view is unresolved), models without views get an empty map.
@@ -96,8 +98,12 @@ def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000) ->
     A model is never gathered into one unbounded group: models with more than
     ``max_views_per_record`` views are split over several records (``part``)
     by a hash of the view id, so each record -- and each task building it --
-    stays bounded however large a model grows."""
-    lf = long_form
+    stays bounded however large a model grows.
+
+    The view count per model and the grouping both read the long form; with
+    ``materialize_input`` it is written once to the shared folder instead of
+    being computed twice."""
+    lf = materialize(long_form, "model_edges") if materialize_input else long_form
     sizes = lf.groupBy("model_id").agg(F.count("view_id").alias("_n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_record))).cast("int")
     keyed = lf.join(sizes, "model_id").withColumn(

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lakeward.functions.keyed import last_per_key, null_safe_join
 from lakeward.functions.scalars import NO_PARTITIONS, outcome_flag, runtime_rule
 from lakeward.operators.lineage import requested_model_edges
+from lakeward.session import materialize
 
 KEYS = ["entity", "space"]
 
@@ -165,10 +166,15 @@ def runtime_report(requests: DataFrame, models: DataFrame, edges: DataFrame, vie
         (ok & ~already & F.coalesce(F.col("u.success"), F.lit(False))).alias("removedPersistence"))
 
 
-def runtime_report_nested(report: DataFrame, max_views_per_record: int = 100_000) -> DataFrame:
+def runtime_report_nested(report: DataFrame, max_views_per_record: int = 100_000,
+                          materialize_input: bool = True) -> DataFrame:
     """R8 nested form: one record per model (split into bounded ``part``s for
     very large models) with ``dependencies: map<view_id, struct<space, name,
-    runtime, alreadyPersisted, removedPersistence>>``."""
+    runtime, alreadyPersisted, removedPersistence>>``.  The long report is
+    written once (``materialize_input``) since both the per-model counts and
+    the grouping read it."""
+    if materialize_input:
+        report = materialize(report, "runtime_report")
     sizes = report.groupBy("model_id").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_record))).cast("int")
     keyed = report.join(sizes, "model_id").withColumn("part", F.pmod(F.xxhash64("view_id"), parts).cast("int"))

@@ -73,3 +73,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique sub-folder of the shared folder for one written table."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    Used where one intermediate result feeds two branches of a plan (Spark
+    would otherwise compute it twice) and to cut long lineages: the written
+    table is durable, so a lost executor costs a re-read, not a recompute of
+    everything upstream."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
