@@ -1,80 +1,168 @@
 """ST1: merge a stream of outcomes into a result table, last outcome per key
 wins, safe to restart.
 
-The result table is stored as versions (parquet partitioned by
-``_version``).  Micro-batch ``b`` reads the newest version <= ``b`` and writes
-version ``b + 1`` with dynamic partition overwrite, so a batch replayed after
-a failure rebuilds exactly the same version.  Each row carries the ordering
-key of the outcome that set it (``_last``), and an outcome only replaces a
-row when it sorts after that key: the end state equals the batch
-``upsert_results`` over all outcomes, whatever the arrival order.
+Store layout (all under ``path``):
+
+* data: parquet partitioned by ``_bucket`` (hash of the key) and ``_version``;
+* ``_manifest``: rows (bucket, version) naming, per version, the buckets it
+  wrote -- the commit record; per bucket the newest committed version is
+  current;
+* ``_meta``: bucket count, key columns and the result schema.
+
+Micro-batch ``b`` merges into the newest committed version <= ``b`` of only
+the buckets its keys fall in, writes those buckets as version ``b + 1``
+(dynamic partition overwrite), then commits them in the manifest.  So
+
+* each batch reads and rewrites only the touched buckets; no listing or scan
+  of older versions;
+* a batch replayed after a failure rebuilds exactly the same partitions and
+  manifest rows, and data written without its manifest rows is never read;
+* every row keeps the ordering key of the outcome that set it (``_last``)
+  and an outcome only replaces a row when it sorts after it, so the end
+  state equals the batch ``upsert_results`` whatever the arrival order.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakeward.functions.keyed import last_per_key, null_safe_join
 
 VERSION = "_version"
+BUCKET = "_bucket"
 LAST = "_last"
+META = "_meta"          # hidden folders (leading underscore): not table data
+MANIFEST = "_manifest"
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4096
+
+
+def _bucket(keys: Sequence[str], buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(buckets))).cast("int")
+
+
+def _p(path: str, sub: str) -> str:
+    return f"{path.rstrip('/')}/{sub}"
+
+
+def _commit(data: DataFrame, path: str, version: int, buckets: Sequence[int] | None = None) -> None:
+    """Write bucket rows as ``version`` and record them in the manifest.
+    ``buckets`` (the buckets ``data`` holds rows of) saves a pass over the
+    data when the caller already knows them."""
+    spark = data.sparkSession
+    (data.withColumn(VERSION, F.lit(int(version))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(path))
+    if buckets is None:
+        written = data.select(F.col(BUCKET).alias("bucket")).distinct()
+    else:
+        written = spark.createDataFrame([(int(b),) for b in buckets], "bucket int")
+    (written.withColumn("version", F.lit(int(version))).repartition(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(_p(path, MANIFEST)))
+
+
+def init_results(results: DataFrame, path: str, order_schema: str,
+                 keys: Sequence[str] = ("entity", "space"), buckets: int | None = None) -> None:
+    """Write the prefilled result rows as version 0.
+
+    ``buckets`` defaults to about one bucket per million result rows (one
+    count at set-up), so a batch that touches a few keys rewrites a few
+    million rows at most, and a small table stays one bucket."""
+    spark = results.sparkSession
+    if buckets is None:
+        n = results.count()
+        buckets = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
+    data = results.withColumn(LAST, F.lit(None).cast(f"struct<{order_schema}>")) \
+        .withColumn(BUCKET, _bucket(keys, buckets))
+    schema = data.schema
+    spark.createDataFrame([(int(buckets), list(keys), schema.json())],
+                          "buckets int, keys array<string>, schema string") \
+        .write.mode("overwrite").json(_p(path, META))
+    _commit(data, path, 0)
+
+
+def _meta(spark: SparkSession, path: str) -> tuple[int, list[str], T.StructType]:
+    row = spark.read.schema("buckets int, keys array<string>, schema string").json(_p(path, META)).first()
+    return int(row["buckets"]), list(row["keys"]), T.StructType.fromJson(json.loads(row["schema"]))
+
+
+def _current_versions(spark: SparkSession, path: str, upto: int | None = None) -> dict[int, int]:
+    """Newest committed version per bucket (at most ``MAX_BUCKETS`` rows)."""
+    m = spark.read.schema("bucket int, version int").parquet(_p(path, MANIFEST))
+    if upto is not None:
+        m = m.filter(F.col("version") <= F.lit(int(upto)))
+    return {r[0]: r[1] for r in m.groupBy("bucket").agg(F.max("version")).collect()}
 
 
-def init_results(results: DataFrame, path: str, order_schema: str) -> None:
-    """Write the prefilled result rows as version 0."""
-    (results.withColumn(LAST, F.lit(None).cast(f"struct<{order_schema}>"))
-     .withColumn(VERSION, F.lit(0)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION).parquet(path))
-
-
-def _latest_version(spark: SparkSession, path: str, upto: int | None = None) -> int:
-    v = spark.read.parquet(path).select(VERSION)
-    if upto is not None:
-        v = v.filter(F.col(VERSION) <= upto)
-    got = v.agg(F.max(VERSION)).first()[0]
-    return int(got) if got is not None else 0
+def _read_buckets(spark: SparkSession, path: str, versions: dict[int, int], schema: T.StructType) -> DataFrame:
+    if not versions:
+        return spark.createDataFrame([], schema)
+    paths = [_p(path, f"{BUCKET}={b}/{VERSION}={v}") for b, v in sorted(versions.items())]
+    cols = [f.name for f in schema.fields if f.name != BUCKET]
+    df = spark.read.schema(T.StructType([f for f in schema.fields if f.name != BUCKET])).parquet(*paths) \
+        .withColumn("_file", F.input_file_name())
+    # The bucket of a row is its folder; read it back from the file path.
+    bucket = F.regexp_extract("_file", f"{BUCKET}=([0-9]+)", 1).cast("int")
+    return df.select(*cols, bucket.alias(BUCKET))
 
 
 def current_results(spark: SparkSession, path: str, with_internal: bool = False) -> DataFrame:
-    """The newest version of the result table."""
-    v = _latest_version(spark, path)
-    df = spark.read.parquet(path).filter(F.col(VERSION) == v).drop(VERSION)
+    """The current result table."""
+    _, _, schema = _meta(spark, path)
+    df = _read_buckets(spark, path, _current_versions(spark, path), schema).drop(BUCKET)
     return df if with_internal else df.drop(LAST)
 
 
 def merge_batch(prev: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Merge one batch of outcomes into result rows (keeping ``prev``'s
+    columns): the last outcome per key replaces the row's registered values
+    when it sorts after the outcome that set them."""
     keys, order = list(keys), list(order)
-    cols = [c for c in prev.columns if c not in keys and c != LAST and c in batch.columns]
+    internal = {LAST, BUCKET}
+    cols = [c for c in prev.columns if c not in keys and c not in internal and c in batch.columns]
     latest = last_per_key(batch, keys, order, cols + order)
     latest = latest.select(*keys, *[F.col(c).alias("_new_" + c) for c in cols],
                            F.struct(*[F.col(c) for c in order]).alias("_new_last"))
     j = null_safe_join(prev, latest, keys, "left")
     newer = F.col("_new_last").isNotNull() & (F.col(LAST).isNull() | (F.col("_new_last") > F.col(LAST)))
-    return j.select(*[
-        F.when(newer, F.col("_new_" + c)).otherwise(F.col(c)).cast(prev.schema[c].dataType).alias(c) if c in cols
-        else (F.when(newer, F.col("_new_last")).otherwise(F.col(LAST)).alias(LAST) if c == LAST else F.col(c))
-        for c in prev.columns])
+    out = []
+    for c in prev.columns:
+        if c in cols:
+            out.append(F.when(newer, F.col("_new_" + c)).otherwise(F.col(c)).cast(prev.schema[c].dataType).alias(c))
+        elif c == LAST:
+            out.append(F.when(newer, F.col("_new_last")).otherwise(F.col(LAST)).alias(LAST))
+        else:
+            out.append(F.col(c))
+    return j.select(*out)
+
+
+def apply_batch(batch: DataFrame, path: str, batch_id: int, order: Sequence[str], meta=None) -> None:
+    """Merge one micro-batch into the store as version ``batch_id + 1`` of
+    the buckets it touches (idempotent for a replayed ``batch_id``)."""
+    spark = batch.sparkSession
+    buckets, keys, schema = meta or _meta(spark, path)
+    versions = _current_versions(spark, path, upto=batch_id)
+    if buckets > 1:
+        touched = {r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect()}  # <= buckets values
+        versions = {b: v for b, v in versions.items() if b in touched}
+    if not versions:
+        return  # no result row shares a bucket with this batch
+    prev = _read_buckets(spark, path, versions, schema)
+    _commit(merge_batch(prev, batch, keys, order), path, int(batch_id) + 1, sorted(versions))
 
 
 def stream_upsert(outcomes: DataFrame, path: str, checkpoint: str, order: Sequence[str],
-                  keys: Sequence[str] = ("entity", "space"), available_now: bool = True,
-                  processing_time: str | None = None) -> StreamingQuery:
+                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the streaming merge of ``outcomes`` (a streaming DataFrame) into
-    the versioned result table at ``path`` (see ``init_results``)."""
-
-    def _batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        prev_v = _latest_version(spark, path, upto=batch_id)
-        prev = spark.read.parquet(path).filter(F.col(VERSION) == prev_v).drop(VERSION)
-        merged = merge_batch(prev, df, keys, order).withColumn(VERSION, F.lit(batch_id + 1))
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(VERSION).parquet(path))
-
-    w = outcomes.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint)
+    the result store at ``path`` (created by ``init_results``)."""
+    meta = _meta(outcomes.sparkSession, path)
+    w = outcomes.writeStream.foreachBatch(lambda df, bid: apply_batch(df, path, bid, order, meta)) \
+        .option("checkpointLocation", checkpoint)
     if processing_time:
         w = w.trigger(processingTime=processing_time)
     elif available_now:
