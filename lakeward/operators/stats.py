@@ -188,9 +188,7 @@ def refresh_profiles(spark: SparkSession, catalog: DataFrame, tables: Mapping[st
         if name not in tables or stype not in STATISTICS_TYPES:
             return (name, stype, "failed")
         try:
-            prof = profile(tables[name], stype, bins=bins, approx=approx).withColumn("table_name", F.lit(name))
-            (prof.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("table_name").parquet(f"{store.rstrip('/')}/{stype.lower()}"))
+            _store_profile(tables[name], name, stype, store, bins, approx)
             return (name, stype, "refreshed")
         except Exception:  # noqa: BLE001 -- one failed table is an outcome, not a crash
             return (name, stype, "failed")
@@ -200,6 +198,39 @@ def refresh_profiles(spark: SparkSession, catalog: DataFrame, tables: Mapping[st
     return spark.createDataFrame(out, "table_name string, statistics_type string, status string")
 
 
+def _store_profile(df: DataFrame, name: str, stype: str, store: str, bins: int, approx: bool) -> None:
+    prof = profile(df, stype, bins=bins, approx=approx).withColumn("table_name", F.lit(name))
+    (prof.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("table_name").parquet(f"{store.rstrip('/')}/{stype.lower()}"))
+
+
+def create_statistics(spark: SparkSession, catalog: DataFrame, statistics_type: str,
+                      tables: Mapping[str, DataFrame], store: str, bins: int = 10, approx: bool = False,
+                      parallelism: int = 4) -> DataFrame:
+    """Create statistics of ``statistics_type`` for every catalogue table:
+    F4 decides (create / update / skip), the profile is computed and stored
+    for create and update, and one outcome per table is returned:
+    table_name, action, status (created / updated / skipped / failed).
+    A table the catalogue names but ``tables`` does not provide fails."""
+    t = _check_type(statistics_type)
+    plan = [(r["table_name"], r["action"]) for r in plan_statistics(catalog, t).collect()]
+
+    def one(name: str, action: str) -> tuple:
+        if action == "skip":
+            return (name, action, "skipped")
+        if name not in tables:
+            return (name, action, "failed")
+        try:
+            _store_profile(tables[name], name, t, store, bins, approx)
+        except Exception:  # noqa: BLE001 -- one failed table is an outcome, not a crash
+            return (name, action, "failed")
+        return (name, action, "created" if action == "create" else "updated")
+
+    with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
+        out = list(pool.map(lambda a: one(*a), plan))
+    return spark.createDataFrame(out, "table_name string, action string, status string")
+
+
 def read_profiles(spark: SparkSession, store: str, statistics_type: str) -> DataFrame:
     """Stored profiles of one statistics type (table_name as a string column)."""
     return spark.read.parquet(f"{store.rstrip('/')}/{_check_type(statistics_type).lower()}")

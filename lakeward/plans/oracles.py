@@ -289,3 +289,8 @@ FROM m JOIN d ON d.model_id = m.model_id LEFT JOIN v ON v.view_id = d.view_id"""
 ORACLES["persisted_flag"] = """
 SELECT DISTINCT 'orders_' || o_orderstatus AS entity, 'SALES' AS space, o_orderstatus <> 'F' AS isPersisted
 FROM orders"""
+
+ORACLES["create_statistics"] = """
+SELECT 'lineitem' AS table_name, 'create' AS action, 'created' AS status, (SELECT count(*) FROM lineitem) AS record_count
+UNION ALL SELECT 'orders', 'update', 'updated', (SELECT count(*) FROM orders)
+UNION ALL SELECT 'customer', 'skip', 'skipped', CAST(NULL AS BIGINT)"""

@@ -167,6 +167,20 @@ def refresh_profiles(spark, d):
     return stats.read_profiles(spark, store, "SIMPLE")
 
 
+def create_statistics(spark, d):
+    """Create RECORD_COUNT statistics for the profiled tables -- lineitem has
+    none yet (create), orders has SIMPLE (update), customer does not support
+    statistics (skip) -- and report each outcome with the stored count."""
+    catalog = spark.createDataFrame(
+        [("lineitem", True, None), ("orders", True, "SIMPLE"), ("customer", False, None)],
+        "table_name string, statistics_supported boolean, statistics_type string")
+    store = scratch_path(spark, "profiles")
+    out = stats.create_statistics(spark, catalog, "RECORD_COUNT",
+                                  {t: fx.table(spark, d, t) for t in fx.PROFILED_TABLES}, store)
+    counts = stats.read_profiles(spark, store, "RECORD_COUNT")
+    return out.join(counts, "table_name", "left").select("table_name", "action", "status", "record_count")
+
+
 # --- yearly partitions and persistence -------------------------------------------------
 
 PARTITION_START, PARTITION_END, LOCK_UNTIL = 1993, 2002, 1997
@@ -333,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "profile_simple": profile_simple,
     "profile_histogram": profile_histogram,
     "refresh_profiles": refresh_profiles,
+    "create_statistics": create_statistics,
     "year_ranges": year_ranges,
     "partition_summary": partition_summary,
     "lock_partitions": lock_partitions,

@@ -39,6 +39,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def cluster_conf(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Starting point for a cluster session sized to the input.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (and at least 2x the total cores) so that no shuffle partition has
+    to spill heavily at the start; AQE then coalesces them to the advisory
+    size and splits skewed ones.  Scans split files at 256 MiB."""
+    parts = max(2 * executor_cores_total, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        **{k: v for k, v in BASE_CONF.items() if k != "spark.ui.enabled"},
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }
+
+
 def apply_runtime_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable part of BASE_CONF to an existing session."""
     for k, v in BASE_CONF.items():

@@ -183,3 +183,32 @@ def test_runtime_report_rules(spark):
     }
     nested = oc.runtime_report_nested(rep).filter(F.col("model_id") == "m1").first()
     assert nested["dependencies"]["v1"]["runtime"] == 65
+
+
+def test_create_statistics_outcomes(spark, scratch):
+    from lakeward.operators import stats
+    cat = spark.createDataFrame([("A", True, None), ("B", True, "SIMPLE"), ("C", True, "RECORD_COUNT"),
+                                 ("D", False, None), ("GONE", True, None)],
+                                "table_name string, statistics_supported boolean, statistics_type string")
+    t = {n: spark.range(5) for n in "ABCD"}
+    got = {r["table_name"]: (r["action"], r["status"])
+           for r in stats.create_statistics(spark, cat, "RECORD_COUNT", t, scratch).collect()}
+    assert got == {"A": ("create", "created"), "B": ("update", "updated"), "C": ("skip", "skipped"),
+                   "D": ("skip", "skipped"), "GONE": ("create", "failed")}
+    stored = {r["table_name"]: r["record_count"] for r in stats.read_profiles(spark, scratch, "RECORD_COUNT").collect()}
+    assert stored == {"A": 5, "B": 5}
+
+
+def test_histogram_constant_column_and_nulls(spark):
+    from lakeward.operators import stats
+    df = spark.createDataFrame([(1.0, None), (1.0, 2.0), (None, 4.0), (1.0, 3.0)], "a double, b double")
+    got = {(r["column_name"], r["bin"]): r["row_count"] for r in stats.profile_histogram(df, ["a", "b"], 2).collect()}
+    assert got == {("a", 0): 3, ("a", 1): 0, ("b", 0): 1, ("b", 1): 2}
+
+
+def test_model_without_views_gets_empty_map(spark):
+    models = spark.createDataFrame([("m1", "M", "S", 0)], "model_id string, name string, space_name string, position int")
+    edges = spark.createDataFrame([], "model_id string, view_id string, view_name string")
+    views = spark.createDataFrame([], "view_id string, space_name string, position int")
+    row = lineage.nested_export(lineage.model_edges(models, edges, views)).first()
+    assert row["dependencies"] == {}
