@@ -233,4 +233,5 @@ def create_statistics(spark: SparkSession, catalog: DataFrame, statistics_type:
 
 def read_profiles(spark: SparkSession, store: str, statistics_type: str) -> DataFrame:
     """Stored profiles of one statistics type (table_name as a string column)."""
-    return spark.read.parquet(f"{store.rstrip('/')}/{_check_type(statistics_type).lower()}")
+    df = spark.read.parquet(f"{store.rstrip('/')}/{_check_type(statistics_type).lower()}")
+    return df.withColumn("table_name", F.col("table_name").cast("string"))

@@ -126,7 +126,10 @@ def partition_by_year(df: DataFrame, attribute: str, start: int, end: int, path:
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """Read a yearly-partitioned table; the partition value stays text
+    whatever the session's partition type inference says."""
+    df = spark.read.option("basePath", path).parquet(path)
+    return df.withColumn(PARTITION_COL, F.col(PARTITION_COL).cast("string"))
 
 
 def unpartition(spark: SparkSession, path: str, out: str) -> bool:
