@@ -156,12 +156,54 @@ def apply_batch(batch: DataFrame, path: str, batch_id: int, order: Sequence[str]
     _commit(merge_batch(prev, batch, keys, order), path, int(batch_id) + 1, sorted(versions))
 
 
+def vacuum(spark: SparkSession, path: str, keep_versions: int = 1) -> int:
+    """Delete bucket versions that are no longer current.
+
+    Per bucket, the newest ``keep_versions`` committed versions stay (keep
+    at least 2 while a stream may replay its last batch: the replay reads
+    the version before its own); older data folders and manifest versions
+    no bucket still uses are deleted.  Returns the number of data folders
+    removed."""
+    keep_versions = max(1, int(keep_versions))
+    m = spark.read.schema("bucket int, version int").parquet(_p(path, MANIFEST)).collect()  # <= buckets x versions
+    per_bucket: dict[int, list[int]] = {}
+    for b, v in m:
+        per_bucket.setdefault(b, []).append(v)
+    keep, drop = set(), []
+    for b, vs in per_bucket.items():
+        vs = sorted(set(vs), reverse=True)
+        keep |= {(b, v) for v in vs[:keep_versions]}
+        drop += [(b, v) for v in vs[keep_versions:]]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def rm(p: str) -> None:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+
+    for b, v in drop:
+        rm(_p(path, f"{BUCKET}={b}/{VERSION}={v}"))
+    live_versions = {v for _, v in keep}
+    for v in {v for _, v in drop} - live_versions:
+        rm(_p(path, f"{MANIFEST}/version={v}"))
+    return len(drop)
+
+
 def stream_upsert(outcomes: DataFrame, path: str, checkpoint: str, order: Sequence[str],
-                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                  available_now: bool = True, processing_time: str | None = None,
+                  vacuum_every: int = 0) -> StreamingQuery:
     """Start the streaming merge of ``outcomes`` (a streaming DataFrame) into
-    the result store at ``path`` (created by ``init_results``)."""
+    the result store at ``path`` (created by ``init_results``).  With
+    ``vacuum_every = k > 0`` superseded versions are removed every k
+    batches (keeping two per bucket for a safe replay)."""
     meta = _meta(outcomes.sparkSession, path)
-    w = outcomes.writeStream.foreachBatch(lambda df, bid: apply_batch(df, path, bid, order, meta)) \
+
+    def _batch(df: DataFrame, bid: int) -> None:
+        apply_batch(df, path, bid, order, meta)
+        if vacuum_every and (bid + 1) % int(vacuum_every) == 0:
+            vacuum(df.sparkSession, path, keep_versions=2)
+
+    w = outcomes.writeStream.foreachBatch(_batch) \
         .option("checkpointLocation", checkpoint)
     if processing_time:
         w = w.trigger(processingTime=processing_time)

@@ -51,3 +51,17 @@ def test_many_batches_keep_version_order(spark, scratch):
         st.apply_batch(spark.createDataFrame([("e1", "S", bid, bid % 2 == 0, bid)], SCHEMA), res, bid, ["seq"])
     row = st.current_results(spark, res).filter("entity = 'e1'").first()
     assert (row["isCompleted"], row["runtime"]) == (False, 11)
+
+
+def test_vacuum_keeps_current_state(spark, scratch):
+    res = os.path.join(scratch, "res")
+    st.init_results(_results(spark), res, "seq int", buckets=2)
+    for bid in range(5):
+        st.apply_batch(spark.createDataFrame([(f"e{bid}", "S", bid, True, bid)], SCHEMA), res, bid, ["seq"])
+    before = sorted(tuple(r) for r in st.current_results(spark, res).collect())
+    removed = st.vacuum(spark, res, keep_versions=1)
+    assert removed > 0
+    assert sorted(tuple(r) for r in st.current_results(spark, res).collect()) == before
+    # still usable afterwards
+    st.apply_batch(spark.createDataFrame([("e0", "S", 99, False, None)], SCHEMA), res, 5, ["seq"])
+    assert st.current_results(spark, res).filter("entity = 'e0'").first()["isCompleted"] is False
