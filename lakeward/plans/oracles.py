@@ -294,3 +294,5 @@ ORACLES["create_statistics"] = """
 SELECT 'lineitem' AS table_name, 'create' AS action, 'created' AS status, (SELECT count(*) FROM lineitem) AS record_count
 UNION ALL SELECT 'orders', 'update', 'updated', (SELECT count(*) FROM orders)
 UNION ALL SELECT 'customer', 'skip', 'skipped', CAST(NULL AS BIGINT)"""
+
+ORACLES["catalog_edges_roundtrip"] = _with(_E) + "SELECT model_id, view_id, view_name FROM e"

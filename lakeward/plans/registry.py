@@ -301,6 +301,16 @@ def persisted_flag(spark, d):
     return tables.with_persisted_flag(views, spark, store)
 
 
+def catalog_edges_roundtrip(spark, d):
+    """Model-to-view edges written in the source's nested answer format and
+    scanned back (S2)."""
+    path = scratch_path(spark, "edges_json")
+    sources.write_edges_catalog(fx.edges(spark, d), path)
+    e = sources.scan_catalog(spark, path, "edges")
+    return e.select(F.col("model_id").cast("bigint").alias("model_id"),
+                    F.col("view_id").cast("bigint").alias("view_id"), "view_name")
+
+
 def stream_upsert(spark, d):
     """The ``upsert_results`` merge run as a stream: later runs arrive as
     parquet files, micro-batch by micro-batch, into the versioned results."""
@@ -362,4 +372,5 @@ QUERIES: dict[str, Query] = {
     "stream_upsert": stream_upsert,
     "export_by_space_roundtrip": export_by_space_roundtrip,
     "persisted_flag": persisted_flag,
+    "catalog_edges_roundtrip": catalog_edges_roundtrip,
 }

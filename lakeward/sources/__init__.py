@@ -4,5 +4,6 @@ from lakeward.sources.files import (  # noqa: F401
     reset_results,
     scan_catalog,
     scan_tasks,
+    write_edges_catalog,
     write_model_export,
 )

@@ -31,3 +31,32 @@ def test_scan_catalog_edges(spark, scratch):
         fh.write(json.dumps({"m2": {}}) + "\n")
     got = sorted(tuple(r) for r in sources.scan_catalog(spark, p, "edges").collect())
     assert got == [("m1", "v1", "View1"), ("m1", "v2", "View2")]
+
+
+def test_catalog_kinds_feed_the_operators(spark, scratch):
+    from lakeward.operators import search, stats
+    views = os.path.join(scratch, "views.jsonl")
+    with open(views, "w", encoding="utf-8") as fh:
+        fh.write(json.dumps({"id": "v1", "name": "Sales", "space_name": "SP", "business_name": "Sales view",
+                             "attributes": ["FISCAL_YEAR", "AMOUNT"]}) + "\n")
+    v = sources.scan_catalog(spark, views, "view_attributes", fmt="json")
+    got = search.attributes_containing(v, "year", entity="name", space="space_name",
+                                       business_name="business_name").collect()
+    assert [tuple(r) for r in got] == [("Sales", "SP", "Sales view", "FISCAL_YEAR")]
+    tabs = os.path.join(scratch, "tables.jsonl")
+    with open(tabs, "w", encoding="utf-8") as fh:
+        fh.write(json.dumps({"table_name": "T1", "statistics_supported": True, "statistics_type": None}) + "\n")
+    t = sources.scan_catalog(spark, tabs, "tables", fmt="json")
+    assert stats.plan_statistics(t, "SIMPLE").first()["action"] == "create"
+
+
+def test_edges_catalog_roundtrip_splits_big_models(spark, scratch):
+    edges = spark.range(250).selectExpr("'m1' AS model_id", "CAST(id AS STRING) AS view_id",
+                                        "concat('v', CAST(id AS STRING)) AS view_name")
+    p = os.path.join(scratch, "edges")
+    sources.write_edges_catalog(edges, p, max_views_per_line=100)
+    with open([os.path.join(p, f) for f in os.listdir(p) if f.startswith("part-") and
+               os.path.getsize(os.path.join(p, f)) > 0][0], encoding="utf-8") as fh:
+        assert all(len(json.loads(line)["m1"]) < 250 for line in fh)
+    back = sources.scan_catalog(spark, p, "edges")
+    assert back.count() == 250 and back.select("view_id").distinct().count() == 250
