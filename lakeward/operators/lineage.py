@@ -113,8 +113,10 @@ def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000,
                    F.struct(F.col("view_id").cast("string").alias("key"),
                             F.struct(F.col("view_space").cast("string").alias("space"),
                                      F.col("view_name").cast("string").alias("name")).alias("value")))
+    # A repeated (model, view, name) row lands in the same record (same hash
+    # part) and is dropped there; map keys must be unique.
     return keyed.groupBy("model_id", "model_name", "model_space", "part").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("dependencies")
+        F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("dependencies")
     ).select(F.col("model_id"), F.col("model_name").alias("name"), F.col("model_space").alias("space_name"),
              "part", "dependencies")
 
