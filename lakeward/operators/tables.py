@@ -115,13 +115,21 @@ def partition_by_year(df: DataFrame, attribute: str, start: int, end: int, path:
 
     If ``path`` already holds a table and ``overwrite`` is off, nothing is
     written and the outcome is ``exists`` (which still counts as created);
-    otherwise the whole layout is replaced and the outcome is ``created``."""
+    otherwise the whole layout is replaced and the outcome is ``created``.
+
+    Replacing never deletes first: new partitions are committed with dynamic
+    partition overwrite and only then are the partitions the new data lacks
+    removed, so a failed job leaves the previous table readable."""
     spark = df.sparkSession
-    if path_exists(spark, path) and not overwrite:
+    exists = path_exists(spark, path)
+    if exists and not overwrite:
         return "exists"
     if not year_bounds(start, end)[1:]:
         return "failed"
-    _write_partitioned(with_partition(df, attribute, start, end), path, mode_dynamic=False)
+    if exists:
+        repersist(df, path, attribute, start, end, locked=[])
+    else:
+        _write_partitioned(with_partition(df, attribute, start, end), path, mode_dynamic=True)
     return "created"
 
 
