@@ -81,7 +81,11 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     m = m.select("model_id", F.col("name").alias("model_name"),
                  F.col("space_name").alias("model_space"), "position")
     # Only edges of the selected models take part, also in the de-duplication.
-    e = edges.select("model_id", "view_id", "view_name").join(m.select("model_id"), "model_id", "left_semi")
+    # Exact repeats of an edge row are dropped (a hash aggregate that reuses
+    # an existing (model_id, view_id) partitioning); one name per (model,
+    # view) is the input contract, as the source answers with a map.
+    e = edges.select("model_id", "view_id", "view_name").distinct() \
+        .join(m.select("model_id"), "model_id", "left_semi")
     if skip_duplicates:
         e = _first_model_per_view(e, m.select("model_id", "position"))
     resolved = map_views_to_spaces(e, views)
@@ -113,10 +117,8 @@ def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000,
                    F.struct(F.col("view_id").cast("string").alias("key"),
                             F.struct(F.col("view_space").cast("string").alias("space"),
                                      F.col("view_name").cast("string").alias("name")).alias("value")))
-    # A repeated (model, view, name) row lands in the same record (same hash
-    # part) and is dropped there; map keys must be unique.
     return keyed.groupBy("model_id", "model_name", "model_space", "part").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("dependencies")
+        F.map_from_entries(F.collect_list(entry)).alias("dependencies")
     ).select(F.col("model_id"), F.col("model_name").alias("name"), F.col("model_space").alias("space_name"),
              "part", "dependencies")
 

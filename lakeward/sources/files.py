@@ -102,11 +102,12 @@ def write_edges_catalog(edges: DataFrame, path: str, max_views_per_line: int = 1
     A model with more views than ``max_views_per_line`` is spread over
     several lines (by a hash of the view id), so no line -- and no task
     building it -- grows without bound; ``scan_catalog`` reads all lines."""
+    edges = edges.select("model_id", "view_id", "view_name").distinct()
     sizes = edges.groupBy("model_id").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_line))).cast("int")
     keyed = edges.join(sizes, "model_id").withColumn("_part", F.pmod(F.xxhash64("view_id"), parts))
-    lines = keyed.groupBy("model_id", "_part").agg(F.map_from_entries(F.array_distinct(F.collect_list(
-        F.struct(F.col("view_id").cast("string"), F.col("view_name").cast("string"))))).alias("views"))
+    lines = keyed.groupBy("model_id", "_part").agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("view_id").cast("string"), F.col("view_name").cast("string")))).alias("views"))
     lines.select(F.to_json(F.create_map(F.col("model_id").cast("string"), F.col("views"))).alias("value")) \
         .write.mode("overwrite").text(path)
 
