@@ -5,50 +5,62 @@ aggregates of ``min``/``max`` over a struct that leads with the ordering
 columns.  An aggregate (unlike a ``row_number`` window) is computed partially
 on the map side, so a key holding a third of all rows is reduced to one row
 per map task before the shuffle instead of landing whole in one task.
+
+Null-safe keys are packed into one struct column (``_key``): struct equality
+treats null fields as equal, so a plain equi-join on the packed key matches
+an empty key with an empty key, and a "last per key" grouped on the same
+packed key is already partitioned the way the join needs it -- no second
+shuffle of the aggregated side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+KEY = "_key"
+
+
+def pack_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the packed key struct ``_key`` of ``keys``."""
+    return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys]))
+
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], agg) -> DataFrame:
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], agg,
+          packed: bool) -> DataFrame:
     keys, order, values = list(keys), list(order), list(values)
     fields = order + [v for v in values if v not in order]
-    packed = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
-    picked = df.groupBy(*keys).agg(agg(packed).alias("_pick"))
-    return picked.select(*keys, *[F.col(f"_pick.f{fields.index(v)}").alias(v) for v in values])
+    packed_vals = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
+    group = [KEY] if packed else keys
+    src = pack_key(df, keys) if packed else df
+    picked = src.groupBy(*group).agg(agg(packed_vals).alias("_pick"))
+    return picked.select(*group, *[F.col(f"_pick.f{fields.index(v)}").alias(v) for v in values])
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
+                  packed: bool = False) -> DataFrame:
     """One row per key holding ``values`` of the row that sorts first by
-    ``order`` (ties broken by ``values``)."""
-    return _pick(df, keys, order, values, F.min)
+    ``order`` (ties broken by ``values``).  ``packed=True`` groups on the
+    packed key ``_key`` (null-safe join input) instead of the key columns."""
+    return _pick(df, keys, order, values, F.min, packed)
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
+                 packed: bool = False) -> DataFrame:
     """One row per key holding ``values`` of the row that sorts last by
-    ``order`` (ties broken by ``values``)."""
-    return _pick(df, keys, order, values, F.max)
+    ``order`` (ties broken by ``values``); see ``first_per_key``."""
+    return _pick(df, keys, order, values, F.max, packed)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                   right_prefix: str = "_r_") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` with null-safe equality (a null key matches a null
-    key, as two empty CSV fields compare equal) keeping the left key columns.
-    The right side's other columns keep their names."""
+    key, as two empty CSV fields compare equal), keeping the left key
+    columns.  ``right`` may already carry the packed key ``_key`` (e.g. from
+    ``last_per_key(..., packed=True)``); its own key columns are dropped."""
     keys = list(keys)
-    r = right
-    for k in keys:
-        r = r.withColumnRenamed(k, right_prefix + k)
-    cond: Column | None = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[right_prefix + k])
-        cond = c if cond is None else cond & c
-    out = left.join(r, cond, how)
-    if how in ("left_semi", "left_anti", "semi", "anti", "leftsemi", "leftanti"):
-        return out
-    return out.drop(*[right_prefix + k for k in keys])
+    lft = pack_key(left, keys)
+    r = right if KEY in right.columns else pack_key(right, keys)
+    r = r.drop(*[k for k in keys if k in r.columns])
+    return lft.join(r, KEY, how).drop(KEY)

@@ -54,3 +54,38 @@ def test_session_enables_adaptive_skew_handling():
     for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
               "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled"):
         assert BASE_CONF[k] == "true"
+
+
+def test_skewed_key_is_split_by_adaptive_join(spark):
+    """Result rows where one key holds a third of all rows, joined null-safely
+    (sort-merge, broadcast disabled) to the latest outcome per key: AQE
+    splits the hot partition instead of running it as one task."""
+    from lakeward.functions.keyed import null_safe_join
+    from lakeward.operators.outcomes import latest_outcomes
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.enabled",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+        n = 60000
+        results = spark.range(0, n, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("entity"),
+            F.lit("S").alias("space"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        latest = latest_outcomes(_hot_log(spark, 3000), ["seq"], ["success"])
+        j = null_safe_join(results, latest, ["entity", "space"], "left")
+        assert len(j.collect()) == n
+        final = j._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in final and "skew=true" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
