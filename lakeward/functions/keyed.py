@@ -64,3 +64,28 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     r = right if KEY in right.columns else pack_key(right, keys)
     r = r.drop(*[k for k in keys if k in r.columns])
     return lft.join(r, KEY, how).drop(KEY)
+
+
+def packed_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
+                how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Equi-join on keys packed into one struct per side.
+
+    Used where one side is an aggregate already partitioned by its key
+    columns: joining on the packed key makes Spark re-shuffle that side (one
+    row per key) so both join inputs are plain shuffle reads -- the shape in
+    which AQE's skew-join rule can split a hot key of the other side.
+    ``null_safe=False`` keeps plain equality: a key with a null field never
+    matches.  The right side's key columns are dropped."""
+    def pack(df, keys, name):
+        s = F.struct(*[F.col(k) for k in keys])
+        if not null_safe:
+            any_null = None
+            for k in keys:
+                c = F.col(k).isNull()
+                any_null = c if any_null is None else (any_null | c)
+            s = F.when(~any_null, s)
+        return df.withColumn(name, s)
+
+    lft = pack(left, left_keys, KEY)
+    r = pack(right, right_keys, KEY).drop(*right_keys)
+    return lft.join(r, KEY, how).drop(KEY)

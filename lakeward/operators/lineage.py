@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.functions.keyed import first_per_key
+from lakeward.functions.keyed import first_per_key, packed_join
 from lakeward.session import materialize
 
 
@@ -49,7 +49,7 @@ def map_views_to_spaces(edges: DataFrame, views: DataFrame) -> DataFrame:
     its measured size is under the broadcast threshold, otherwise it stays a
     sort-merge join, and a view shared by very many models is split by the
     skew-join rule."""
-    return edges.join(first_space_per_view(views), "view_id", "left")
+    return packed_join(edges, first_space_per_view(views), ["view_id"], ["view_id"], "left", null_safe=True)
 
 
 def first_model_per_view(edges: DataFrame, models: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def first_model_per_view(edges: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def _first_model_per_view(edges: DataFrame, positions: DataFrame) -> DataFrame:
-    ordered = edges.join(positions, "model_id")
+    ordered = packed_join(edges, positions.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner")
     return first_per_key(ordered, ["view_id"], ["position", "model_id"], ["model_id", "view_name"]) \
         .select("model_id", "view_id", "view_name")
 
@@ -110,7 +110,7 @@ def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000,
     lf = materialize(long_form, "model_edges") if materialize_input else long_form
     sizes = lf.groupBy("model_id").agg(F.count("view_id").alias("_n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_record))).cast("int")
-    keyed = lf.join(sizes, "model_id").withColumn(
+    keyed = packed_join(lf, sizes.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner").withColumn(
         "part", F.when(F.col("view_id").isNull(), F.lit(0))
         .otherwise(F.pmod(F.xxhash64(F.col("view_id")), parts)).cast("int"))
     entry = F.when(F.col("view_id").isNotNull(),

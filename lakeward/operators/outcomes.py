@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.functions.keyed import last_per_key, null_safe_join
+from lakeward.functions.keyed import last_per_key, null_safe_join, packed_join
 from lakeward.functions.scalars import NO_PARTITIONS, outcome_flag, runtime_rule
 from lakeward.operators.lineage import requested_model_edges
 from lakeward.session import materialize
@@ -162,7 +162,8 @@ def runtime_report(requests: DataFrame, models: DataFrame, edges: DataFrame, vie
     view_name, runtime, alreadyPersisted, removedPersistence."""
     work = requested_model_edges(requests, models, edges, views).distinct()
     state = view_run_state(persisted, persist_outcomes, unpersist_outcomes, order)
-    j = work.join(state, (work.view_name == state.name) & (work.view_space == state.space), "left")
+    # Plain equality: an unresolved view (space null) never matches a run.
+    j = packed_join(work, state, ["view_name", "view_space"], ["name", "space"], "left")
     ok = F.coalesce(F.col("p.success"), F.lit(False))
     already = F.coalesce(F.col("already"), F.lit(False))
     return j.select(
@@ -183,7 +184,8 @@ def runtime_report_nested(report: DataFrame, max_views_per_record: int = 100_000
         report = materialize(report, "runtime_report")
     sizes = report.groupBy("model_id").agg(F.count(F.lit(1)).alias("_n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_record))).cast("int")
-    keyed = report.join(sizes, "model_id").withColumn("part", F.pmod(F.xxhash64("view_id"), parts).cast("int"))
+    keyed = packed_join(report, sizes.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner") \
+        .withColumn("part", F.pmod(F.xxhash64("view_id"), parts).cast("int"))
     entry = F.struct(F.col("view_id").cast("string").alias("key"),
                      F.struct(F.col("view_space").alias("space"), F.col("view_name").alias("name"),
                               "runtime", "alreadyPersisted", "removedPersistence").alias("value"))
