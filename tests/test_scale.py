@@ -56,6 +56,39 @@ def test_session_enables_adaptive_skew_handling():
         assert BASE_CONF[k] == "true"
 
 
+_SKEW_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+              "spark.sql.adaptive.coalescePartitions.enabled": "false",
+              "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+
+
+def test_hot_view_is_split_in_space_resolution(spark):
+    """J1 with one view held by a third of all model edges."""
+    old = {k: spark.conf.get(k, None) for k in _SKEW_CONF}
+    try:
+        for k, v in _SKEW_CONF.items():
+            spark.conf.set(k, v)
+        n = 60000
+        edges = spark.range(0, n, 1, 8).select(
+            F.col("id").cast("string").alias("model_id"),
+            F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("view_id"),
+            F.sha2(F.col("id").cast("string"), 256).alias("view_name"))
+        views = spark.range(0, 3000, 1, 4).select(
+            F.when(F.col("id") == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("view_id"),
+            F.lit("SP").alias("space_name"), F.col("id").alias("position"))
+        j = lineage.map_views_to_spaces(edges, views)
+        rows = j.collect()
+        assert len(rows) == n and sum(1 for r in rows if r["view_id"] == "HOT" and r["view_space"] == "SP") == n // 3
+        assert "skew=true" in j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def test_skewed_key_is_split_by_adaptive_join(spark):
     """Result rows where one key holds a third of all rows, joined null-safely
     (sort-merge, broadcast disabled) to the latest outcome per key: AQE
