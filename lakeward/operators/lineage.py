@@ -84,13 +84,23 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     # Exact repeats of an edge row are dropped (a hash aggregate that reuses
     # an existing (model_id, view_id) partitioning); one name per (model,
     # view) is the input contract, as the source answers with a map.
-    e = edges.select("model_id", "view_id", "view_name").distinct() \
-        .join(m.select("model_id"), "model_id", "left_semi")
+    e = packed_join(edges.select("model_id", "view_id", "view_name").distinct(),
+                    m.select(F.col("model_id").alias("_m")), ["model_id"], ["_m"], "left_semi")
     if skip_duplicates:
         e = _first_model_per_view(e, m.select("model_id", "position"))
     resolved = map_views_to_spaces(e, views)
-    return m.join(resolved, "model_id", "left").select(
-        "model_id", "model_name", "model_space", "view_id", "view_name", "view_space")
+    cols = ["model_id", "model_name", "model_space", "view_id", "view_name", "view_space"]
+    # Edges inner-join their model (the edge side can be split by AQE when a
+    # model holds a third of all edges); models without any edge are added
+    # by an anti join against the distinct model ids of the edges.  A left
+    # join from the models would put the hot side on the non-preserved side,
+    # which can be neither split nor streamed.
+    with_model = packed_join(resolved, m.select(F.col("model_id").alias("_m"), "model_name", "model_space"),
+                             ["model_id"], ["_m"], "inner")
+    empty = m.join(resolved.select("model_id").distinct(), "model_id", "left_anti").select(
+        "model_id", "model_name", "model_space", F.lit(None).cast(resolved.schema["view_id"].dataType).alias("view_id"),
+        F.lit(None).cast("string").alias("view_name"), F.lit(None).cast("string").alias("view_space"))
+    return with_model.select(*cols).unionByName(empty.select(*cols))
 
 
 def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000,
@@ -148,5 +158,6 @@ def requested_model_edges(requests: DataFrame, models: DataFrame, edges: DataFra
     """J2 + J1: the views of every requested model with their spaces.
     Columns: model_id, model_name, view_id, view_name, view_space."""
     resolved = resolve_models(requests, models).select("model_id", F.col("name").alias("model_name"))
-    e = edges.select("model_id", "view_id", "view_name").join(resolved, "model_id")
+    e = packed_join(edges.select("model_id", "view_id", "view_name"),
+                    resolved.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner")
     return map_views_to_spaces(e, views).select("model_id", "model_name", "view_id", "view_name", "view_space")

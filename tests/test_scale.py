@@ -122,3 +122,29 @@ def test_skewed_key_is_split_by_adaptive_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_model_is_split_in_model_export(spark):
+    """A1 long form with one model holding a third of all edges."""
+    old = {k: spark.conf.get(k, None) for k in _SKEW_CONF}
+    try:
+        for k, v in _SKEW_CONF.items():
+            spark.conf.set(k, v)
+        n = 60000
+        edges = spark.range(0, n, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("m"), (F.col("id") % 5000).cast("string"))).alias("model_id"),
+            F.col("id").cast("string").alias("view_id"), F.sha2(F.col("id").cast("string"), 256).alias("view_name"))
+        models = spark.range(0, 5000, 1, 4).select(
+            F.when(F.col("id") == 0, F.lit("HOT")).otherwise(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("model_id"),
+            F.lit("M").alias("name"), F.lit("S").alias("space_name"), F.col("id").alias("position"))
+        views = spark.createDataFrame([], "view_id string, space_name string, position int")
+        lf = lineage.model_edges(models, edges, views)
+        rows = lf.collect()
+        assert sum(1 for r in rows if r["model_id"] == "HOT") == n // 3
+        assert "skew=true" in lf._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
