@@ -80,12 +80,16 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
         m = models_in_space(m, space)
     m = m.select("model_id", F.col("name").alias("model_name"),
                  F.col("space_name").alias("model_space"), "position")
-    # Only edges of the selected models take part, also in the de-duplication.
     # Exact repeats of an edge row are dropped (a hash aggregate that reuses
     # an existing (model_id, view_id) partitioning); one name per (model,
-    # view) is the input contract, as the source answers with a map.
-    e = packed_join(edges.select("model_id", "view_id", "view_name").distinct(),
-                    m.select(F.col("model_id").alias("_m")), ["model_id"], ["_m"], "left_semi")
+    # view) is the input contract, as the source answers with a map.  Only
+    # edges of the selected models take part: the de-duplication and the
+    # final join are inner joins with the models; for a space-filtered
+    # export without de-duplication the edges are cut before the space
+    # resolution by a semi join.
+    e = edges.select("model_id", "view_id", "view_name").distinct()
+    if space is not None and not skip_duplicates:
+        e = packed_join(e, m.select(F.col("model_id").alias("_m")), ["model_id"], ["_m"], "left_semi")
     if skip_duplicates:
         e = _first_model_per_view(e, m.select("model_id", "position"))
     resolved = map_views_to_spaces(e, views)
@@ -97,8 +101,8 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     # which can be neither split nor streamed.
     with_model = packed_join(resolved, m.select(F.col("model_id").alias("_m"), "model_name", "model_space"),
                              ["model_id"], ["_m"], "inner")
-    empty = m.join(resolved.select("model_id").distinct(), "model_id", "left_anti").select(
-        "model_id", "model_name", "model_space", F.lit(None).cast(resolved.schema["view_id"].dataType).alias("view_id"),
+    empty = m.join(e.select("model_id").distinct(), "model_id", "left_anti").select(
+        "model_id", "model_name", "model_space", F.lit(None).cast(e.schema["view_id"].dataType).alias("view_id"),
         F.lit(None).cast("string").alias("view_name"), F.lit(None).cast("string").alias("view_space"))
     return with_model.select(*cols).unionByName(empty.select(*cols))
 
