@@ -141,12 +141,24 @@ def merge_batch(prev: DataFrame, batch: DataFrame, keys: Sequence[str], order: S
     return j.select(*out)
 
 
-def apply_batch(batch: DataFrame, path: str, batch_id: int, order: Sequence[str], meta=None) -> None:
+def apply_batch(batch: DataFrame, path: str, batch_id: int, order: Sequence[str], meta=None,
+                committed: dict[int, int] | None = None) -> None:
     """Merge one micro-batch into the store as version ``batch_id + 1`` of
-    the buckets it touches (idempotent for a replayed ``batch_id``)."""
+    the buckets it touches (idempotent for a replayed ``batch_id``).
+
+    ``committed`` is the caller's view of the newest committed version per
+    bucket (kept across micro-batches by ``stream_upsert``); it is updated
+    here.  Without it the manifest is read.  Merging onto a version that
+    already holds this batch changes nothing (rows only move forward in
+    ``_last`` order), so a view newer than ``batch_id`` is safe."""
     spark = batch.sparkSession
     buckets, keys, schema = meta or _meta(spark, path)
-    versions = _current_versions(spark, path, upto=batch_id)
+    if committed is None:
+        versions = _current_versions(spark, path, upto=batch_id)
+    else:
+        if not committed:
+            committed.update(_current_versions(spark, path))
+        versions = dict(committed)
     if buckets > 1:
         touched = {r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect()}  # <= buckets values
         versions = {b: v for b, v in versions.items() if b in touched}
@@ -154,6 +166,8 @@ def apply_batch(batch: DataFrame, path: str, batch_id: int, order: Sequence[str]
         return  # no result row shares a bucket with this batch
     prev = _read_buckets(spark, path, versions, schema)
     _commit(merge_batch(prev, batch, keys, order), path, int(batch_id) + 1, sorted(versions))
+    if committed is not None:
+        committed.update({b: int(batch_id) + 1 for b in versions})
 
 
 def vacuum(spark: SparkSession, path: str, keep_versions: int = 1) -> int:
@@ -197,9 +211,10 @@ def stream_upsert(outcomes: DataFrame, path: str, checkpoint: str, order: Sequen
     ``vacuum_every = k > 0`` superseded versions are removed every k
     batches (keeping two per bucket for a safe replay)."""
     meta = _meta(outcomes.sparkSession, path)
+    committed: dict[int, int] = {}  # read from the manifest at the first batch
 
     def _batch(df: DataFrame, bid: int) -> None:
-        apply_batch(df, path, bid, order, meta)
+        apply_batch(df, path, bid, order, meta, committed)
         if vacuum_every and (bid + 1) % int(vacuum_every) == 0:
             vacuum(df.sparkSession, path, keep_versions=2)
 
