@@ -39,6 +39,8 @@ SEARCH_WORD = "the"
 MODEL_SPACE = "NATION_1"
 STATISTICS_REQUEST = "HISTOGRAM"
 PROFILED_TABLES = ["lineitem", "orders", "customer"]
+PERSISTED_STATUSES = ["O", "F", "P"]
+UNPERSISTED_STATUS = "F"
 # --- end of fixed values -----------------------------------------------------
 
 

@@ -287,7 +287,8 @@ SELECT m.model_id, m.space_name AS model_space, d.view_id, d.view_name, v.view_s
 FROM m JOIN d ON d.model_id = m.model_id LEFT JOIN v ON v.view_id = d.view_id"""
 
 ORACLES["persisted_flag"] = """
-SELECT DISTINCT 'orders_' || o_orderstatus AS entity, 'SALES' AS space, o_orderstatus <> 'F' AS isPersisted
+SELECT DISTINCT 'orders_' || o_orderstatus AS entity, 'SALES' AS space,
+       o_orderstatus IN ('O', 'P') AS isPersisted
 FROM orders"""
 
 ORACLES["create_statistics"] = """

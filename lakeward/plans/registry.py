@@ -288,14 +288,14 @@ def export_by_space_roundtrip(spark, d):
 
 
 def persisted_flag(spark, d):
-    """Persist one view per order status, unpersist the one for status 'F',
-    then flag the list of views from the registry state."""
+    """Persist one view per order status of ``fx.PERSISTED_STATUSES``,
+    unpersist the one for ``fx.UNPERSISTED_STATUS``, then flag every
+    per-status view of the orders table from the registry state."""
     store = scratch_path(spark, "store")
     orders = fx.table(spark, d, "orders")
-    statuses = [r[0] for r in orders.select("o_orderstatus").distinct().collect()]  # a handful of codes
-    for stt in statuses:
+    for stt in fx.PERSISTED_STATUSES:
         tables.persist(orders.filter(F.col("o_orderstatus") == stt), f"orders_{stt}", "SALES", store)
-    tables.unpersist(spark, "orders_F", "SALES", store)
+    tables.unpersist(spark, f"orders_{fx.UNPERSISTED_STATUS}", "SALES", store)
     views = orders.select(F.concat(F.lit("orders_"), F.col("o_orderstatus")).alias("entity"),
                           F.lit("SALES").alias("space")).distinct()
     return tables.with_persisted_flag(views, spark, store)
