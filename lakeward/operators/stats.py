@@ -182,6 +182,7 @@ def refresh_profiles(spark: SparkSession, catalog: DataFrame, tables: Mapping[st
     submitted side by side, like the original's bounded request
     concurrency).  Returns one row per table: table_name, statistics_type,
     status (refreshed / failed)."""
+    # One row per catalogue table (metadata, not data rows).
     todo = [(r["table_name"], r["statistics_type"]) for r in plan_refresh(catalog).collect()]
 
     def one(name: str, stype: str) -> tuple:
@@ -213,6 +214,7 @@ def create_statistics(spark: SparkSession, catalog: DataFrame, statistics_type:
     table_name, action, status (created / updated / skipped / failed).
     A table the catalogue names but ``tables`` does not provide fails."""
     t = _check_type(statistics_type)
+    # One row per catalogue table (metadata, not data rows).
     plan = [(r["table_name"], r["action"]) for r in plan_statistics(catalog, t).collect()]
 
     def one(name: str, action: str) -> tuple:

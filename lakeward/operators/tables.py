@@ -163,6 +163,7 @@ def repersist(df: DataFrame, path: str, attribute: str, start: int, end: int,
     new = with_partition(df, attribute, start, end)
     if locked:
         new = new.filter(~F.col(PARTITION_COL).isin(*locked))
+    # At most one value per yearly range plus ``rest``; a one-column scan.
     written = sorted(r[0] for r in new.select(PARTITION_COL).distinct().collect())
     _write_partitioned(new, path, mode_dynamic=True)
     for value in stored_partitions(spark, path):
@@ -240,5 +241,6 @@ def with_persisted_flag(views: DataFrame, spark: SparkSession, store: str,
 
 def read_view(spark: SparkSession, entity: str, space: str, store: str) -> DataFrame | None:
     """The persisted data of a view, or None when it is not persisted."""
-    rows = persisted_views(spark, store).filter((F.col("entity") == entity) & (F.col("space") == space)).collect()
+    rows = persisted_views(spark, store).filter((F.col("entity") == entity) & (F.col("space") == space)) \
+        .limit(1).collect()  # the registry holds one current row per view
     return spark.read.parquet(rows[0]["path"]) if rows else None

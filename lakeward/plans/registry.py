@@ -232,6 +232,7 @@ def repersist(spark, d):
     src = _ship_years(spark, d)
     tables.partition_by_year(src, "ship_year", PARTITION_START, PARTITION_END, path)
     ranges = tables.lock_partitions(tables.year_ranges(spark, PARTITION_START, PARTITION_END), LOCK_UNTIL)
+    # Ranges come from the (parameter-sized) bounds, not from data rows.
     locked = [r["partition"] for r in ranges.filter("locked").select("partition").collect()]
     tables.repersist(src.filter(F.col("l_linestatus") == "O"), path, "ship_year",
                      PARTITION_START, PARTITION_END, locked)
