@@ -83,6 +83,9 @@ def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet") -> DataFrame:
     """Read a metadata catalogue with a fixed layout.
 
+    Models and views come back in the operators' contract: ``model_id`` /
+    ``view_id`` and a ``position`` in catalogue (file) order.
+
     ``kind="edges"`` reads the model-to-view answer (JSON Lines, one object
     ``{model_id: {view_id: view_name}}`` per line) and flattens it to
     (model_id, view_id, view_name) with two map explodes."""
@@ -93,7 +96,14 @@ def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet"
     if kind not in CATALOG_SCHEMAS:
         raise ValueError(f"unknown catalogue kind {kind!r}")
     reader = spark.read.schema(CATALOG_SCHEMAS[kind])
-    return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+    df = reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+    if kind in ("models", "views", "view_attributes"):
+        # Catalogue order decides "first match wins": the position is the
+        # row's place in the files (partition index, then row index), the
+        # same on every re-read of the same files.
+        df = df.withColumnRenamed("id", "model_id" if kind == "models" else "view_id") \
+            .withColumn("position", F.monotonically_increasing_id())
+    return df
 
 
 def write_edges_catalog(edges: DataFrame, path: str, max_views_per_line: int = 100_000) -> None:

@@ -60,3 +60,24 @@ def test_edges_catalog_roundtrip_splits_big_models(spark, scratch):
         assert all(len(json.loads(line)["m1"]) < 250 for line in fh)
     back = sources.scan_catalog(spark, p, "edges")
     assert back.count() == 250 and back.select("view_id").distinct().count() == 250
+
+
+def test_catalog_models_and_views_feed_the_export(spark, scratch):
+    from lakeward.operators import lineage
+    mp, vp, ep = (os.path.join(scratch, n) for n in ("models.jsonl", "views.jsonl", "edges.jsonl"))
+    with open(mp, "w", encoding="utf-8") as fh:
+        fh.write(json.dumps({"id": "m1", "name": "Model1", "space_name": "SP"}) + "\n")
+        fh.write(json.dumps({"id": "m2", "name": "Model2", "space_name": "SP"}) + "\n")
+    with open(vp, "w", encoding="utf-8") as fh:
+        fh.write(json.dumps({"id": "v1", "name": "View1", "space_name": "FIRST", "business_name": "b"}) + "\n")
+        fh.write(json.dumps({"id": "v1", "name": "View1", "space_name": "SECOND", "business_name": "b"}) + "\n")
+    with open(ep, "w", encoding="utf-8") as fh:
+        fh.write(json.dumps({"m2": {"v1": "View1"}}) + "\n")
+        fh.write(json.dumps({"m1": {"v1": "View1", "v2": "View2"}}) + "\n")
+    models = sources.scan_catalog(spark, mp, "models", fmt="json")
+    views = sources.scan_catalog(spark, vp, "views", fmt="json")
+    edges = sources.scan_catalog(spark, ep, "edges")
+    got = sorted((r["model_id"], r["view_id"], r["view_space"])
+                 for r in lineage.model_edges(models, edges, views, skip_duplicates=True).collect())
+    # m1 comes first in the catalogue, so it keeps v1; the first catalogue row of v1 gives its space
+    assert got == [("m1", "v1", "FIRST"), ("m1", "v2", None), ("m2", None, None)]
