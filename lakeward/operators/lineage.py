@@ -45,10 +45,11 @@ def map_views_to_spaces(edges: DataFrame, views: DataFrame) -> DataFrame:
     """Attach each view's space (first catalogue match wins).  Views that
     are not in the catalogue keep ``view_space = null`` (unresolved).
 
-    A left equi-join on view_id; AQE broadcasts the catalogue side only when
-    its measured size is under the broadcast threshold, otherwise it stays a
-    sort-merge join, and a view shared by very many models is split by the
-    skew-join rule."""
+    A left equi-join on the packed view id (null-safe, like the original
+    comparison); AQE broadcasts the catalogue side only when its measured
+    size is under the broadcast threshold, otherwise it stays a sort-merge
+    join, and a view shared by very many models is split by the skew-join
+    rule."""
     return packed_join(edges, first_space_per_view(views), ["view_id"], ["view_id"], "left", null_safe=True)
 
 
@@ -75,9 +76,9 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     emptied by ``skip_duplicates`` -- keep one row with null view columns.
     Columns: model_id, model_name, model_space, view_id, view_name, view_space.
     """
-    m = unique_models(models)
-    if space is not None:
-        m = models_in_space(m, space)
+    # The space filter runs on the catalogue rows themselves (as the source
+    # filters), so Catalyst pushes it into the scan.
+    m = unique_models(models_in_space(models, space) if space is not None else models)
     m = m.select("model_id", F.col("name").alias("model_name"),
                  F.col("space_name").alias("model_space"), "position")
     # Exact repeats of an edge row are dropped (a hash aggregate that reuses
