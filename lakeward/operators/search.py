@@ -22,7 +22,11 @@ def best_persistence_candidates(stats: DataFrame, key: Sequence[str], order: Seq
 
     The filter runs before the shuffle and "first" is a partial aggregate, so
     only one candidate per key and map task crosses the network."""
-    hits = stats.filter(F.coalesce(F.col(score_col), F.lit(0)) == F.lit(score))
+    # coalesce(score, 0) = s, written so the scan can use it: for s != 0 a
+    # missing score never matches; for s = 0 it always does.
+    sc = F.col(score_col)
+    cond = (sc == F.lit(score)) if score != 0 else ((sc == F.lit(0)) | sc.isNull())
+    hits = stats.filter(cond)
     return first_per_key(hits, list(key), list(order), CANDIDATE_COLUMNS)
 
 

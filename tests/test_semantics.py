@@ -212,3 +212,12 @@ def test_model_without_views_gets_empty_map(spark):
     views = spark.createDataFrame([], "view_id string, space_name string, position int")
     row = lineage.nested_export(lineage.model_edges(models, edges, views)).first()
     assert row["dependencies"] == {}
+
+
+def test_missing_score_counts_as_zero(spark):
+    stats_df = spark.createDataFrame([("v", 0, "A", None), ("v", 1, "B", 0), ("w", 0, "C", None), ("x", 0, "D", 4)],
+                                     "view_id string, position int, entity string, persistencyCandidateScore int") \
+        .withColumn("space", F.lit("S")).withColumn("businessName", F.lit("b")).withColumn("isPersisted", F.lit(False))
+    got = {r["view_id"]: r["entity"] for r in
+           search.best_persistence_candidates(stats_df, ["view_id"], ["position"], score=0).collect()}
+    assert got == {"v": "A", "w": "C"}
