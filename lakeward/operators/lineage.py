@@ -160,9 +160,12 @@ def persist_worklist(resolved_edges: DataFrame) -> DataFrame:
 
 
 def requested_model_edges(requests: DataFrame, models: DataFrame, edges: DataFrame, views: DataFrame) -> DataFrame:
-    """J2 + J1: the views of every requested model with their spaces.
+    """J2 + J1: the views of every requested model with their spaces, one
+    row per (model, view, name).
     Columns: model_id, model_name, view_id, view_name, view_space."""
     resolved = resolve_models(requests, models).select("model_id", F.col("name").alias("model_name"))
-    e = packed_join(edges.select("model_id", "view_id", "view_name"),
+    # Distinct edges make the result unique per (model, view): resolved
+    # models are unique per id and J1 gives one space per view.
+    e = packed_join(edges.select("model_id", "view_id", "view_name").distinct(),
                     resolved.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner")
     return map_views_to_spaces(e, views).select("model_id", "model_name", "view_id", "view_name", "view_space")

@@ -160,7 +160,7 @@ def runtime_report(requests: DataFrame, models: DataFrame, edges: DataFrame, vie
     fanned out to every model by the join.  Unresolved views (space null)
     never match a run.  Columns: model_id, model_name, view_id, view_space,
     view_name, runtime, alreadyPersisted, removedPersistence."""
-    work = requested_model_edges(requests, models, edges, views).distinct()
+    work = requested_model_edges(requests, models, edges, views)  # already one row per (model, view, name)
     state = view_run_state(persisted, persist_outcomes, unpersist_outcomes, order)
     # Plain equality: an unresolved view (space null) never matches a run.
     j = packed_join(work, state, ["view_name", "view_space"], ["name", "space"], "left")
