@@ -65,3 +65,22 @@ def test_vacuum_keeps_current_state(spark, scratch):
     # still usable afterwards
     st.apply_batch(spark.createDataFrame([("e0", "S", 99, False, None)], SCHEMA), res, 5, ["seq"])
     assert st.current_results(spark, res).filter("entity = 'e0'").first()["isCompleted"] is False
+
+
+def test_random_arrival_order_matches_batch(spark, scratch):
+    import random
+    rng = random.Random(5)
+    res = os.path.join(scratch, "res")
+    results = spark.createDataFrame([(f"e{i}", rng.choice(["S", None]), False, None) for i in range(12)],
+                                    "entity string, space string, isCompleted boolean, runtime bigint")
+    st.init_results(results, res, "seq int", buckets=3)
+    keys = [(r["entity"], r["space"]) for r in results.collect()] + [("ghost", "S")]
+    runs = [(e, s, seq, rng.random() < 0.5, rng.choice([None, rng.randint(0, 50)])) for seq in range(90)
+            for e, s in [rng.choice(keys)]]
+    shuffled = runs[:]
+    rng.shuffle(shuffled)
+    for bid, chunk in enumerate([shuffled[:30], shuffled[30:60], shuffled[60:]]):
+        st.apply_batch(spark.createDataFrame(chunk, SCHEMA), res, bid, ["seq"])
+    got = sorted(tuple(r) for r in st.current_results(spark, res).collect())
+    batch = oc.upsert_results(results, spark.createDataFrame(runs, SCHEMA), ["seq"])
+    assert got == sorted(tuple(r) for r in batch.collect())
