@@ -221,3 +221,15 @@ def test_missing_score_counts_as_zero(spark):
     got = {r["view_id"]: r["entity"] for r in
            search.best_persistence_candidates(stats_df, ["view_id"], ["position"], score=0).collect()}
     assert got == {"v": "A", "w": "C"}
+
+
+def test_profile_simple_exact_and_approx(spark):
+    from lakeward.operators import stats
+    df = spark.range(0, 20000).select((F.col("id") % 1000).alias("a"), F.when(F.col("id") % 4 == 0, None)
+                                      .otherwise(F.col("id").cast("string")).alias("b"))
+    exact = {r["column_name"]: r for r in stats.profile_simple(df).collect()}
+    assert (exact["a"]["row_count"], exact["a"]["null_count"], exact["a"]["distinct_count"]) == (20000, 0, 1000)
+    assert (exact["b"]["null_count"], exact["b"]["distinct_count"]) == (5000, 15000)
+    assert (exact["a"]["min_value"], exact["a"]["max_value"]) == ("0", "999")
+    approx = {r["column_name"]: r["distinct_count"] for r in stats.profile_simple(df, approx=True).collect()}
+    assert abs(approx["a"] - 1000) <= 50 and abs(approx["b"] - 15000) <= 750
