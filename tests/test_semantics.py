@@ -232,4 +232,5 @@ def test_profile_simple_exact_and_approx(spark):
     assert (exact["b"]["null_count"], exact["b"]["distinct_count"]) == (5000, 15000)
     assert (exact["a"]["min_value"], exact["a"]["max_value"]) == ("0", "999")
     approx = {r["column_name"]: r["distinct_count"] for r in stats.profile_simple(df, approx=True).collect()}
-    assert abs(approx["a"] - 1000) <= 50 and abs(approx["b"] - 15000) <= 750
+    # HyperLogLog++ default relative standard deviation is 5%: allow 3 sigma
+    assert abs(approx["a"] - 1000) <= 150 and abs(approx["b"] - 15000) <= 2250
