@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.session import shared_dir
+from lakeward.session import scratch_path, shared_dir
 
 # Fixed values of the contracts: white space and the letters that are folded.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -32,6 +32,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration in the shared folder: each round is written,
+    read back without the plan that made it, and the round before is removed."""
+
+    def __init__(self, spark):
+        self.spark, self.last = spark, None
+
+    def next(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "round")
+        df.write.parquet(path)
+        if self.last:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores in front until no column clashes with it."""
     low = {c.lower() for c in taken}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.functions.keyed import packed_join
-from lakeward.llm.common import checkpointed
+from lakeward.llm.common import Rounds, checkpointed
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,29 +16,35 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each step is a partial aggregate (the smallest neighbour per node) and a
     join that re-shuffles the aggregated side, so a node linked to a third of
-    all others is split by skew handling.  Steps are checkpointed; the edges
-    never reach the driver, which sees two sums per round."""
-    loops = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
+    all others is split by skew handling.  Steps are written to the shared folder; the
+    edges never reach the driver, which sees two sums per round."""
+    rounds = Rounds(edges.sparkSession)
+    loops = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null"))
     nodes = loops.select("u").union(loops.select("v")).distinct()
-    cur = checkpointed(loops.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    cur = rounds.next(loops.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(cur)
     while state[0]:
         both = cur.union(cur.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = packed_join(both.filter("v > u"), least, ["u"], ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = packed_join(large, least, ["u"], ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        large = _to_least(both, both.filter("v > u"))
+        small = _to_least(large, large)
+        cur = rounds.next(small.filter("u <> v").distinct())
         new = _state(cur)
         if new == state:
             break
         state = new
-    stars = cur.groupBy("u").agg(F.min("v").alias("v"))
-    return (nodes.join(stars, "u", "left")
+    # at the fixed point every edge leads from a node to its component
+    return (nodes.join(cur.hint("merge"), "u", "left")
             .select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component")))
 
 
+def _to_least(edges: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges from every node that ``moved`` leads to, and from u itself, to
+    the smallest of u and its neighbours in ``edges``."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    met = packed_join(moved, least.hint("merge"), ["u"], ["u"], "inner")
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]
