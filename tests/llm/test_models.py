@@ -1,0 +1,302 @@
+"""Language ID, quality, BPE, secrets, embeddings, mixing and URL filters."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from lakeward.llm import bpe, language_id as lid, quality as ql, queries as q, secret_scan as ss
+from lakeward.llm.embedding_dedup import link_embeddings
+from lakeward.llm.mixing import mix_sources, source_targets
+from lakeward.llm.url_filter import Rule, judge_urls
+from tests.llm.helpers import SMALL, WORD, closure, frame
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    t = pq.read_table(f"{SF}/documents.parquet")
+    return dict(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()))
+
+
+# --- language ID and quality -------------------------------------------------------
+
+def test_language_held_out_accuracy(spark, texts):
+    rows = q.op3_language_id(spark, SF).collect()
+    t = pq.read_table(f"{SF}/documents.parquet")
+    lang = dict(zip(t["doc_id"].to_pylist(), t["lang"].to_pylist()))
+    assert len(rows) == len(lang)
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held if lang[r.doc_id]]) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_odd_texts(spark):
+    rows = [(i, "the and of to with there this", "en", "s", 1) for i in range(20)] + [(50 + i, "der die und nicht mit auch für", "de", "s", 1) for i in range(20)]
+    rows += [(90, None, "en", "s", 0), (91, "", None, "s", 0), (92, "123 !!", "en", "s", 0), (93, "the " * 400_000, None, "s", 0), (93, "the and", None, None, None), (None, "und die der", None, None, None)]
+    docs = frame(spark, rows)
+    from pyspark.sql import functions as F
+    model = lid.train(docs, F.lit(True))
+    got = {(r.doc_id, (r.text or "")[:4]): (r.lang_pred, r.lang_score) for r in lid.predict_languages(docs, model).collect()}
+    assert got[(90, "")] == got[(91, "")] == got[(92, "123 ")] == ("und", 0.0)
+    assert got[(93, "the ")][0] == "en" and got[(None, "und ")][0] == "de"
+    empty = lid.train(docs.limit(0), F.lit(True))
+    assert empty.labels == ["und"]
+    assert lid.predict_languages(docs.limit(0), model).count() == 0
+
+
+def test_score_does_not_depend_on_neighbours():
+    m = lid.train_ftrl([(*lid.counts(t), y) for t, y in [("abc abd", "x"), ("xyz xzy", "y")] * 4])
+    alone = m.predict(["abc xyz abd"])
+    assert m.predict(["zzz", "abc xyz abd", None])[1][1] == alone[1][0]
+
+
+def test_quality_held_out(spark):
+    rows = {r.doc_id: r for r in q.op9_quality(spark, SF).collect()}
+    t = pq.read_table(f"{SF}/labels.parquet").to_pandas()
+    held = [(rows[d], y) for d, y in zip(t.doc_id, t.quality) if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert np.mean([r.predicted == y for r, y in held]) > 0.93
+    assert all((r.score >= 0.3) == bool(r.predicted) and 0 <= r.score <= 1 for r in rows.values())
+
+
+def test_flat_trees_match_a_walk():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 4)).astype(np.float32), rng.integers(0, 2, 300).astype(float)
+    f = ql.train_forest(x, y, trees=5, depth=3)
+    for row in x[:20]:
+        total = f.base
+        for feature, threshold, leaf in zip(f.feature, f.threshold, f.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + int(row[feature[at]] > threshold[at])
+            total += leaf[at - len(feature)]
+        assert np.isclose(total, f.margin(row[None])[0])
+
+
+def test_quality_odd_tables(spark):
+    docs = frame(spark, [(1, None), (2, ""), (2, "a"), (None, "b c"), (5, "w " * 700_000)])
+    labels = spark.createDataFrame([(1, None, 0), (2, 1, 0), (None, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+    feats = ql.document_statistics(docs)
+    forest = ql.train(feats, labels, F.lit(True))
+    got = ql.score_documents(feats, forest).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert ql.score_documents(feats.limit(0), ql.train(feats.limit(0), labels.limit(0), F.lit(True))).count() == 0
+
+
+# --- BPE -------------------------------------------------------------------------
+
+def test_bpe_equals_the_library(spark, texts):
+    from tokenizers import Tokenizer
+    path = q.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    letters = "aAbzTt'’ \t\n\x0b\x1c\u00a0\u2003éÉé́Σσςİı\u212a0123½«…!?-_|<>日本한🙂🏽‍\u0000ﬁẞ"
+    rows = list(texts.items())[:300] + [(10_000 + i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 50)))) for i in range(800)]
+    rows += [(20_000 + i, t) for i, t in enumerate([None, "", " ", "<|endoftext|>", "a<|endoftext|>b <|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "a" * 50_000, "ab" * 9000, "it's THE'LL"])]
+    got = {r.doc_id: r for r in bpe.encode_documents(frame(spark, rows), path).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == ids and got[i].n_tokens == len(ids)
+        assert got[i].decoded == tok.decode(ids, skip_special_tokens=False)
+    assert bpe.encode_documents(frame(spark, []), path).count() == 0
+
+
+# --- secrets ----------------------------------------------------------------------
+
+def test_base_spans_follow_the_patterns():
+    assert ss.base_spans("secret: token: abcdefghijkl") == []  # the failing match uses its text up
+    assert ss.base_spans('API_KEY = "abcdefghijkl"') == [(0, 23, "assign")]
+    assert ss.base_spans("x AKIA" + "A" * 14) == [(2, 20, "access")] and ss.base_spans("AKIA" + "A" * 13) == []
+    assert ss.base_spans("g" + "0" * 16 + "g" + "a" * 15) == [(1, 17, "hex")]
+    assert ss.base_spans("pa\u017f\u017fword=abcdefghijkl") == []
+    both = ss.base_spans("token=" + "0" * 20)
+    assert [k for _, _, k in both] == ["assign", "hex"]
+
+
+def test_novel_strings_are_reported_and_plain_ones_not():
+    key = "q7Zp2LxV9tRk4WmB8sYd3HnC"
+    assert [k for *_, k in ss.scan(f'client credential -> "{key}"')[1]] == ["novel"]
+    assert ss.scan(f"some words {key}")[1] == []
+    assert ss.scan("credential: abcdefghijklmnopqrstuvwxyz0123456789")[1] == []
+    assert ss.scan(f"{key}\nlink {key}\nbearer {key}")[1] == []  # its surroundings already hold it
+    assert ss.scan("the secretary wrote of the authorization in October")[1] == []
+
+
+def test_secret_table(spark):
+    rows = [(1, None), (2, ""), (3, "é token=abcdefghijkl"), (3, "é token=abcdefghijkl"), (None, "AKIA" + "Z" * 20), (5, "password " * 100_000)]
+    got = sorted(map(str, (tuple(r) for r in ss.scan_documents(frame(spark, rows)).select("doc_id", "n_assign", "n_access", "base").collect())))
+    assert got == sorted(map(str, [(1, 0, 0, ""), (2, 0, 0, ""), (3, 1, 0, "assign:2:20"), (3, 1, 0, "assign:2:20"), (None, 0, 1, "access:0:24"), (5, 0, 0, "")]))
+    assert ss.scan_documents(frame(spark, [])).count() == 0
+
+
+# --- embeddings --------------------------------------------------------------------
+
+def test_embeddings_against_brute_force(spark, monkeypatch):
+    from lakeward.llm import embedding_dedup as em
+    monkeypatch.setattr(em, "ROWS_PER_INTERVAL", 40)
+    monkeypatch.setattr(em, "SMALL", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(12):
+        base = rng.normal(size=16)
+        rows += [(base + rng.normal(size=16) * rng.choice([0.05, 0.35])).astype(np.float32).tolist() for _ in range(20)]
+    rows += [rows[0]] * 30 + [[float(x) * 3 for x in rows[0]], None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1e-30] * 16, [1e30] * 16, [1.0, 2.0], [2.0, 4.0], []]
+    table = list(enumerate(rows)) + [(None, rows[0])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 as rep", "2 as code")
+    good = {i: np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max() for i, v in table
+            if i is not None and v and np.isfinite(v).all() and np.any(v)}
+    links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= 0.9]
+    comp = closure([i for i, _ in table if i is not None], links)
+    n = {i: sum(i in e for e in links) for i in comp}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in link_embeddings(df).collect()}
+    assert got.pop(None) == (0, None, False)
+    assert got == {i: (n[i], comp[i], comp[i] == i) for i in comp}
+    assert link_embeddings(df.limit(0)).count() == 0
+
+
+# --- mixing ------------------------------------------------------------------------
+
+def fill(sizes, weights=(1, 2, 3), epochs=3):
+    """Water-filling by repeated rounds."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = [s for s in open_ if left * w[s] / total > epochs * sizes[s]]
+        if not over:
+            return target | {s: left * w[s] / total for s in open_}
+        for s in over:
+            target[s] = float(epochs * sizes[s])
+        left -= sum(target[s] for s in over)
+        open_ -= set(over)
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_are_the_water_filling(spark, seed):
+    rng = random.Random(seed)
+    sizes = {**{f"s{k}": rng.choice([0, 1, 5, 50, 4000]) for k in range(rng.randint(1, 14))}, None: rng.choice([0, 700])}
+    df = spark.createDataFrame([(s, v) for s, v in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in source_targets(df).collect()}
+    want = fill(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_mix_meets_targets_and_agrees(spark):
+    one, two = q.op6_source_mixing(spark, SF).collect(), q.op6_source_mixing(spark, SF).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    t = pq.read_table(f"{SF}/documents.parquet")
+    size = {i: len(WORD.findall(x or "")) for i, x in zip(t["doc_id"].to_pylist(), t["text"].to_pylist())}
+    source = dict(zip(t["doc_id"].to_pylist(), t["source"].to_pylist()))
+    per, taken, target = {}, {}, {}
+    for r in one:
+        assert r.size == size[r.doc_id] and 0 <= r.taken <= 3 * r.size
+        s = source[r.doc_id]
+        per[s] = per.get(s, 0) + r.size
+        taken[s] = taken.get(s, 0) + r.taken
+        target[s] = r.target
+    want = fill(per)
+    for s in per:
+        assert abs(target[s] - want[s]) < 1e-6
+        assert abs(taken[s] - target[s]) <= max(r.size for r in one if source[r.doc_id] == s)
+
+
+def test_mix_odd_rows(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (2, None, 7), (3, "", None), (None, "a", 2), (4, "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").selectExpr("*", "1 as _bucket", "2 as target", "3 as _draw")
+    got = mix_sources(df).collect()
+    assert len(got) == 6 and all(0 <= r.repetitions <= 3 for r in got)
+    assert mix_sources(df.limit(0)).count() == 0
+    assert all(r.repetitions == 0 for r in mix_sources(df.filter("source = ''")).collect())
+
+
+# --- URL filters --------------------------------------------------------------------
+
+def split_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    path = rest[end:]
+    stop = min([path.find(c) for c in "?#" if c in path], default=len(path))
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), path[:stop]
+
+
+def rule_for(host, path):
+    best = None
+    for r in q.URL_RULES:
+        name, _, rest = r.rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + rest) and (best is None or len(r.rule) > len(best.rule)):
+            best = r
+    return best
+
+
+def test_url_rules_on_the_table(spark):
+    t = pq.read_table(f"{SMALL}/pages.parquet")
+    urls = dict(zip(t["page_id"].to_pylist(), t["url"].to_pylist()))
+    got = {r.page_id: r for r in q.op1_url_filters(spark, SMALL).collect()}
+    assert got.keys() == urls.keys()
+    for i, u in urls.items():
+        host, path = split_url(u)
+        r = rule_for(host, path)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, r.rule if r else None)
+        assert got[i].verdict == (r.verdict if r else got[i].verdict) and got[i].verdict in ("allow", "block")
+
+
+def test_url_odd_and_templates(spark):
+    rows = [(i, f"http://A.x.com/bad/{i}.html?q=1", True) for i in range(30)] + [(100 + i, f"http://a.x.com/good/{i}", False) for i in range(30)]
+    rows += [(200, "http://a.x.com/bad/900.html", None), (201, "http://a.x.com/good/901", None), (202, "http://other.org/bad/1.html", None)]
+    rows += [(300, None, None), (301, "", None), (302, "nothing", None), (303, "x://", None), (304, "http://É.COM:80#f/g", None), (305, "http://h.net", None),
+             (306, "http://h.net/", None), (307, "http://n.org/fr/" + "a/" * 3000, None), (308, "http://n.org/fr/x", None), (308, "http://n.org/fr/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean").selectExpr("*", "1 as host", "2 as _seg", "3 as _found", "4 as _bad")
+    from pyspark.sql import functions as F
+    out = judge_urls(df, [Rule("net/", "block"), Rule("org/fr/", "allow")], bad=F.col("bad")).collect()
+    got = {r.page_id: r for r in out}
+    assert len(out) == len(rows)
+    for i, u, _ in rows:
+        assert (got[i].host, got[i].path) == split_url(u)
+    assert got[200].verdict == "block" and got[201].verdict == "allow" and got[202].verdict == "allow"
+    assert got[200].template == "/bad/*" or got[200].template == "/bad/{n}.html"
+    assert got[305].rule is None and got[306].rule == "net/" and got[307].verdict == "allow"
+    assert judge_urls(df.limit(0), [Rule("net/", "block")]).count() == 0
+
+
+# --- the whole pipeline --------------------------------------------------------------
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+    from tests.llm.helpers import fold, near_truth
+    t = pq.read_table(f"{SMALL}/documents.parquet").to_pylist()
+    kept = [r for r in t if r["text"] and any(map(str.isalpha, r["text"]))]
+    last = {}
+    for r in kept:
+        key = fold(r["text"])
+        last[key] = max(last.get(key, -1), r["doc_id"])
+    kept = [r for r in kept if last[fold(r["text"])] == r["doc_id"]]
+    near = near_truth([(r["doc_id"], r["text"]) for r in kept])
+    kept = {r["doc_id"]: r for r in kept if near[r["doc_id"]][1] == r["doc_id"]}
+    size = {i: len(WORD.findall(r["text"])) for i, r in kept.items()}
+    per = {}
+    for i, r in kept.items():
+        per[r["source"]] = per.get(r["source"], 0) + size[i]
+    want = fill(per)
+    out = cp.run(spark, SMALL).collect()
+    tok = Tokenizer.from_file(q.tokenizer_path())
+    assert {r.doc_id for r in out} <= kept.keys()
+    taken = {}
+    for r in out:
+        ids = tok.encode(kept[r.doc_id]["text"], add_special_tokens=False).ids
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        taken[r.source] = taken.get(r.source, 0) + size[r.doc_id]
+    for s in per:
+        assert abs(taken.get(s, 0) - want[s]) <= max(size[i] for i, r in kept.items() if r["source"] == s)
