@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lakeward.functions.keyed import packed_join
 from lakeward.llm.common import Rounds, checkpointed
 
+ROWS_PER_TASK = 100_000  # few edges need few tasks, whatever the session's shuffle partitions are
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the
@@ -23,11 +25,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = loops.select("u").union(loops.select("v")).distinct()
     cur = rounds.next(loops.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(cur)
+    tasks = 2 + state[0] // ROWS_PER_TASK
     while state[0]:
         both = cur.union(cur.select("v", "u"))
-        large = _to_least(both, both.filter("v > u"))
-        small = _to_least(large, large)
-        cur = rounds.next(small.filter("u <> v").distinct())
+        large = _to_least(both, both.filter("v > u"), tasks)
+        small = _to_least(large, large, tasks)
+        cur = rounds.next(small.filter("u <> v").distinct().coalesce(tasks))
         new = _state(cur)
         if new == state:
             break
@@ -37,11 +40,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component")))
 
 
-def _to_least(edges: DataFrame, moved: DataFrame) -> DataFrame:
+def _to_least(edges: DataFrame, moved: DataFrame, tasks: int) -> DataFrame:
     """Edges from every node that ``moved`` leads to, and from u itself, to
     the smallest of u and its neighbours in ``edges``."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = packed_join(moved, least.hint("merge"), ["u"], ["u"], "inner")
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+    met = packed_join(moved, least.hint("merge"), ["u"], ["u"], "inner").coalesce(tasks)
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 

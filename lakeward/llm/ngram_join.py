@@ -25,7 +25,7 @@ from lakeward.llm.common import checkpointed, mix64, row_slices, text_buffers, w
 from lakeward.llm.components import connected_components
 from lakeward.llm.union import Union
 
-GROUPS = 64  # coordinates of a point
+PER_GROUP = 4  # shingles per coordinate of a point, at most
 LEAF, FAN = 64, 8
 HUGE = 1 << 20  # stands for a count that one byte cannot hold
 CHUNK = 1024  # entries of one key, or members of one class, joined in one task
@@ -60,8 +60,18 @@ def sketch_size(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - percent / 100)) if percent < 100 else 1
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)
+def groups_for(n):
+    """Coordinates of a point for sets of n: a power of two, so that a finer
+    point folds into a coarser one.  Sets that link differ little in size, so their points are seldom folded."""
+    return 1 << np.maximum(4, np.ceil(np.log2(np.maximum(np.asarray(n), 1) / PER_GROUP))).astype(np.int64)
+
+
+def point(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
+
+
+def fold(p: np.ndarray, groups: int) -> np.ndarray:
+    return p.reshape(-1, groups).sum(axis=0)
 
 
 class PointTree:
@@ -126,13 +136,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
-                 pa.array([np.minimum(point(s), 255).astype(np.uint8).tobytes() for s in sets], pa.binary())],
+                 pa.array([np.minimum(point(s, int(groups_for(len(s)))), 255).astype(np.uint8).tobytes() for s in sets], pa.binary())],
                 names=["doc", "n", "digest", "keys", "point"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).mapInArrow(
         run, "doc long, n long, digest binary, keys array<long>, point binary")
 
 
+def _layers(sizes: np.ndarray, raw: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(groups, members, points): sets whose own points have ``groups``
+    coordinates, and those a linked set may have, folded to as many."""
+    own = np.array([len(r) for r in raw])
+    reach = 100 / percent if percent else np.inf
+    for g in np.unique(own):
+        most = sizes[own == g].max() * reach
+        members = np.flatnonzero((own >= g) & (sizes <= most))
+        points = np.empty((len(members), g), np.int32)
+        for k, i in enumerate(members):
+            p = np.frombuffer(raw[i], np.uint8).astype(np.int32)
+            p[p == 255] = HUGE
+            points[k] = fold(p, int(g)) if len(p) > g else p
+        yield int(g), members, points
+
+
 def _candidate_forest(percent: int):
     """Per slot: a spanning forest of the pairs that share a key and whose
     points' bound reaches the threshold."""
@@ -140,9 +166,8 @@ def _candidate_forest(percent: int):
         docs, at = np.unique(f["rep"].to_numpy(), return_inverse=True)
         first = np.zeros(len(docs), np.intp)
         first[at] = np.arange(len(f))
-        sizes = f["n"].to_numpy()[first]
-        points = np.frombuffer(b"".join(f["point"].iloc[first]), np.uint8).reshape(len(docs), GROUPS).astype(np.int32)
-        points[points == 255] = HUGE
+        sizes, raw = f["n"].to_numpy()[first], f["point"].iloc[first].tolist()
+        own = np.array([len(r) for r in raw])
         forest = Union(len(docs))
         group = f.groupby(["key", "lo", "hi"], sort=False).ngroup().to_numpy()
         o = np.argsort(group, kind="stable")
@@ -154,24 +179,32 @@ def _candidate_forest(percent: int):
             for u, v in zip(x.tolist(), y.tolist()):
                 forest.link(u, v)
 
-        for length in np.unique(lengths):
-            begin = starts[lengths == length]
-            if length < 2:
-                continue
-            if length <= 32:
-                members = m[begin[:, None] + np.arange(length)]
-                i, j = np.triu_indices(length, 1)
-                pairs = np.unique(np.stack((members[:, i].ravel(), members[:, j].ravel()), 1), axis=0)
-                for k in range(0, len(pairs), 20_000):
-                    x, y = pairs[k:k + 20_000].T
-                    ok = (100 + percent) * np.minimum(points[x], points[y]).sum(axis=1) >= percent * (sizes[x] + sizes[y])
-                    link(x[ok], y[ok])
-            else:
-                for s in begin:
-                    mine = np.unique(m[s:s + length])
-                    PointTree(points[mine], sizes[mine], percent).join(
-                        lambda x, y, mine=mine: link(mine[x], mine[y]),
-                        lambda p, mine=mine: len(np.unique(forest.roots(mine[p]))) == 1)
+        pairs = []
+        for length in np.unique(lengths[(lengths > 1) & (lengths <= 32)]):
+            members = m[starts[lengths == length][:, None] + np.arange(length)]
+            i, j = np.triu_indices(length, 1)
+            x, y = members[:, i].ravel(), members[:, j].ravel()
+            close = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+            pairs.append(np.unique(np.stack((x[close], y[close]), 1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.intp)
+        coarser = np.minimum(own[pairs[:, 0]], own[pairs[:, 1]])
+        for groups, members, points in _layers(sizes, raw, percent):
+            place = np.full(len(docs), -1)
+            place[members] = np.arange(len(members))
+            mine = pairs[coarser == groups]
+            step = max(1, (1 << 22) // groups)
+            for k in range(0, len(mine), step):
+                x, y = mine[k:k + step].T
+                bound = np.minimum(points[place[x]], points[place[y]]).sum(axis=1)
+                ok = (100 + percent) * bound >= percent * (sizes[x] + sizes[y])
+                link(x[ok], y[ok])
+            for s, length in zip(starts[lengths > 32], lengths[lengths > 32]):
+                here = np.unique(m[s:s + length])
+                here = here[place[here] >= 0]
+                if len(here) > 1 and (own[here] == groups).any():
+                    PointTree(points[place[here]], sizes[here], percent).join(
+                        lambda x, y, here=here: link(here[x], here[y]),
+                        lambda p, here=here: len(np.unique(forest.roots(here[p]))) == 1)
         roots = forest.roots(np.arange(len(docs)))
         apart = np.flatnonzero(roots != np.arange(len(docs)))
         return pd.DataFrame({"a": docs[apart], "b": docs[roots[apart]]})
@@ -226,12 +259,16 @@ def _verified_forest(words: int, percent: int):
                         common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
                         if (100 + percent) * common >= percent * (sizes[u] + sizes[v]):
                             forest.link(u, v)
-                            out_a.append(docs[u])
-                            out_b.append(docs[v])
 
-            PointTree(np.stack([point(s) for s in sets]), sizes, percent).join(
+            groups = min(1024, int(groups_for(sizes.min())))
+            PointTree(np.stack([point(s, groups) for s in sets]).astype(np.int32), sizes, percent).join(
                 check, lambda p: len(np.unique(forest.roots(p))) == 1)
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            roots = forest.roots(np.arange(len(sets)))
+            apart = np.flatnonzero(docs[roots] != docs)
+            out_a.append(docs[apart])
+            out_b.append(docs[roots[apart]])
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
 
     return run
 
@@ -305,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = checkpointed(classes.select("digest", F.col("s.doc").alias("rep"), "s.n", "s.keys", "s.point"))
     members = candidate_classes(classes, percent)
     texts = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-             .join(members, F.col("doc") == F.col("node")).select("doc", "component", "t"))
+             .join(members.hint("merge"), F.col("doc") == F.col("node")).select("doc", "component", "t"))
     links = verified_links(texts, words, percent)
     found = connected_components(links)
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
