@@ -3,25 +3,29 @@
 A merge only ever builds vocabulary tokens, so two neighbouring symbols that
 stand next to each other inside no token can never be merged across: the
 place between them is a certain cut.  White space and special tokens are
-certain cuts as well.  The fragments between cuts are encoded independently
-(and once per distinct fragment while it is cached) and concatenated.
+certain cuts as well.  The fragments between cuts are encoded independently and
+concatenated; a word is encoded once while it is cached.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lakeward.llm.common import row_slices, text_buffers
 
 CACHE_CHARS = 24_000_000  # cached pieces are dropped when their texts reach this
+# runs of these are already composed and hold no blank; their lower case does not depend on context
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
 _BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
@@ -43,14 +47,33 @@ class ForcedBoundaryBpe:
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         tok = Tokenizer.from_file(path)
         self.normalizer, self.splitter = tok.normalizer, tok.pre_tokenizer
+        rule = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.split_plain = regex.compile(rule).findall
+        self.bytes = {b: self.splitter.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)} | self._high_bytes()
+        self.words: dict[str, list[int]] = {}
         self.inside = set()
         for t in self.ids:
             s = self.symbols(t[:-len(self.end)], True) if t.endswith(self.end) and t != self.end else list(t)
             self.inside.update(zip(s, s[1:]))
         self.pieces: dict[str, tuple[bytes, str, int]] = {}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
         self.held = 0
 
+    def _high_bytes(self) -> dict[int, str]:
+        """Symbols of the bytes beyond ASCII, taken from characters that hold them."""
+        out = {}
+        for c in map(chr, (*range(0xA1, 0x180), *range(0x370, 0x600), *range(0x900, 0xE80, 7))):
+            got = self.splitter.pre_tokenize_str(c)
+            if got and len(got[0][0]) == len(c.encode()):
+                out.update(zip(c.encode(), got[0][0]))
+        return out
+
+    def plain_words(self, text: str) -> list[str] | None:
+        """Pre-tokens in the byte alphabet when ``text`` is plain, else None."""
+        if not _PLAIN.fullmatch(text):
+            return None
+        words = self.split_plain(text.lower())
+        return words if text.isascii() else [w if w.isascii() else "".join([self.bytes[b] for b in w.encode()]) for w in words]
+
     def symbols(self, word: str, ends: bool) -> list[str]:
         s = list(word)
         if ends and s:
@@ -58,8 +81,23 @@ class ForcedBoundaryBpe:
         return s
 
     def merge(self, s: list[str]) -> list[str]:
-        """Merges by rank, leftmost first, in O(n log n)."""
+        """Merges by rank, leftmost first; long fragments in O(n log n)."""
         n, rank = len(s), self.rank
+        if n <= 64:
+            get, none = rank.get, len(rank)
+            ranks = [get(p, none) for p in zip(s, s[1:])]
+            while ranks:
+                best = min(ranks)
+                if best == none:
+                    break
+                i = ranks.index(best)
+                s[i] += s[i + 1]
+                del s[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = get((s[i - 1], s[i]), none)
+                if i < len(ranks):
+                    ranks[i] = get((s[i], s[i + 1]), none)
+            return s
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := rank.get((s[i], s[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -79,22 +117,17 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (r, p, s[p], s[i]))
         return [x for x, y in zip(s, alive) if y]
 
-    def fragment_ids(self, s: list[str]) -> list[int]:
-        key = tuple(s)
-        got = self.fragments.get(key)
-        if got is None:
-            got = [self.ids[t] for t in (self.merge(s) if len(s) > 1 else s)]
-            self.held += len(key)
-            self.fragments[key] = got
-        return got
-
     def word_ids(self, word: str) -> list[int]:
         """Ids of one pre-token, given in the byte alphabet."""
+        if (got := self.words.get(word)) is not None:
+            return got
         s, out, a = self.symbols(word, True), [], 0
         for k in range(1, len(s) + 1):
             if k == len(s) or (s[k - 1], s[k]) not in self.inside:
-                out += self.fragment_ids(s[a:k])
+                out += [self.ids[t] for t in self.merge(s[a:k])]
                 a = k
+        self.held += len(word) + 8 * len(out)
+        self.words[word] = out
         return out
 
     def piece(self, text: str) -> tuple[bytes, str, int]:
@@ -105,15 +138,18 @@ class ForcedBoundaryBpe:
             for m in [*self.special_at.finditer(text), None]:
                 plain = text[at:m.start() if m else len(text)]
                 if plain:
-                    for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(plain)):
+                    words = self.plain_words(plain)
+                    if words is None:
+                        words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(plain))]
+                    for word in words:
                         ids += self.word_ids(word)
                 if m:
                     ids.append(self.special[m[0]])
                     at = m.end()
-            got = np.array(ids, "<u4").tobytes(), self.decode(ids), len(ids)
+            got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids)
             if self.held > CACHE_CHARS:
                 self.pieces.clear()
-                self.fragments.clear()
+                self.words.clear()
                 self.held = 0
             self.held += len(text) + 8 * len(ids)
             self.pieces[text] = got
@@ -160,7 +196,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             texts = batch.column(len(cols))
             for a, b in row_slices(text_buffers(texts)[1], 4 << 20):
-                got = [bpe.encode(t or "") for t in texts.slice(a, b - a).to_pylist()]
+                gc.disable()  # the caches hold no cycles; scanning them costs a third of the time
+                try:
+                    got = [bpe.encode(t or "") for t in texts.slice(a, b - a).to_pylist()]
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(len(cols))]
                     + [pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())],
