@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.functions.keyed import first_per_key, packed_join
-from lakeward.session import materialize
 
 
 def models_in_space(models: DataFrame, space: str) -> DataFrame:
@@ -108,48 +107,51 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     return with_model.select(*cols).unionByName(empty.select(*cols))
 
 
-def nested_export(long_form: DataFrame, max_views_per_record: int = 100_000,
-                  materialize_input: bool = True) -> DataFrame:
-    """A1 nested form: one record per model with
-    ``dependencies: map<view_id, struct<space, name>>`` (space null when the
-    view is unresolved), models without views get an empty map.
-
-    A model is never gathered into one unbounded group: models with more than
-    ``max_views_per_record`` views are split over several records (``part``)
-    by a hash of the view id, so each record -- and each task building it --
-    stays bounded however large a model grows.
-
-    The view count per model and the grouping both read the long form; with
-    ``materialize_input`` it is written once to the shared folder instead of
-    being computed twice."""
-    lf = materialize(long_form, "model_edges") if materialize_input else long_form
-    sizes = lf.groupBy("model_id").agg(F.count("view_id").alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_record))).cast("int")
-    keyed = packed_join(lf, sizes.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner").withColumn(
-        "part", F.when(F.col("view_id").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(F.col("view_id")), parts)).cast("int"))
+def nested_export(long_form: DataFrame, parts: int = 1) -> DataFrame:
+    """A1 nested form: ``dependencies: map<view_id, struct<space, name>>``
+    (space null when the view is unresolved); a model without views gets one
+    record with an empty map.
+
+    Every model is dealt over ``parts`` records (``part``) by a hash of the
+    view id, whatever its size; choose ``parts`` so that the largest model's
+    views over ``parts`` fit in a record.  Parts without views are left out.
+    The long form is the scale path.  A (model, view) named twice keeps the
+    smallest name, as a map holds one entry per key."""
+    one = long_form.groupBy("model_id", "model_name", "model_space", "view_id").agg(
+        F.min(F.struct(F.col("view_name").cast("string").alias("name"), F.col("view_space").cast("string").alias("space"))).alias("_v"))
+    keyed = one.withColumn("part", F.when(F.col("view_id").isNull(), F.lit(0))
+                           .otherwise(F.pmod(F.xxhash64("view_id"), F.lit(int(parts)))).cast("int"))
     entry = F.when(F.col("view_id").isNotNull(),
                    F.struct(F.col("view_id").cast("string").alias("key"),
-                            F.struct(F.col("view_space").cast("string").alias("space"),
-                                     F.col("view_name").cast("string").alias("name")).alias("value")))
+                            F.struct(F.col("_v.space").alias("space"), F.col("_v.name").alias("name")).alias("value")))
     return keyed.groupBy("model_id", "model_name", "model_space", "part").agg(
         F.map_from_entries(F.collect_list(entry)).alias("dependencies")
     ).select(F.col("model_id"), F.col("model_name").alias("name"), F.col("model_space").alias("space_name"),
              "part", "dependencies")
 
 
+def last_rows(models: DataFrame) -> DataFrame:
+    """One row per model id: name and space of its last catalogue row, at the
+    position of its first.  J2 and J3 both look requests up here, so every
+    request is either resolved or unresolved."""
+    picked = models.groupBy("model_id").agg(F.min("position").alias("position"),
+                                            F.max(F.struct("position", "name", "space_name")).alias("_last"))
+    return picked.select("model_id", "position", F.col("_last.name").alias("name"), F.col("_last.space_name").alias("space_name"))
+
+
 def resolve_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Requested (modelname, space) pairs resolved to catalogue models.
-    The first catalogue match wins; repeated requests collapse to one model.
+    A repeated id counts with its last row; the
+    first id that matches wins; repeated requests collapse to one model.
     Columns: model_id, name, space_name."""
-    firsts = first_per_key(unique_models(models), ["name", "space_name"], ["position"], ["model_id"])
+    firsts = first_per_key(last_rows(models), ["name", "space_name"], ["position"], ["model_id"])
     req = requests.select(F.col("modelname").alias("name"), F.col("space").alias("space_name")).distinct()
     return firsts.join(req, ["name", "space_name"], "left_semi").select("model_id", "name", "space_name")
 
 
 def unresolved_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Requested models that do not exist, with how often each was asked for."""
-    cat = models.select(F.col("name").alias("modelname"), F.col("space_name").alias("space"))
+    cat = last_rows(models).select(F.col("name").alias("modelname"), F.col("space_name").alias("space"))
     return requests.join(cat, ["modelname", "space"], "left_anti") \
         .groupBy("modelname", "space").agg(F.count(F.lit(1)).alias("n_requests"))
 

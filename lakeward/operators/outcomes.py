@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from lakeward.functions.keyed import last_per_key, null_safe_join, packed_join
 from lakeward.functions.scalars import NO_PARTITIONS, outcome_flag, runtime_rule
 from lakeward.operators.lineage import requested_model_edges
-from lakeward.session import materialize
 
 KEYS = ["entity", "space"]
 
@@ -97,8 +96,13 @@ def _processed(tasks: DataFrame, outcomes: DataFrame, order: Sequence[str], valu
 
 def report_partition_create(tasks: DataFrame, outcomes: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per processed task; ``created`` and ``exists`` both count
-    as a created partitioning."""
-    j = _processed(tasks, outcomes, order, ["outcome"], KEYS + ["attribute"])
+    as a created partitioning.  Outcomes that name their attribute count for
+    that task only; a log without attributes counts for the whole view."""
+    if "attribute" in outcomes.columns:
+        keys = KEYS + ["attribute"]
+        j = null_safe_join(tasks.select(*keys), latest_outcomes(outcomes, order, ["outcome"], keys), keys, "inner")
+    else:
+        j = _processed(tasks, outcomes, order, ["outcome"], KEYS + ["attribute"])
     return j.select(*KEYS, "attribute", outcome_flag("partition_create", "outcome").alias("createdPartition"))
 
 
@@ -173,19 +177,11 @@ def runtime_report(requests: DataFrame, models: DataFrame, edges: DataFrame, vie
         (ok & ~already & F.coalesce(F.col("u.success"), F.lit(False))).alias("removedPersistence"))
 
 
-def runtime_report_nested(report: DataFrame, max_views_per_record: int = 100_000,
-                          materialize_input: bool = True) -> DataFrame:
-    """R8 nested form: one record per model (split into bounded ``part``s for
-    very large models) with ``dependencies: map<view_id, struct<space, name,
-    runtime, alreadyPersisted, removedPersistence>>``.  The long report is
-    written once (``materialize_input``) since both the per-model counts and
-    the grouping read it."""
-    if materialize_input:
-        report = materialize(report, "runtime_report")
-    sizes = report.groupBy("model_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_record))).cast("int")
-    keyed = packed_join(report, sizes.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner") \
-        .withColumn("part", F.pmod(F.xxhash64("view_id"), parts).cast("int"))
+def runtime_report_nested(report: DataFrame, parts: int = 1) -> DataFrame:
+    """R8 nested form: ``dependencies: map<view_id, struct<space, name,
+    runtime, alreadyPersisted, removedPersistence>>`` per model, dealt over
+    ``parts`` records by a hash of the view id, the same for every model."""
+    keyed = report.withColumn("part", F.pmod(F.xxhash64("view_id"), F.lit(int(parts))).cast("int"))
     entry = F.struct(F.col("view_id").cast("string").alias("key"),
                      F.struct(F.col("view_space").alias("space"), F.col("view_name").alias("name"),
                               "runtime", "alreadyPersisted", "removedPersistence").alias("value"))

@@ -109,8 +109,8 @@ def profile_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins:
     """A5: ``HISTOGRAM`` -- equal-width bins per numeric column.
 
     bin = least(bins - 1, floor((x - min) / (max - min) * bins)); a column
-    whose min equals its max puts every value in bin 0; nulls are not
-    counted; empty bins are reported with 0.  Columns: column_name, bin,
+    whose min equals its max puts every value in bin 0; nulls, NaN and
+    infinities are not counted; empty bins are reported with 0.  Columns: column_name, bin,
     lower, upper, row_count.
 
     The per-column min/max is one tiny aggregate (one row to the driver);
@@ -125,15 +125,19 @@ def profile_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins:
     bad = [c for c in cols if c not in numeric_columns(df)]
     if bad:
         raise ValueError(f"histogram needs numeric columns, got {bad}")
-    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-                *[F.max(F.col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    def finite(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+    mm = df.agg(*[F.min(finite(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                *[F.max(finite(c)).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     bounds = {c: (mm[f"lo{i}"], mm[f"hi{i}"]) for i, c in enumerate(cols)}
     pairs = []
     for c in cols:
         lo, hi = bounds[c]
         if lo is None:  # no values at all
             continue
-        x = F.col(c).cast("double")
+        x = finite(c)
         if hi == lo:
             b = F.lit(0)
         else:

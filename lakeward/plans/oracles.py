@@ -297,3 +297,8 @@ UNION ALL SELECT 'orders', 'update', 'updated', (SELECT count(*) FROM orders)
 UNION ALL SELECT 'customer', 'skip', 'skipped', CAST(NULL AS BIGINT)"""
 
 ORACLES["catalog_edges_roundtrip"] = _with(_E) + "SELECT model_id, view_id, view_name FROM e"
+
+
+# the nested forms are compared as rows
+ORACLES["export_models_nested"] = ORACLES["export_models_long"]
+ORACLES["runtime_report_nested"] = ORACLES["runtime_report"]

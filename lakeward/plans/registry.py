@@ -39,7 +39,17 @@ def export_models_dedup_all(spark, d):
 
 def export_models_nested(spark, d):
     lf = lineage.model_edges(fx.models(spark, d), fx.edges(spark, d), fx.views(spark, d))
-    return lineage.nested_export(lf)
+    return _flat_models(lineage.nested_export(lf, NESTED_PARTS))
+
+
+NESTED_PARTS = 16  # records per model
+
+
+def _flat_models(nested):
+    """A nested export as rows, so that SQL can be held against it."""
+    e = nested.select("model_id", F.col("name").alias("model_name"), F.col("space_name").alias("model_space"), F.explode_outer("dependencies"))
+    return e.select("model_id", "model_name", "model_space", F.col("key").cast("bigint").alias("view_id"),
+                    F.col("value.name").alias("view_name"), F.col("value.space").alias("view_space"))
 
 
 def models_in_space(spark, d):
@@ -124,7 +134,9 @@ def runtime_report(spark, d):
 
 
 def runtime_report_nested(spark, d):
-    return oc.runtime_report_nested(runtime_report(spark, d))
+    e = oc.runtime_report_nested(runtime_report(spark, d), NESTED_PARTS).select("model_id", F.col("name").alias("model_name"), F.explode("dependencies"))
+    return e.select("model_id", "model_name", F.col("key").cast("bigint").alias("view_id"), F.col("value.space").alias("view_space"),
+                    F.col("value.name").alias("view_name"), "value.runtime", "value.alreadyPersisted", "value.removedPersistence")
 
 
 # --- statistics -------------------------------------------------------------------
@@ -267,7 +279,8 @@ def results_roundtrip(spark, d):
 def export_roundtrip(spark, d):
     """Nested model export written as JSON Lines and flattened again."""
     path = scratch_path(spark, "export")
-    sources.write_model_export(export_models_nested(spark, d), path)
+    lf = lineage.model_edges(fx.models(spark, d), fx.edges(spark, d), fx.views(spark, d))
+    sources.write_model_export(lineage.nested_export(lf, NESTED_PARTS), path)
     back = spark.read.schema("model_id bigint, name string, part int, "
                              "dependencies map<string, struct<space: string, name: string>>").json(path)
     return back.select("model_id", F.col("name").alias("model_name"), F.explode("dependencies")) \
@@ -280,7 +293,7 @@ def export_by_space_roundtrip(spark, d):
     flattened again, with the space taken from the folder name."""
     path = scratch_path(spark, "export_by_space")
     lf = lineage.model_edges(fx.models(spark, d), fx.edges(spark, d), fx.views(spark, d), skip_duplicates=True)
-    sources.write_model_export(lineage.nested_export(lf), path, by_space=True)
+    sources.write_model_export(lineage.nested_export(lf, NESTED_PARTS), path, by_space=True)
     back = spark.read.schema("model_id bigint, name string, part int, space_name string, "
                              "dependencies map<string, struct<space: string, name: string>>").json(path)
     return back.select("model_id", "space_name", F.explode("dependencies")).select(

@@ -31,7 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("LAKEWARD_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("LAKEWARD_DRIVER_MEMORY", "8g")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -70,7 +70,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must already be set to storage every executor sees.
-    Only when it is unset (local tests) is a fresh scratch folder created and
+    A cluster session without it is refused: a folder on the driver alone
+    would lose what executors write.  Only in local mode is a fresh scratch folder created and
     registered, so checkpoints and written tables land somewhere durable for
     the life of the session.
     """
@@ -78,6 +79,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name storage that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lakeward-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -25,6 +25,8 @@ CATALOG_SCHEMAS = {
     "tables": "table_name string, statistics_supported boolean, statistics_type string",
 }
 EDGES_JSON_TYPE = "map<string, map<string, string>>"
+# quotes are doubled, blanks and line breaks inside a field are kept
+DIALECT = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 # --- end of fixed values -----------------------------------------------------------
 
 
@@ -34,7 +36,7 @@ def scan_tasks(spark: SparkSession, path: str, kind: str) -> DataFrame:
     empty fields read as empty strings, as the original reader gives them."""
     cols = schemas.columns(kind)
     df = (spark.read.schema(schemas.schema(kind, typed=False)).option("header", True)
-          .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path))
+          .option("enforceSchema", True).option("mode", "PERMISSIVE").options(**DIALECT).csv(path))
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
 
 
@@ -55,19 +57,19 @@ def _to_text(df: DataFrame, kind: str) -> DataFrame:
 def append_results(df: DataFrame, path: str, kind: str) -> None:
     """S3: append rows to a result/export dataset, writing only its
     registered columns (others dropped, missing ones empty)."""
-    _to_text(df, kind).write.mode("append").option("header", True).csv(path)
+    _to_text(df, kind).write.mode("append").option("header", True).options(**DIALECT).csv(path)
 
 
 def reset_results(spark: SparkSession, path: str, kind: str) -> None:
     """Empty a result dataset, keeping its header."""
     (spark.createDataFrame([], schemas.schema(kind, typed=False)).repartition(1)
-     .write.mode("overwrite").option("header", True).csv(path))
+     .write.mode("overwrite").option("header", True).options(**DIALECT).csv(path))
 
 
 def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Read a result dataset back into typed columns."""
     raw = (spark.read.schema(schemas.schema(kind, typed=False)).option("header", True)
-           .option("enforceSchema", True).csv(path))
+           .option("enforceSchema", True).options(**DIALECT).csv(path))
     out = []
     for c in schemas.columns(kind):
         t = schemas.spark_type(c)
@@ -106,16 +108,14 @@ def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet"
     return df
 
 
-def write_edges_catalog(edges: DataFrame, path: str, max_views_per_line: int = 100_000) -> None:
+def write_edges_catalog(edges: DataFrame, path: str, parts: int = 16) -> None:
     """Write model-to-view edges (model_id, view_id, view_name) in the
     source's answer format: JSON Lines ``{model_id: {view_id: view_name}}``.
-    A model with more views than ``max_views_per_line`` is spread over
-    several lines (by a hash of the view id), so no line -- and no task
-    building it -- grows without bound; ``scan_catalog`` reads all lines."""
-    edges = edges.select("model_id", "view_id", "view_name").distinct()
-    sizes = edges.groupBy("model_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_views_per_line))).cast("int")
-    keyed = edges.join(sizes, "model_id").withColumn("_part", F.pmod(F.xxhash64("view_id"), parts))
+    Every model is dealt over ``parts`` lines by a hash of the view id, so a
+    hot model is split whatever its size; ``scan_catalog`` reads all lines.
+    A (model, view) named twice keeps the smallest name."""
+    edges = edges.groupBy("model_id", "view_id").agg(F.min("view_name").alias("view_name"))
+    keyed = edges.withColumn("_part", F.pmod(F.xxhash64("view_id"), F.lit(int(parts))))
     lines = keyed.groupBy("model_id", "_part").agg(F.map_from_entries(F.collect_list(
         F.struct(F.col("view_id").cast("string"), F.col("view_name").cast("string")))).alias("views"))
     lines.select(F.to_json(F.create_map(F.col("model_id").cast("string"), F.col("views"))).alias("value")) \
@@ -125,7 +125,8 @@ def write_edges_catalog(edges: DataFrame, path: str, max_views_per_line: int = 1
 def write_model_export(df: DataFrame, path: str, by_space: bool = False) -> None:
     """Write the nested model export as JSON Lines (one record per
     model, or per model part), optionally one folder per space."""
-    w = df.write.mode("overwrite")
+    # nulls are written, and only the spaces in ``df`` are replaced, whatever the session is set to
+    w = df.write.mode("overwrite").option("ignoreNullFields", False)
     if by_space:
-        w = w.partitionBy("space_name")
+        w = w.partitionBy("space_name").option("partitionOverwriteMode", "dynamic")
     w.json(path)

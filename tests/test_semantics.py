@@ -94,11 +94,11 @@ def test_view_space_first_catalogue_match(spark):
     assert got == {"v1": "B", "v2": None}
 
 
-def test_repeated_model_ids_resolve_to_first(spark):
+def test_repeated_model_ids_count_with_their_last_row(spark):
     models = spark.createDataFrame([("m1", "A", "S", 0), ("m1", "B", "S", 1), ("m2", "A", "S", 2)],
                                    "model_id string, name string, space_name string, position int")
     req = spark.createDataFrame([("A", "S"), ("A", "S"), ("Z", "S")], "modelname string, space string")
-    assert [tuple(r) for r in lineage.resolve_models(req, models).collect()] == [("m1", "A", "S")]
+    assert [tuple(r) for r in lineage.resolve_models(req, models).collect()] == [("m2", "A", "S")]
     assert [tuple(r) for r in lineage.unresolved_models(req, models).collect()] == [("Z", "S", 1)]
 
 

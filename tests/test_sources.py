@@ -54,7 +54,7 @@ def test_edges_catalog_roundtrip_splits_big_models(spark, scratch):
     edges = spark.range(250).selectExpr("'m1' AS model_id", "CAST(id AS STRING) AS view_id",
                                         "concat('v', CAST(id AS STRING)) AS view_name")
     p = os.path.join(scratch, "edges")
-    sources.write_edges_catalog(edges, p, max_views_per_line=100)
+    sources.write_edges_catalog(edges, p, parts=4)
     with open([os.path.join(p, f) for f in os.listdir(p) if f.startswith("part-") and
                os.path.getsize(os.path.join(p, f)) > 0][0], encoding="utf-8") as fh:
         assert all(len(json.loads(line)["m1"]) < 250 for line in fh)
