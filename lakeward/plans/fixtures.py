@@ -15,9 +15,11 @@ attributes words of documents.text split on a space; entity doc_id, space
            lang, business name source
 run log    events: entity user_id, space event_type, order (ts, event_id),
            success k >= 20 of props, run time round(value * 1000) ms
-tasks      every (user_id, event_type) of events; the outcomes of a report are
-           the runs logged before RUN_WINDOW_END, so tasks without a run in
-           that window keep their defaults
+tasks      every customer with every event type: customers without a run
+           keep their defaults; the outcomes of a report are all runs
+results    (J5, ST1) the tasks of RESULT_TYPES, filled from the runs before
+           RUN_WINDOW_END; the other runs are merged in, and those of the
+           remaining type have no result row
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 # --- fixed values: fixture parameters --------------------------------------
 RUN_WINDOW_END = "2024-01-08 00:00:00"
-TASKS_WINDOW_END = "2024-01-16 00:00:00"
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+RESULT_TYPES = ["click", "purchase", "signup", "view"]
 VIEW_MAX_SIZE = 40
 REPEAT_REQUEST_MIN_ACCTBAL = 5000.0
 ANALYSER_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -109,12 +112,24 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
                      F.round(F.col("value") * 1000).cast("bigint").alias("run_time_ms"), k.alias("k"))
 
 
-def outcomes(spark: SparkSession, d: str) -> DataFrame:
+def early_runs(spark: SparkSession, d: str) -> DataFrame:
     return run_log(spark, d).filter(F.col("ts") < F.lit(RUN_WINDOW_END).cast("timestamp_ntz"))
 
 
+def later_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The other runs, as outcomes of task chains."""
+    log = run_log(spark, d).filter(F.col("ts") >= F.lit(RUN_WINDOW_END).cast("timestamp_ntz"))
+    return log.select("entity", "space", "ts", "event_id", "k", F.col("success").alias("isCompleted"),
+                      F.when(F.col("success"), F.bround(F.col("run_time_ms") / 1000.0, 0).cast("bigint")).alias("runtime"))
+
+
 def tasks(spark: SparkSession, d: str) -> DataFrame:
-    return run_log(spark, d).select("entity", "space").distinct()
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("entity"))
+    return c.select("entity", F.explode(F.array(*[F.lit(t) for t in EVENT_TYPES])).alias("space"))
+
+
+def result_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return tasks(spark, d).filter(F.col("space").isin(*RESULT_TYPES))
 
 
 def partition_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +147,7 @@ def partition_outcomes(spark: SparkSession, d: str, kind: str) -> DataFrame:
         word = F.when(k < 40, "unlocked").when(k < 70, "no_partitions").otherwise("error")
     else:
         raise ValueError(kind)
-    return outcomes(spark, d).withColumn("outcome", word)
+    return run_log(spark, d).withColumn("outcome", word)
 
 
 def part_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -28,8 +28,9 @@ _LOG = """log AS (SELECT CAST(user_id AS VARCHAR) AS entity, event_type AS space
                      CAST(json_extract_string(props, '$.k') AS INTEGER) >= 20 AS success,
                      CAST(round(value * 1000) AS BIGINT) AS run_time_ms
               FROM events)"""
-_T = "t AS (SELECT DISTINCT entity, space FROM log)"
-_O = """o AS (SELECT * FROM log WHERE ts < TIMESTAMP '2024-01-08 00:00:00'
+_T = """t AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, space
+            FROM customer, (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS types(space))"""
+_O = """o AS (SELECT * FROM log
             QUALIFY row_number() OVER (PARTITION BY entity, space ORDER BY ts DESC, event_id DESC) = 1)"""
 _KEYJOIN = "t.entity IS NOT DISTINCT FROM o.entity AND t.space IS NOT DISTINCT FROM o.space"
 
@@ -128,11 +129,12 @@ SELECT t.entity, t.space, coalesce(w.outcome = 'unlocked', false) AS unlockedPar
 FROM t JOIN w ON t.entity IS NOT DISTINCT FROM w.entity AND t.space IS NOT DISTINCT FROM w.space
 WHERE w.outcome IS DISTINCT FROM 'no_partitions'"""
 
-ORACLES["upsert_results"] = _with(_LOG, _O,
-    """t AS (SELECT DISTINCT entity, space FROM log WHERE ts < TIMESTAMP '2024-01-16 00:00:00')""",
+ORACLES["upsert_results"] = _with(_LOG, _T,
+    """o AS (SELECT * FROM log WHERE ts < TIMESTAMP '2024-01-08 00:00:00'
+            QUALIFY row_number() OVER (PARTITION BY entity, space ORDER BY ts DESC, event_id DESC) = 1)""",
     f"""res AS (SELECT t.entity, t.space, coalesce(o.success, false) AS isCompleted,
            CASE WHEN o.success THEN {_secs('coalesce(o.run_time_ms, 0)')} END AS runtime
-    FROM t LEFT JOIN o ON {_KEYJOIN})""",
+    FROM t LEFT JOIN o ON {_KEYJOIN} WHERE t.space <> 'error')""",
     f"""lat AS (SELECT entity, space, success AS isCompleted,
            CASE WHEN success THEN {_secs('run_time_ms')} END AS runtime
     FROM log WHERE ts >= TIMESTAMP '2024-01-08 00:00:00'
@@ -274,7 +276,7 @@ FROM orders GROUP BY 1, 2"""
 
 # --- sources, sinks and streaming ---------------------------------------------------------
 
-ORACLES["scan_tasks"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity, event_type AS space FROM events"
+ORACLES["scan_tasks"] = _with(_T) + "SELECT entity, space FROM t"
 ORACLES["results_roundtrip"] = ORACLES["report_persist"]
 ORACLES["export_roundtrip"] = _with(_M, _E, _V) + """
 SELECT m.model_id, m.name AS model_name, e.view_id, e.view_name, v.view_space

@@ -84,15 +84,15 @@ def attributes_containing(spark, d):
 # --- outcome reports --------------------------------------------------------------
 
 def report_persist(spark, d):
-    return oc.report_persist(fx.tasks(spark, d), fx.outcomes(spark, d), fx.RUN_ORDER, timer=True)
+    return oc.report_persist(fx.tasks(spark, d), fx.run_log(spark, d), fx.RUN_ORDER, timer=True)
 
 
 def report_unpersist(spark, d):
-    return oc.report_unpersist(fx.tasks(spark, d), fx.outcomes(spark, d), fx.RUN_ORDER)
+    return oc.report_unpersist(fx.tasks(spark, d), fx.run_log(spark, d), fx.RUN_ORDER)
 
 
 def report_task_chains(spark, d):
-    return oc.report_task_chains(fx.tasks(spark, d), fx.outcomes(spark, d), fx.RUN_ORDER)
+    return oc.report_task_chains(fx.tasks(spark, d), fx.run_log(spark, d), fx.RUN_ORDER)
 
 
 def report_partition_create(spark, d):
@@ -101,7 +101,7 @@ def report_partition_create(spark, d):
 
 
 def report_partition_delete(spark, d):
-    return oc.report_partition_delete(fx.tasks(spark, d), fx.outcomes(spark, d), fx.RUN_ORDER)
+    return oc.report_partition_delete(fx.tasks(spark, d), fx.run_log(spark, d), fx.RUN_ORDER)
 
 
 def report_lock(spark, d):
@@ -113,18 +113,11 @@ def report_unlock(spark, d):
 
 
 def upsert_results(spark, d):
-    """Results of the first week's task-chain runs for the keys seen in the
-    first half of the month, then the later runs merged in (last wins; runs
-    of keys without a result row are ignored; the extra ``k`` column is not a
-    result column and is dropped)."""
-    log = fx.run_log(spark, d)
-    first = log.filter(F.col("ts") < F.lit(fx.TASKS_WINDOW_END).cast("timestamp_ntz")).select("entity", "space").distinct()
-    results = oc.report_task_chains(first, fx.outcomes(spark, d), fx.RUN_ORDER)
-    later = log.filter(F.col("ts") >= F.lit(fx.RUN_WINDOW_END).cast("timestamp_ntz")).select(
-        "entity", "space", "ts", "event_id", "k",
-        F.col("success").alias("isCompleted"),
-        F.when(F.col("success"), F.bround(F.col("run_time_ms") / 1000.0, 0).cast("bigint")).alias("runtime"))
-    return oc.upsert_results(results, later, fx.RUN_ORDER)
+    """Task-chain results filled from the early runs, then the later runs
+    merged in (last wins; runs of keys without a result row are ignored; the
+    extra ``k`` column is not a result column and is dropped)."""
+    results = oc.report_task_chains(fx.result_tasks(spark, d), fx.early_runs(spark, d), fx.RUN_ORDER)
+    return oc.upsert_results(results, fx.later_runs(spark, d), fx.RUN_ORDER)
 
 
 def runtime_report(spark, d):
@@ -327,21 +320,16 @@ def catalog_edges_roundtrip(spark, d):
 
 def stream_upsert(spark, d):
     """The ``upsert_results`` merge run as a stream: later runs arrive as
-    parquet files, micro-batch by micro-batch, into the versioned results."""
-    log = fx.run_log(spark, d)
-    first = log.filter(F.col("ts") < F.lit(fx.TASKS_WINDOW_END).cast("timestamp_ntz")).select("entity", "space").distinct()
-    results = oc.report_task_chains(first, fx.outcomes(spark, d), fx.RUN_ORDER)
+    parquet files, micro-batch by micro-batch, in the store's log."""
+    results = oc.report_task_chains(fx.result_tasks(spark, d), fx.early_runs(spark, d), fx.RUN_ORDER)
     src, res, ckpt = scratch_path(spark, "runs"), scratch_path(spark, "results"), scratch_path(spark, "ckpt")
-    later = log.filter(F.col("ts") >= F.lit(fx.RUN_WINDOW_END).cast("timestamp_ntz")).select(
-        "entity", "space", "ts", "event_id",
-        F.col("success").alias("isCompleted"),
-        F.when(F.col("success"), F.bround(F.col("run_time_ms") / 1000.0, 0).cast("bigint")).alias("runtime"))
+    later = fx.later_runs(spark, d)
     later.repartition(4).write.parquet(src)
-    st.init_results(results, res, "ts timestamp_ntz, event_id bigint")
+    st.init_results(results, res, "entity string, space string, ts timestamp_ntz, event_id bigint, k int, "
+                                  "isCompleted boolean, runtime bigint")
     stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = st.stream_upsert(stream, res, ckpt, fx.RUN_ORDER)
-    q.awaitTermination()
-    return st.current_results(spark, res)
+    st.stream_upsert(stream, res, ckpt).awaitTermination()
+    return st.current_results(spark, res, fx.RUN_ORDER)
 
 
 QUERIES: dict[str, Query] = {

@@ -1,225 +1,78 @@
 """ST1: merge a stream of outcomes into a result table, last outcome per key
 wins, safe to restart.
 
-Store layout (all under ``path``):
-
-* data: parquet partitioned by ``_bucket`` (hash of the key) and ``_version``;
-* ``_manifest``: rows (bucket, version) naming, per version, the buckets it
-  wrote -- the commit record; per bucket the newest committed version is
-  current;
-* ``_meta``: bucket count, key columns and the result schema.
-
-Micro-batch ``b`` merges into the newest committed version <= ``b`` of only
-the buckets its keys fall in, writes those buckets as version ``b + 1``
-(dynamic partition overwrite), then commits them in the manifest.  So
-
-* each batch reads and rewrites only the touched buckets; no listing or scan
-  of older versions;
-* a batch replayed after a failure rebuilds exactly the same partitions and
-  manifest rows, and data written without its manifest rows is never read;
-* every row keeps the ordering key of the outcome that set it (``_last``)
-  and an outcome only replaces a row when it sorts after it, so the end
-  state equals the batch ``upsert_results`` whatever the arrival order.
+The prefilled result rows are written once.  Every micro-batch appends its
+outcomes to a log, partitioned by the stream's id and the batch's number, and
+the current results are ``upsert_results`` (J5) over the two.  So
+
+* a batch replayed after a failure overwrites its own folder and nothing else;
+* the id belongs to the checkpoint: a new checkpoint, or a second stream on
+  the same store, writes folders of its own;
+* the ordering columns decide which outcome is the last, whatever the order
+  of arrival, so the end state equals the batch ``upsert_results``.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lakeward.functions.keyed import last_per_key, null_safe_join
+from lakeward.operators.outcomes import KEYS, upsert_results
 
-VERSION = "_version"
-BUCKET = "_bucket"
-LAST = "_last"
-META = "_meta"          # hidden folders (leading underscore): not table data
-MANIFEST = "_manifest"
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-
-
-def _bucket(keys: Sequence[str], buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(buckets))).cast("int")
+RUN, BATCH = "_run", "_batch"
+NO_RUN = "none"  # an empty batch that holds the columns of the log
 
 
 def _p(path: str, sub: str) -> str:
     return f"{path.rstrip('/')}/{sub}"
 
 
-def _commit(data: DataFrame, path: str, version: int, buckets: Sequence[int] | None = None) -> None:
-    """Write bucket rows as ``version`` and record them in the manifest.
-    ``buckets`` (the buckets ``data`` holds rows of) saves a pass over the
-    data when the caller already knows them."""
-    spark = data.sparkSession
-    (data.withColumn(VERSION, F.lit(int(version))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(path))
-    if buckets is None:
-        written = data.select(F.col(BUCKET).alias("bucket")).distinct()
-    else:
-        written = spark.createDataFrame([(int(b),) for b in buckets], "bucket int")
-    (written.withColumn("version", F.lit(int(version))).repartition(1).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(_p(path, MANIFEST)))
-
-
-def init_results(results: DataFrame, path: str, order_schema: str,
-                 keys: Sequence[str] = ("entity", "space"), buckets: int | None = None) -> None:
-    """Write the prefilled result rows as version 0.
-
-    ``buckets`` defaults to about one bucket per million result rows (one
-    count at set-up), so a batch that touches a few keys rewrites a few
-    million rows at most, and a small table stays one bucket."""
+def init_results(results: DataFrame, path: str, outcome_schema: str) -> None:
+    """Write the prefilled result rows, and an empty log of outcomes with the
+    columns ``outcome_schema`` names (keys, ordering columns, values).  What
+    the store held before is replaced."""
     spark = results.sparkSession
-    if buckets is None:
-        n = results.count()
-        buckets = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
-    data = results.withColumn(LAST, F.lit(None).cast(f"struct<{order_schema}>")) \
-        .withColumn(BUCKET, _bucket(keys, buckets))
-    schema = data.schema
-    spark.createDataFrame([(int(buckets), list(keys), schema.json())],
-                          "buckets int, keys array<string>, schema string") \
-        .write.mode("overwrite").json(_p(path, META))
-    _commit(data, path, 0)
-
-
-def _meta(spark: SparkSession, path: str) -> tuple[int, list[str], T.StructType]:
-    row = spark.read.schema("buckets int, keys array<string>, schema string").json(_p(path, META)).first()
-    return int(row["buckets"]), list(row["keys"]), T.StructType.fromJson(json.loads(row["schema"]))
-
-
-def _current_versions(spark: SparkSession, path: str, upto: int | None = None) -> dict[int, int]:
-    """Newest committed version per bucket (at most ``MAX_BUCKETS`` rows)."""
-    m = spark.read.schema("bucket int, version int").parquet(_p(path, MANIFEST))
-    if upto is not None:
-        m = m.filter(F.col("version") <= F.lit(int(upto)))
-    return {r[0]: r[1] for r in m.groupBy("bucket").agg(F.max("version")).collect()}
-
-
-def _read_buckets(spark: SparkSession, path: str, versions: dict[int, int], schema: T.StructType) -> DataFrame:
-    if not versions:
-        return spark.createDataFrame([], schema)
-    paths = [_p(path, f"{BUCKET}={b}/{VERSION}={v}") for b, v in sorted(versions.items())]
-    cols = [f.name for f in schema.fields if f.name != BUCKET]
-    df = spark.read.schema(T.StructType([f for f in schema.fields if f.name != BUCKET])).parquet(*paths) \
-        .withColumn("_file", F.input_file_name())
-    # The bucket of a row is its folder; read it back from the file path.
-    bucket = F.regexp_extract("_file", f"{BUCKET}=([0-9]+)", 1).cast("int")
-    return df.select(*cols, bucket.alias(BUCKET))
-
-
-def current_results(spark: SparkSession, path: str, with_internal: bool = False) -> DataFrame:
-    """The current result table."""
-    _, _, schema = _meta(spark, path)
-    df = _read_buckets(spark, path, _current_versions(spark, path), schema).drop(BUCKET)
-    return df if with_internal else df.drop(LAST)
-
-
-def merge_batch(prev: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Merge one batch of outcomes into result rows (keeping ``prev``'s
-    columns): the last outcome per key replaces the row's registered values
-    when it sorts after the outcome that set them."""
-    keys, order = list(keys), list(order)
-    internal = {LAST, BUCKET}
-    cols = [c for c in prev.columns if c not in keys and c not in internal and c in batch.columns]
-    latest = last_per_key(batch, keys, order, cols + order)
-    latest = latest.select(*keys, *[F.col(c).alias("_new_" + c) for c in cols],
-                           F.struct(*[F.col(c) for c in order]).alias("_new_last"))
-    j = null_safe_join(prev, latest, keys, "left")
-    newer = F.col("_new_last").isNotNull() & (F.col(LAST).isNull() | (F.col("_new_last") > F.col(LAST)))
-    out = []
-    for c in prev.columns:
-        if c in cols:
-            out.append(F.when(newer, F.col("_new_" + c)).otherwise(F.col(c)).cast(prev.schema[c].dataType).alias(c))
-        elif c == LAST:
-            out.append(F.when(newer, F.col("_new_last")).otherwise(F.col(LAST)).alias(LAST))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
-
-
-def apply_batch(batch: DataFrame, path: str, batch_id: int, order: Sequence[str], meta=None,
-                committed: dict[int, int] | None = None) -> None:
-    """Merge one micro-batch into the store as version ``batch_id + 1`` of
-    the buckets it touches (idempotent for a replayed ``batch_id``).
-
-    ``committed`` is the caller's view of the newest committed version per
-    bucket (kept across micro-batches by ``stream_upsert``); it is updated
-    here.  Without it the manifest is read.  Merging onto a version that
-    already holds this batch changes nothing (rows only move forward in
-    ``_last`` order), so a view newer than ``batch_id`` is safe."""
-    spark = batch.sparkSession
-    buckets, keys, schema = meta or _meta(spark, path)
-    if committed is None:
-        versions = _current_versions(spark, path, upto=batch_id)
-    else:
-        if not committed:
-            committed.update(_current_versions(spark, path))
-        versions = dict(committed)
-    if buckets > 1:
-        touched = {r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect()}  # <= buckets values
-        versions = {b: v for b, v in versions.items() if b in touched}
-    if not versions:
-        return  # no result row shares a bucket with this batch
-    prev = _read_buckets(spark, path, versions, schema)
-    _commit(merge_batch(prev, batch, keys, order), path, int(batch_id) + 1, sorted(versions))
-    if committed is not None:
-        committed.update({b: int(batch_id) + 1 for b in versions})
-
-
-def vacuum(spark: SparkSession, path: str, keep_versions: int = 1) -> int:
-    """Delete bucket versions that are no longer current.
-
-    Per bucket, the newest ``keep_versions`` committed versions stay (keep
-    at least 2 while a stream may replay its last batch: the replay reads
-    the version before its own); older data folders and manifest versions
-    no bucket still uses are deleted.  Returns the number of data folders
-    removed."""
-    keep_versions = max(1, int(keep_versions))
-    m = spark.read.schema("bucket int, version int").parquet(_p(path, MANIFEST)).collect()  # <= buckets x versions
-    per_bucket: dict[int, list[int]] = {}
-    for b, v in m:
-        per_bucket.setdefault(b, []).append(v)
-    keep, drop = set(), []
-    for b, vs in per_bucket.items():
-        vs = sorted(set(vs), reverse=True)
-        keep |= {(b, v) for v in vs[:keep_versions]}
-        drop += [(b, v) for v in vs[keep_versions:]]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def rm(p: str) -> None:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        hp.getFileSystem(conf).delete(hp, True)
-
-    for b, v in drop:
-        rm(_p(path, f"{BUCKET}={b}/{VERSION}={v}"))
-    live_versions = {v for _, v in keep}
-    for v in {v for _, v in drop} - live_versions:
-        rm(_p(path, f"{MANIFEST}/version={v}"))
-    return len(drop)
-
-
-def stream_upsert(outcomes: DataFrame, path: str, checkpoint: str, order: Sequence[str],
-                  available_now: bool = True, processing_time: str | None = None,
-                  vacuum_every: int = 0) -> StreamingQuery:
+    results.write.mode("overwrite").parquet(_p(path, "results"))
+    spark.createDataFrame([], f"{outcome_schema}, {RUN} string, {BATCH} bigint").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "static").partitionBy(RUN, BATCH).parquet(_p(path, "log"))
+    append_batch(spark.createDataFrame([], outcome_schema), path, NO_RUN, 0)
+
+
+def _folder(path: str, run: str, batch_id: int) -> str:
+    return _p(path, f"log/{RUN}={run}/{BATCH}={int(batch_id)}")
+
+
+def append_batch(batch: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Log one micro-batch; the same ``run`` and ``batch_id`` again replace
+    what they wrote before."""
+    batch.write.mode("overwrite").parquet(_folder(path, run, batch_id))
+
+
+def outcome_log(spark: SparkSession, path: str) -> DataFrame:
+    """Every outcome logged so far."""
+    columns = spark.read.parquet(_folder(path, NO_RUN, 0)).schema
+    return spark.read.schema(columns).parquet(_p(path, "log"))
+
+
+def current_results(spark: SparkSession, path: str, order: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """The result rows with the last outcome per key, by ``order``."""
+    return upsert_results(spark.read.parquet(_p(path, "results")), outcome_log(spark, path), order, keys)
+
+
+def stream_upsert(outcomes: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                  processing_time: str | None = None) -> StreamingQuery:
     """Start the streaming merge of ``outcomes`` (a streaming DataFrame) into
-    the result store at ``path`` (created by ``init_results``).  With
-    ``vacuum_every = k > 0`` superseded versions are removed every k
-    batches (keeping two per bucket for a safe replay)."""
-    meta = _meta(outcomes.sparkSession, path)
-    committed: dict[int, int] = {}  # read from the manifest at the first batch
-
-    def _batch(df: DataFrame, bid: int) -> None:
-        apply_batch(df, path, bid, order, meta, committed)
-        if vacuum_every and (bid + 1) % int(vacuum_every) == 0:
-            vacuum(df.sparkSession, path, keep_versions=2)
-
-    w = outcomes.writeStream.foreachBatch(_batch) \
-        .option("checkpointLocation", checkpoint)
+    the store at ``path`` (created by ``init_results``)."""
+    def log(batch: DataFrame, batch_id: int) -> None:
+        # set by Spark for the thread of the query; kept by the checkpoint over restarts
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise RuntimeError("the batch does not know the id of its stream")
+        append_batch(batch, path, run, batch_id)
+
+    w = outcomes.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
     if processing_time:
         w = w.trigger(processingTime=processing_time)
     elif available_now:
