@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = candidate_classes(classes, percent)
     texts = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
              .join(members.hint("merge"), F.col("doc") == F.col("node")).select("doc", "component", "t"))
-    links = verified_links(texts, words, percent)
+    links = verified_links(checkpointed(texts), words, percent)  # both passes read the candidates' texts, not all texts again
     found = connected_components(links)
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("component_id"))
