@@ -43,6 +43,8 @@ def data_year_ranges(df: DataFrame, ts_col: str) -> DataFrame:
 
 
 def with_partition(df: DataFrame, attribute: str, start: int, end: int) -> DataFrame:
+    if PARTITION_COL in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {PARTITION_COL!r} of its own, which its layout would replace")
     return df.withColumn(PARTITION_COL, year_partition(F.col(attribute), start, end, rest=REST))
 
 
@@ -85,6 +87,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds committed files or partitions; an empty folder,
+    or what a write left that never committed, does not count."""
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p)) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+
+
 def stored_partitions(spark: SparkSession, path: str) -> list[str]:
     """Partition values present on disk under ``path``."""
     fs, p = _fs(spark, path)
@@ -121,7 +130,7 @@ def partition_by_year(df: DataFrame, attribute: str, start: int, end: int, path:
     partition overwrite and only then are the partitions the new data lacks
     removed, so a failed job leaves the previous table readable."""
     spark = df.sparkSession
-    exists = path_exists(spark, path)
+    exists = has_data(spark, path)
     if exists and not overwrite:
         return "exists"
     if not year_bounds(start, end)[1:]:

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeward.operators import tables
@@ -68,3 +69,16 @@ def test_persist_unpersist_and_flag(spark, scratch):
     got = {r["entity"]: r["isPersisted"] for r in tables.with_persisted_flag(views, spark, store).collect()}
     assert got == {"V1": False, "V2": True, "V3": False}
     assert tables.read_view(spark, "V1", "SP", store) is None
+
+
+def test_empty_or_uncommitted_folder_is_no_partitioning(spark, scratch):
+    path = os.path.join(scratch, "t")
+    os.makedirs(os.path.join(path, "_temporary", "0"))
+    assert tables.partition_by_year(_years(spark), "year", 1998, 2001, path) == "created"
+    assert tables.partition_by_year(_years(spark), "year", 1998, 2001, path) == "exists"
+
+
+def test_column_named_partition_is_refused(spark, scratch):
+    df = _years(spark).withColumn("Partition", F.lit("mine"))
+    with pytest.raises(ValueError):
+        tables.partition_by_year(df, "year", 1998, 2001, os.path.join(scratch, "t"))
