@@ -2,11 +2,14 @@
 file, run the operator on Spark, write the result/export in the registered
 layout.
 
-Run outcomes (what a persist, partition, lock or task-chain run reported)
-are inputs: a DataFrame ``(entity, space, <order cols>, success,
-run_time_ms, outcome)`` -- from the table operations in
-``lakeward.operators.tables``, from a run log, or from a stream
-(``lakeward.streaming``).  Result datasets are reset, then written once.
+The actions on views either do the work or report work done elsewhere:
+``outcomes`` is a runner (``lakeward.operators.runs``: ``persisting``,
+``unpersisting``, ``partitioning``, ``unpartitioning``, ``locking``,
+``unlocking``), which is handed the tasks, or a DataFrame ``(entity, space,
+<order cols>, success, run_time_ms, outcome)`` from a run log or a stream
+(``lakeward.streaming``).  Runner outcomes are ordered by ``seq``.  Task
+chains run nothing on Spark tables, so they are reported only.  Result
+datasets are reset, then written once.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeward import sources
 from lakeward.operators import lineage, outcomes as oc, search, stats
+from lakeward.operators.runs import Runner
 
 
 def _write(spark: SparkSession, df: DataFrame, out: str, kind: str) -> DataFrame:
@@ -25,6 +29,10 @@ def _write(spark: SparkSession, df: DataFrame, out: str, kind: str) -> DataFrame
     return df
 
 
+def _runs(tasks: DataFrame, outcomes: DataFrame | Runner) -> DataFrame:
+    return outcomes if isinstance(outcomes, DataFrame) else outcomes(tasks)
+
+
 def export_models(models: DataFrame, edges: DataFrame, views: DataFrame, out: str,
                   skip_duplicates: bool = False, space: str | None = None) -> DataFrame:
     """All models (or those of one space) with their views; JSON Lines, one
@@ -36,11 +44,15 @@ def export_models(models: DataFrame, edges: DataFrame, views: DataFrame, out: st
 
 def check_model_runtimes(spark: SparkSession, tasks_path: str, models: DataFrame, edges: DataFrame,
                          views: DataFrame, persisted: DataFrame, persist_outcomes: DataFrame,
-                         unpersist_outcomes: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """Runtime report for the models named in the task file; nested JSON."""
+                         unpersist_outcomes: DataFrame, order: Sequence[str], out: str,
+                         not_found: str | None = None) -> DataFrame:
+    """Runtime report for the models named in the task file; nested JSON.
+    Requested models that do not exist go to ``not_found``, JSON as well."""
     requests = sources.scan_tasks(spark, tasks_path, "ANALYTICAL_MODELS_ALL_VIEWS_PERSISTENCE_TIME")
     rep = oc.runtime_report(requests, models, edges, views, persisted, persist_outcomes, unpersist_outcomes, order)
-    oc.runtime_report_nested(rep).write.mode("overwrite").json(out)
+    sources.write_model_export(oc.runtime_report_nested(rep), out)
+    if not_found is not None:
+        lineage.unresolved_models(requests, models).write.mode("overwrite").json(not_found)
     return rep
 
 
@@ -53,40 +65,40 @@ def find_views_with_attribute(spark: SparkSession, views: DataFrame, word: str,
     return _write(spark, search.attributes_containing(views, word, **cols), out, "VIEW_ATTRIBUTE")
 
 
-def create_partitioning_for_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame,
+def create_partitioning_for_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame | Runner,
                                   order: Sequence[str], out: str) -> DataFrame:
     tasks = sources.scan_tasks(spark, tasks_path, "VIEW_PARTITIONING_CREATE")
-    return _write(spark, oc.report_partition_create(tasks, outcomes, order), out, "VIEW_PARTITIONING_CREATE_RESULT")
+    return _write(spark, oc.report_partition_create(tasks, _runs(tasks, outcomes), order), out, "VIEW_PARTITIONING_CREATE_RESULT")
 
 
-def remove_partitioning_for_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame,
+def remove_partitioning_for_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame | Runner,
                                   order: Sequence[str], out: str) -> DataFrame:
     tasks = sources.scan_tasks(spark, tasks_path, "VIEW_PARTITIONING_DELETE")
-    return _write(spark, oc.report_partition_delete(tasks, outcomes, order), out, "VIEW_PARTITIONING_DELETE_RESULT")
+    return _write(spark, oc.report_partition_delete(tasks, _runs(tasks, outcomes), order), out, "VIEW_PARTITIONING_DELETE_RESULT")
 
 
-def persist_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame, order: Sequence[str], out: str,
+def persist_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame | Runner, order: Sequence[str], out: str,
                   timer: bool = True) -> DataFrame:
     tasks = sources.scan_tasks(spark, tasks_path, "VIEW_PERSIST")
-    return _write(spark, oc.report_persist(tasks, outcomes, order, timer), out, "VIEW_PERSIST_RESULT")
+    return _write(spark, oc.report_persist(tasks, _runs(tasks, outcomes), order, timer), out, "VIEW_PERSIST_RESULT")
 
 
-def unpersist_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame, order: Sequence[str],
+def unpersist_views(spark: SparkSession, tasks_path: str, outcomes: DataFrame | Runner, order: Sequence[str],
                     out: str) -> DataFrame:
     tasks = sources.scan_tasks(spark, tasks_path, "VIEW_UNPERSIST")
-    return _write(spark, oc.report_unpersist(tasks, outcomes, order), out, "VIEW_UNPERSIST_RESULT")
+    return _write(spark, oc.report_unpersist(tasks, _runs(tasks, outcomes), order), out, "VIEW_UNPERSIST_RESULT")
 
 
-def lock_partitions_until_year(spark: SparkSession, tasks_path: str, outcomes: DataFrame, order: Sequence[str],
+def lock_partitions_until_year(spark: SparkSession, tasks_path: str, outcomes: DataFrame | Runner, order: Sequence[str],
                                out: str) -> DataFrame:
     tasks = sources.scan_tasks(spark, tasks_path, "VIEW_PARTITION_LOCK")
-    return _write(spark, oc.report_lock(tasks, outcomes, order), out, "VIEW_PARTITION_LOCK_RESULT")
+    return _write(spark, oc.report_lock(tasks, _runs(tasks, outcomes), order), out, "VIEW_PARTITION_LOCK_RESULT")
 
 
-def unlock_all_partitions(spark: SparkSession, tasks_path: str, outcomes: DataFrame, order: Sequence[str],
+def unlock_all_partitions(spark: SparkSession, tasks_path: str, outcomes: DataFrame | Runner, order: Sequence[str],
                           out: str) -> DataFrame:
     tasks = sources.scan_tasks(spark, tasks_path, "VIEW_PARTITION_UNLOCK")
-    return _write(spark, oc.report_unlock(tasks, outcomes, order), out, "VIEW_PARTITION_UNLOCK_RESULT")
+    return _write(spark, oc.report_unlock(tasks, _runs(tasks, outcomes), order), out, "VIEW_PARTITION_UNLOCK_RESULT")
 
 
 def run_task_chains(spark: SparkSession, tasks_path: str, outcomes: DataFrame, order: Sequence[str],

@@ -83,13 +83,12 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     # Exact repeats of an edge row are dropped (a hash aggregate that reuses
     # an existing (model_id, view_id) partitioning); one name per (model,
     # view) is the input contract, as the source answers with a map.  Only
-    # edges of the selected models take part: the de-duplication and the
-    # final join are inner joins with the models; for a space-filtered
-    # export without de-duplication the edges are cut before the space
-    # resolution by a semi join.
-    e = edges.select("model_id", "view_id", "view_name").distinct()
-    if space is not None and not skip_duplicates:
+    # edges of the selected models take part: a space-filtered export cuts
+    # the edges by a semi join before anything else shuffles them.
+    e = edges.select("model_id", "view_id", "view_name")
+    if space is not None:
         e = packed_join(e, m.select(F.col("model_id").alias("_m")), ["model_id"], ["_m"], "left_semi")
+    e = e.distinct()
     if skip_duplicates:
         e = _first_model_per_view(e, m.select("model_id", "position"))
     resolved = map_views_to_spaces(e, views)
@@ -156,9 +155,12 @@ def unresolved_models(requests: DataFrame, models: DataFrame) -> DataFrame:
         .groupBy("modelname", "space").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
-def persist_worklist(resolved_edges: DataFrame) -> DataFrame:
-    """A2: distinct work list (model, view, space, name)."""
-    return resolved_edges.select("model_id", "view_id", "view_space", "view_name").distinct()
+def persist_worklist(resolved_edges: DataFrame, unique: bool = False) -> DataFrame:
+    """A2: distinct work list (model, view, space, name).  ``unique`` says
+    that the rows are distinct already, as ``requested_model_edges`` gives
+    them, and saves a shuffle of them all."""
+    work = resolved_edges.select("model_id", "view_id", "view_space", "view_name")
+    return work if unique else work.distinct()
 
 
 def requested_model_edges(requests: DataFrame, models: DataFrame, edges: DataFrame, views: DataFrame) -> DataFrame:

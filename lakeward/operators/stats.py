@@ -70,8 +70,8 @@ def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx:
     sort-based aggregation over N copies of the data).  The long forms are
     merged by a union and a group-by on the column name.
 
-    ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``): a single
-    pass with mergeable sketches and no Expand at all -- the choice for very
+    ``approx=True`` puts HyperLogLog++ sketches (``approx_count_distinct``)
+    into the global aggregate: one scan for all columns -- the choice for very
     wide or very large tables where exact distinct counts are not required."""
     cols = list(columns) if columns else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -79,20 +79,23 @@ def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx:
     basic_aggs = []
     for i, c in enumerate(cols):
         basic_aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        if approx:
+            basic_aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
     basic = data.agg(F.count(F.lit(1)).alias("_rows"), *basic_aggs)
     basic_long = basic.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("row_count"),
                  (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
-                 F.lit(None).cast("bigint").alias("distinct_count"),
+                 (F.col(f"d{i}") if approx else F.lit(None)).cast("bigint").alias("distinct_count"),
                  _as_text(f"lo{i}", types[c]).alias("min_value"), _as_text(f"hi{i}", types[c]).alias("max_value"))
         for i, c in enumerate(cols)])))
+    if approx:
+        return basic_long
     dist_long = None
     for c in cols:
         # One single-column aggregate per column: each scans only its own
         # column (parquet column pruning), needs no Expand, and the
         # per-column jobs of the union run side by side.
-        d = F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
-        one = data.select(c).agg(d.cast("bigint").alias("distinct_count")).select(
+        one = data.select(c).agg(F.count_distinct(F.col(c)).cast("bigint").alias("distinct_count")).select(
             F.lit(c).alias("column_name"), F.lit(None).cast("bigint").alias("row_count"),
             F.lit(None).cast("bigint").alias("null_count"), "distinct_count",
             F.lit(None).cast("string").alias("min_value"), F.lit(None).cast("string").alias("max_value"))
@@ -185,22 +188,22 @@ def refresh_profiles(spark: SparkSession, catalog: DataFrame, tables: Mapping[st
     ``parallelism`` tables are profiled at once (independent Spark jobs
     submitted side by side, like the original's bounded request
     concurrency).  Returns one row per table: table_name, statistics_type,
-    status (refreshed / failed)."""
+    status (refreshed / failed), error."""
     # One row per catalogue table (metadata, not data rows).
     todo = [(r["table_name"], r["statistics_type"]) for r in plan_refresh(catalog).collect()]
 
     def one(name: str, stype: str) -> tuple:
         if name not in tables or stype not in STATISTICS_TYPES:
-            return (name, stype, "failed")
+            return (name, stype, "failed", f"no table {name!r} or no statistics type {stype!r}")
         try:
             _store_profile(tables[name], name, stype, store, bins, approx)
-            return (name, stype, "refreshed")
-        except Exception:  # noqa: BLE001 -- one failed table is an outcome, not a crash
-            return (name, stype, "failed")
+            return (name, stype, "refreshed", None)
+        except Exception as e:  # noqa: BLE001 -- one failed table is an outcome, not a crash
+            return (name, stype, "failed", f"{type(e).__name__}: {e}")
 
     with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
         out = list(pool.map(lambda t: one(*t), todo))
-    return spark.createDataFrame(out, "table_name string, statistics_type string, status string")
+    return spark.createDataFrame(out, "table_name string, statistics_type string, status string, error string")
 
 
 def _store_profile(df: DataFrame, name: str, stype: str, store: str, bins: int, approx: bool) -> None:
@@ -215,26 +218,27 @@ def create_statistics(spark: SparkSession, catalog: DataFrame, statistics_type:
     """Create statistics of ``statistics_type`` for every catalogue table:
     F4 decides (create / update / skip), the profile is computed and stored
     for create and update, and one outcome per table is returned:
-    table_name, action, status (created / updated / skipped / failed).
+    table_name, action, status (created / updated / skipped / failed), error.
     A table the catalogue names but ``tables`` does not provide fails."""
     t = _check_type(statistics_type)
-    # One row per catalogue table (metadata, not data rows).
-    plan = [(r["table_name"], r["action"]) for r in plan_statistics(catalog, t).collect()]
+    plan = plan_statistics(catalog, t)
+    # Only tables with work to do come to the driver: one profiling job each.
+    todo = [(r["table_name"], r["action"]) for r in plan.filter("action <> 'skip'").collect()]
 
     def one(name: str, action: str) -> tuple:
-        if action == "skip":
-            return (name, action, "skipped")
         if name not in tables:
-            return (name, action, "failed")
+            return (name, action, "failed", f"no table {name!r}")
         try:
             _store_profile(tables[name], name, t, store, bins, approx)
-        except Exception:  # noqa: BLE001 -- one failed table is an outcome, not a crash
-            return (name, action, "failed")
-        return (name, action, "created" if action == "create" else "updated")
+        except Exception as e:  # noqa: BLE001 -- one failed table is an outcome, not a crash
+            return (name, action, "failed", f"{type(e).__name__}: {e}")
+        return (name, action, "created" if action == "create" else "updated", None)
 
     with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
-        out = list(pool.map(lambda a: one(*a), plan))
-    return spark.createDataFrame(out, "table_name string, action string, status string")
+        out = list(pool.map(lambda a: one(*a), todo))
+    skipped = plan.filter("action = 'skip'").select("table_name", "action", F.lit("skipped").alias("status"),
+                                                    F.lit(None).cast("string").alias("error"))
+    return spark.createDataFrame(out, "table_name string, action string, status string, error string").union(skipped)
 
 
 def read_profiles(spark: SparkSession, store: str, statistics_type: str) -> DataFrame:

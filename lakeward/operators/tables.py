@@ -9,6 +9,7 @@ outside every range go to one ``rest`` partition.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,9 +127,8 @@ def partition_by_year(df: DataFrame, attribute: str, start: int, end: int, path:
     written and the outcome is ``exists`` (which still counts as created);
     otherwise the whole layout is replaced and the outcome is ``created``.
 
-    Replacing never deletes first: new partitions are committed with dynamic
-    partition overwrite and only then are the partitions the new data lacks
-    removed, so a failed job leaves the previous table readable."""
+    Replacing computes the new data beside the old table first, so a failed
+    job leaves the previous table readable."""
     spark = df.sparkSession
     exists = has_data(spark, path)
     if exists and not overwrite:
@@ -163,21 +163,30 @@ def repersist(df: DataFrame, path: str, attribute: str, start: int, end: int,
     """T5 (effect): persist ``df`` again by yearly range while every locked
     range keeps exactly what is stored.
 
-    Locked partitions are filtered out of the new data and dynamic partition
-    overwrite replaces only the partitions written; unlocked partitions that
-    no longer occur in the new data are removed.  Returns the partitions
-    written."""
+    Locked partitions are filtered out of the new data.  The rest is computed
+    once, into a folder that readers of the table skip; then its partitions
+    are renamed into place, one after the other, and unlocked partitions that
+    no longer occur are removed.  A job that fails while it computes leaves
+    the table as it was.  Returns the partitions written."""
     spark = df.sparkSession
     locked = sorted({str(x) for x in locked})
     new = with_partition(df, attribute, start, end)
     if locked:
         new = new.filter(~F.col(PARTITION_COL).isin(*locked))
-    # At most one value per yearly range plus ``rest``; a one-column scan.
-    written = sorted(r[0] for r in new.select(PARTITION_COL).distinct().collect())
-    _write_partitioned(new, path, mode_dynamic=True)
+    path = path.rstrip("/")
+    staged = f"{path}/_new-{uuid.uuid4().hex[:12]}"
+    _write_partitioned(new, staged, mode_dynamic=False)
+    written = stored_partitions(spark, staged)
+    fs, _ = _fs(spark, path)
+    for value in written:
+        _delete_partition(spark, path, value)
+        folder = f"{PARTITION_COL}={value}"
+        if not fs.rename(_fs(spark, f"{staged}/{folder}")[1], _fs(spark, f"{path}/{folder}")[1]):
+            raise OSError(f"cannot move {staged}/{folder} into {path}")
     for value in stored_partitions(spark, path):
         if value not in locked and value not in written:
             _delete_partition(spark, path, value)
+    fs.delete(_fs(spark, staged)[1], True)
     return written
 
 
@@ -190,37 +199,53 @@ def repersist(df: DataFrame, path: str, attribute: str, start: int, end: int,
 REGISTRY_SCHEMA = "entity string, space string, action string, path string, seq bigint, run_time_ms bigint"
 
 
+def append_log(spark: SparkSession, path: str, rows, schema: str) -> None:
+    """Append ``rows`` to a log in a folder of their own, so that writers at
+    work side by side don't clean up each other's files."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{time.time_ns()}-{uuid.uuid4().hex[:8]}")
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def _registry_path(store: str) -> str:
     return f"{store.rstrip('/')}/_registry"
 
 
-def _append_registry(spark: SparkSession, store: str, rows) -> None:
-    spark.createDataFrame(rows, REGISTRY_SCHEMA).repartition(1).write.mode("append").parquet(_registry_path(store))
+def register(spark: SparkSession, store: str, entity: str, space: str, path: str | None, ms: int | None = None) -> None:
+    """The view now reads from ``path`` (None: from its definition again)."""
+    action = "unpersist" if path is None else "persist"
+    append_log(spark, _registry_path(store), [(entity, space, action, path, time.time_ns(), ms)], REGISTRY_SCHEMA)
 
 
 def read_registry(spark: SparkSession, store: str) -> DataFrame:
-    p = _registry_path(store)
-    if not path_exists(spark, p):
-        return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(p)
+    return read_log(spark, _registry_path(store), REGISTRY_SCHEMA)
 
 
-def persist(df: DataFrame, entity: str, space: str, store: str) -> DataFrame:
-    """Materialise a view, time it and register it.  Returns the outcome
-    row (entity, space, success, run_time_ms)."""
-    spark = df.sparkSession
+def materialise(df: DataFrame, entity: str, space: str, store: str) -> int:
+    """Write a view to a new snapshot and register it; the milliseconds taken."""
     path = f"{store.rstrip('/')}/views/{space}/{entity}/{time.time_ns()}"
     t0 = time.time()
-    ok = True
-    try:
-        df.hint("rebalance").write.mode("overwrite").parquet(path)
-    except Exception:  # noqa: BLE001 -- a failed run is an outcome, not a crash
-        ok = False
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
     ms = int(round((time.time() - t0) * 1000))
-    if ok:
-        _append_registry(spark, store, [(entity, space, "persist", path, time.time_ns(), ms)])
-    return spark.createDataFrame([(entity, space, ok, ms if ok else None)],
-                                 "entity string, space string, success boolean, run_time_ms bigint")
+    register(df.sparkSession, store, entity, space, path, ms)
+    return ms
+
+
+def persist(df: DataFrame, entity: str, space: str, store: str) -> DataFrame:
+    """Materialise a view, time it and register it.  Returns the outcome
+    row (entity, space, success, run_time_ms, error); a failed run is an
+    outcome that keeps its cause."""
+    ms, error = None, None
+    try:
+        ms = materialise(df, entity, space, store)
+    except Exception as e:  # noqa: BLE001 -- reported in the row
+        error = f"{type(e).__name__}: {e}"
+    return df.sparkSession.createDataFrame([(entity, space, error is None, ms, error)],
+                                           "entity string, space string, success boolean, run_time_ms bigint, error string")
 
 
 def unpersist(spark: SparkSession, entity: str, space: str, store: str) -> DataFrame:
@@ -229,7 +254,7 @@ def unpersist(spark: SparkSession, entity: str, space: str, store: str) -> DataF
     current = persisted_views(spark, store).filter((F.col("entity") == entity) & (F.col("space") == space))
     ok = current.limit(1).count() > 0
     if ok:
-        _append_registry(spark, store, [(entity, space, "unpersist", None, time.time_ns(), None)])
+        register(spark, store, entity, space, None)
     return spark.createDataFrame([(entity, space, ok)], "entity string, space string, success boolean")
 
 
@@ -252,4 +277,9 @@ def read_view(spark: SparkSession, entity: str, space: str, store: str) -> DataF
     """The persisted data of a view, or None when it is not persisted."""
     rows = persisted_views(spark, store).filter((F.col("entity") == entity) & (F.col("space") == space)) \
         .limit(1).collect()  # the registry holds one current row per view
-    return spark.read.parquet(rows[0]["path"]) if rows else None
+    if not rows:
+        return None
+    path = rows[0]["path"]
+    if path.startswith(f"{store.rstrip('/')}/ranges/"):  # a yearly layout, whose column is not the view's
+        return read_partitioned(spark, path).drop(PARTITION_COL)
+    return spark.read.parquet(path)

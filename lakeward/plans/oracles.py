@@ -304,3 +304,46 @@ ORACLES["catalog_edges_roundtrip"] = _with(_E) + "SELECT model_id, view_id, view
 # the nested forms are compared as rows
 ORACLES["export_models_nested"] = ORACLES["export_models_long"]
 ORACLES["runtime_report_nested"] = ORACLES["runtime_report"]
+
+# --- actions -------------------------------------------------------------------------------
+
+_OV = """ov AS (SELECT 'orders_' || o_orderstatus AS entity, CAST(year(o_orderdate) AS VARCHAR) AS order_year,
+              o_orderpriority = '1-URGENT' AS urgent FROM orders WHERE o_orderstatus IN ('O', 'F', 'P')),
+n AS (SELECT entity, order_year, count(*) AS n_rows FROM ov GROUP BY 1, 2),
+k AS (SELECT entity, 'SALES' AS space FROM (VALUES ('orders_O'), ('orders_F'), ('orders_P'), ('orders_missing')) AS x(entity))"""
+
+ORACLES["action_persist_views"] = _with(_OV) + """
+SELECT k.entity, k.space, k.entity <> 'orders_missing' AS isPersisted, n.order_year, n.n_rows FROM k LEFT JOIN n ON n.entity = k.entity"""
+ORACLES["action_unpersist_views"] = _with(_OV) + """
+SELECT k.entity, k.space, k.entity IN ('orders_O', 'orders_F') AS isRemoved,
+       (SELECT nullif(count(*), 0) FROM ov WHERE ov.entity = k.entity) AS n_rows, false AS isPersisted FROM k"""
+ORACLES["action_create_partitioning"] = _with(_OV) + """
+SELECT k.entity, k.space, 'order_year' AS attribute, k.entity <> 'orders_missing' AS createdPartition, n.order_year, n.n_rows
+FROM k LEFT JOIN n ON n.entity = k.entity"""
+ORACLES["action_remove_partitioning"] = _with(_OV) + """
+SELECT k.entity, k.space, n.entity IS NOT NULL AS removedPartition, n.order_year, n.n_rows
+FROM k LEFT JOIN n ON n.entity = k.entity AND n.entity IN ('orders_O', 'orders_F')"""
+ORACLES["action_lock_partitions"] = _with(_OV) + """
+SELECT entity, 'SALES' AS space, true AS lockedPartitions, order_year, count(*) AS n_rows FROM ov
+WHERE entity IN ('orders_O', 'orders_F') AND (urgent OR CAST(order_year AS INTEGER) BETWEEN 1993 AND 1997) GROUP BY 1, 2, 3, 4"""
+ORACLES["action_unlock_partitions"] = _with(_OV) + """
+SELECT entity, 'SALES' AS space, true AS unlockedPartitions, order_year, count(*) AS n_rows FROM ov
+WHERE entity IN ('orders_O', 'orders_F') AND urgent GROUP BY 1, 2, 3, 4"""
+
+# --- catalogue scans -------------------------------------------------------------------------
+
+ORACLES["catalog_models"] = _with(_M) + "SELECT CAST(model_id AS VARCHAR) AS model_id, name, space_name, CAST(model_id AS BIGINT) AS position FROM m"
+ORACLES["catalog_views"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS view_id, p_name AS name, p_brand AS space_name, p_type AS business_name,
+       CAST(p_partkey AS BIGINT) AS position FROM part"""
+ORACLES["catalog_view_attributes"] = """
+SELECT CAST(doc_id AS VARCHAR) AS view_id, CAST(doc_id AS VARCHAR) AS name, lang AS space_name, source AS business_name,
+       text AS attributes, CAST(doc_id AS BIGINT) AS position FROM documents"""
+ORACLES["catalog_analyser_stats"] = """
+SELECT CAST(l_orderkey AS VARCHAR) AS view_id, CAST(l_linenumber AS BIGINT) AS position, CAST(l_partkey AS VARCHAR) AS entity,
+       CAST(l_suppkey AS VARCHAR) AS space, l_returnflag || l_linestatus AS businessName, l_linestatus = 'F' AS isPersisted,
+       CAST(trunc(l_quantity) AS INTEGER) AS persistencyCandidateScore FROM lineitem"""
+ORACLES["catalog_tables"] = """
+SELECT 'T' || CAST(p_partkey AS VARCHAR) AS table_name, p_size <= 45 AS statistics_supported,
+       CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN NULL WHEN p_type = 'SMALL' THEN 'SIMPLE'
+            WHEN p_type = 'LARGE' THEN 'RECORD_COUNT' ELSE 'HISTOGRAM' END AS statistics_type FROM part"""

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward import sources
-from lakeward.operators import lineage, outcomes as oc, search, stats, tables
+from lakeward import actions, sources
+from lakeward.operators import lineage, outcomes as oc, runs, search, stats, tables
 from lakeward.plans import fixtures as fx
 from lakeward.session import scratch_path
 from lakeward.streaming import upsert as st
@@ -68,7 +68,7 @@ def unresolved_models(spark, d):
 def persist_worklist(spark, d):
     e = lineage.requested_model_edges(fx.requests(spark, d), fx.models(spark, d),
                                       fx.edges(spark, d), fx.views(spark, d))
-    return lineage.persist_worklist(e)
+    return lineage.persist_worklist(e, unique=True)
 
 
 # --- search -----------------------------------------------------------------------
@@ -332,6 +332,148 @@ def stream_upsert(spark, d):
     return st.current_results(spark, res, fx.RUN_ORDER)
 
 
+# --- actions: task files that order work, the work, and its report -----------------------
+
+ACTION_LOCK_UNTIL = 1997
+
+
+def _order_views(spark, d, urgent_only=False):
+    """One view per order status, with the year of the order."""
+    orders = fx.table(spark, d, "orders").withColumn("order_year", F.year("o_orderdate").cast("string"))
+    if urgent_only:
+        orders = orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    return {(f"orders_{s}", "SALES"): orders.filter(F.col("o_orderstatus") == s) for s in fx.PERSISTED_STATUSES}
+
+
+def _task_file(spark, kind, statuses):
+    path = scratch_path(spark, "tasks")
+    rows = [(f"orders_{s}", "SALES", "order_year") for s in statuses]
+    sources.append_results(spark.createDataFrame(rows, "entity string, space string, attribute string"), path, kind)
+    return path
+
+
+def _with_rows(spark, report, store):
+    """The report, and how many rows each view of the store now has by year."""
+    seen = None
+    for s in fx.PERSISTED_STATUSES:
+        df = tables.read_view(spark, f"orders_{s}", "SALES", store)
+        if df is not None:
+            one = df.groupBy(F.lit(f"orders_{s}").alias("entity"), "order_year").agg(F.count(F.lit(1)).alias("n_rows"))
+            seen = one if seen is None else seen.unionByName(one)
+    empty = spark.createDataFrame([], "entity string, order_year string, n_rows bigint")
+    return report.join(empty if seen is None else seen, "entity", "left")
+
+
+def _create_partitions(spark, views, store, statuses):
+    res = scratch_path(spark, "results")
+    actions.create_partitioning_for_views(spark, _task_file(spark, "VIEW_PARTITIONING_CREATE", statuses),
+                                          runs.partitioning(views, store, PARTITION_START, PARTITION_END), ["seq"], res)
+    return sources.read_results(spark, res, "VIEW_PARTITIONING_CREATE_RESULT")
+
+
+ALL_TASKS = [*fx.PERSISTED_STATUSES, "missing"]
+
+
+def action_persist_views(spark, d):
+    """Persist every status's view; the task of a view that does not exist fails."""
+    store, res = scratch_path(spark, "store"), scratch_path(spark, "results")
+    actions.persist_views(spark, _task_file(spark, "VIEW_PERSIST", ALL_TASKS), runs.persisting(_order_views(spark, d), store), ["seq"], res)
+    report = sources.read_results(spark, res, "VIEW_PERSIST_RESULT").drop("runtime")
+    return _with_rows(spark, report, store)
+
+
+def action_unpersist_views(spark, d):
+    """Two views are persisted, all are ordered to be unpersisted."""
+    store, res = scratch_path(spark, "store"), scratch_path(spark, "results")
+    runs.persisting(_order_views(spark, d), store)(sources.scan_tasks(spark, _task_file(spark, "VIEW_PERSIST", ["O", "F"]), "VIEW_PERSIST"))
+    actions.unpersist_views(spark, _task_file(spark, "VIEW_UNPERSIST", ALL_TASKS), runs.unpersisting(store), ["seq"], res)
+    orders = fx.table(spark, d, "orders").groupBy(F.concat(F.lit("orders_"), "o_orderstatus").alias("entity")).agg(F.count(F.lit(1)).alias("n_rows"))
+    report = sources.read_results(spark, res, "VIEW_UNPERSIST_RESULT").join(orders, "entity", "left")
+    return tables.with_persisted_flag(report, spark, store)
+
+
+def action_create_partitioning(spark, d):
+    """Partition every status's view by order year."""
+    store = scratch_path(spark, "store")
+    return _with_rows(spark, _create_partitions(spark, _order_views(spark, d), store, ALL_TASKS), store)
+
+
+def action_remove_partitioning(spark, d):
+    """Two views are partitioned, all are ordered to lose their partitions."""
+    store, res = scratch_path(spark, "store"), scratch_path(spark, "results")
+    _create_partitions(spark, _order_views(spark, d), store, ["O", "F"])
+    actions.remove_partitioning_for_views(spark, _task_file(spark, "VIEW_PARTITIONING_DELETE", ALL_TASKS), runs.unpartitioning(store), ["seq"], res)
+    return _with_rows(spark, sources.read_results(spark, res, "VIEW_PARTITIONING_DELETE_RESULT"), store)
+
+
+def _locked_store(spark, d, res):
+    store = scratch_path(spark, "store")
+    _create_partitions(spark, _order_views(spark, d), store, ["O", "F"])
+    actions.lock_partitions_until_year(spark, _task_file(spark, "VIEW_PARTITION_LOCK", ALL_TASKS),
+                                       runs.locking(store, ACTION_LOCK_UNTIL), ["seq"], res)
+    return store
+
+
+def _persist_urgent(spark, d, store):
+    out = scratch_path(spark, "results")
+    actions.persist_views(spark, _task_file(spark, "VIEW_PERSIST", ["O", "F"]), runs.persisting(_order_views(spark, d, True), store), ["seq"], out)
+
+
+def action_lock_partitions(spark, d):
+    """Lock two views up to a year (the others have no partitions: no row),
+    then persist their urgent orders only: locked years keep every order."""
+    res = scratch_path(spark, "results")
+    store = _locked_store(spark, d, res)
+    _persist_urgent(spark, d, store)
+    return _with_rows(spark, sources.read_results(spark, res, "VIEW_PARTITION_LOCK_RESULT"), store)
+
+
+def action_unlock_partitions(spark, d):
+    """As ``action_lock_partitions``, but unlocked before persisting again:
+    every year holds the urgent orders only."""
+    store, res = _locked_store(spark, d, scratch_path(spark, "results")), scratch_path(spark, "results")
+    actions.unlock_all_partitions(spark, _task_file(spark, "VIEW_PARTITION_UNLOCK", ALL_TASKS), runs.unlocking(store), ["seq"], res)
+    _persist_urgent(spark, d, store)
+    return _with_rows(spark, sources.read_results(spark, res, "VIEW_PARTITION_UNLOCK_RESULT"), store)
+
+
+# --- catalogue scans (S2) ------------------------------------------------------------------
+
+def catalog_models(spark, d):
+    path = scratch_path(spark, "catalog")
+    fx.models(spark, d).withColumnRenamed("model_id", "id").write.json(path)
+    return sources.scan_catalog(spark, path, "models", "json", stored_position=True)
+
+
+def catalog_views(spark, d):
+    path = scratch_path(spark, "catalog")
+    fx.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("space_name"),
+                                      F.col("p_type").alias("business_name"), F.col("p_partkey").cast("bigint").alias("position")).write.parquet(path)
+    return sources.scan_catalog(spark, path, "views", stored_position=True)
+
+
+def catalog_view_attributes(spark, d):
+    path = scratch_path(spark, "catalog")
+    v = fx.attribute_views(spark, d)
+    v.select(F.col("entity").alias("id"), F.col("entity").alias("name"), F.col("space").alias("space_name"), F.col("businessName").alias("business_name"),
+             "attributes", F.col("entity").cast("bigint").alias("position")).write.option("ignoreNullFields", False).json(path)
+    back = sources.scan_catalog(spark, path, "view_attributes", "json", stored_position=True)
+    return back.withColumn("attributes", F.array_join("attributes", " "))
+
+
+def catalog_analyser_stats(spark, d):
+    path = scratch_path(spark, "catalog")
+    fx.analyser_stats(spark, d).select(F.col("view_id").cast("string").alias("view_id"), F.col("l_linenumber").cast("bigint").alias("position"), "entity", "space",
+                                       "businessName", "isPersisted", F.col("persistencyCandidateScore").cast("int").alias("persistencyCandidateScore")).write.parquet(path)
+    return sources.scan_catalog(spark, path, "analyser_stats")
+
+
+def catalog_tables(spark, d):
+    path = scratch_path(spark, "catalog")
+    fx.statistics_catalog(spark, d).write.json(path)
+    return sources.scan_catalog(spark, path, "tables", "json")
+
+
 QUERIES: dict[str, Query] = {
     "export_models_long": export_models_long,
     "export_models_dedup": export_models_dedup,
@@ -375,4 +517,15 @@ QUERIES: dict[str, Query] = {
     "export_by_space_roundtrip": export_by_space_roundtrip,
     "persisted_flag": persisted_flag,
     "catalog_edges_roundtrip": catalog_edges_roundtrip,
+    "action_persist_views": action_persist_views,
+    "action_unpersist_views": action_unpersist_views,
+    "action_create_partitioning": action_create_partitioning,
+    "action_remove_partitioning": action_remove_partitioning,
+    "action_lock_partitions": action_lock_partitions,
+    "action_unlock_partitions": action_unlock_partitions,
+    "catalog_models": catalog_models,
+    "catalog_views": catalog_views,
+    "catalog_view_attributes": catalog_view_attributes,
+    "catalog_analyser_stats": catalog_analyser_stats,
+    "catalog_tables": catalog_tables,
 }

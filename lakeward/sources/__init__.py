@@ -1,6 +1,7 @@
 from lakeward.sources.files import (  # noqa: F401
     append_results,
     read_results,
+    reset_all,
     reset_results,
     scan_catalog,
     scan_tasks,

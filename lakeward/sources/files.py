@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeward import schemas
+from lakeward.operators.tables import path_exists
 
 # --- fixed values: catalogue layouts ---------------------------------------------
 CATALOG_SCHEMAS = {
@@ -82,11 +83,26 @@ def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return raw.select(*out)
 
 
-def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet") -> DataFrame:
+def reset_all(spark: SparkSession, root: str) -> None:
+    """Set up every registered dataset below ``root``, one folder per kind of
+    dataset: task files that exist are kept, results and CSV exports are
+    emptied, nested exports get their folder when they are first written."""
+    for kind in schemas.DATASETS:
+        path = f"{root.rstrip('/')}/{schemas.folder(kind)}/{schemas.file_name(kind)}"
+        if schemas.DATASETS[kind][2] is None:
+            continue
+        if schemas.folder(kind) != schemas.TASKS or not path_exists(spark, path):
+            reset_results(spark, path, kind)
+
+
+def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet", stored_position: bool = False) -> DataFrame:
     """Read a metadata catalogue with a fixed layout.
 
     Models and views come back in the operators' contract: ``model_id`` /
-    ``view_id`` and a ``position`` in catalogue (file) order.
+    ``view_id`` and a ``position`` in catalogue order, which decides "first
+    match wins".  ``stored_position=True`` reads it from a column of that
+    name, which keeps the order when the files are rewritten.  Otherwise it is
+    the row's place: file path, start of the file's split, row in the split.
 
     ``kind="edges"`` reads the model-to-view answer (JSON Lines, one object
     ``{model_id: {view_id: view_name}}`` per line) and flattens it to
@@ -97,15 +113,15 @@ def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet"
         return m.select("model_id", F.explode("views").alias("view_id", "view_name"))
     if kind not in CATALOG_SCHEMAS:
         raise ValueError(f"unknown catalogue kind {kind!r}")
-    reader = spark.read.schema(CATALOG_SCHEMAS[kind])
+    ordered = kind in ("models", "views", "view_attributes")
+    reader = spark.read.schema(CATALOG_SCHEMAS[kind] + (", position bigint" if ordered and stored_position else ""))
     df = reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
-    if kind in ("models", "views", "view_attributes"):
-        # Catalogue order decides "first match wins": the position is the
-        # row's place in the files (partition index, then row index), the
-        # same on every re-read of the same files.
-        df = df.withColumnRenamed("id", "model_id" if kind == "models" else "view_id") \
-            .withColumn("position", F.monotonically_increasing_id())
-    return df
+    if ordered and not stored_position:
+        # Ids grow along a split, whichever task reads it.
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("row"))
+        df = df.select("*", place.alias("position"))
+    return df.withColumnRenamed("id", "model_id" if kind == "models" else "view_id") if ordered else df
 
 
 def write_edges_catalog(edges: DataFrame, path: str, parts: int = 16) -> None:
