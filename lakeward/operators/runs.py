@@ -163,9 +163,11 @@ def unpartitioning(store: str, parallelism: int = 5) -> Runner:
         def work(entity, space, _):
             if _layout(spark, store, entity, space) is None:
                 return NO_PARTITIONS
-            rows = tables.read_partitioned(spark, layout_path(store, entity, space)).drop(tables.PARTITION_COL)
+            path = layout_path(store, entity, space)
+            rows = tables.read_partitioned(spark, path).drop(tables.PARTITION_COL)
             tables.materialise(rows, entity, space, store)
             _set_layout(spark, store, entity, space, None)
+            tables.delete(spark, path)
             return "removed"
 
         return run_tasks(tasks, store, work, parallelism)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeward.session import materialize
+
 # --- fixed values: statistics types ------------------------------------------
 STATISTICS_TYPES = ("RECORD_COUNT", "SIMPLE", "HISTOGRAM")
 # --- end of fixed values -------------------------------------------------------
@@ -59,7 +61,8 @@ def _as_text(c: str, dtype: T.DataType):
     return col.cast("string")
 
 
-def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                   staged: bool = False) -> DataFrame:
     """A4: ``SIMPLE`` -- per column: non-null count, null count, distinct
     count, min and max (as text), in long form.
 
@@ -72,10 +75,16 @@ def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx:
 
     ``approx=True`` puts HyperLogLog++ sketches (``approx_count_distinct``)
     into the global aggregate: one scan for all columns -- the choice for very
-    wide or very large tables where exact distinct counts are not required."""
+    wide or very large tables where exact distinct counts are not required.
+
+    ``staged=True`` writes ``df`` once to the shared folder and profiles that:
+    for a view whose plan is more than a scan, which would otherwise run once
+    per exact distinct count."""
     cols = list(columns) if columns else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     data = df.select(*cols)
+    if staged:
+        data = materialize(data, "profiled")
     basic_aggs = []
     for i, c in enumerate(cols):
         basic_aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]

@@ -12,7 +12,7 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions.keyed import last_per_key
@@ -225,6 +225,50 @@ def read_registry(spark: SparkSession, store: str) -> DataFrame:
     return read_log(spark, _registry_path(store), REGISTRY_SCHEMA)
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [s.getPath().toString() for s in fs.listStatus(p) if not s.getPath().getName().startswith((".", "_"))]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _with_next(log: DataFrame) -> DataFrame:
+    # a compaction that was cut off leaves rows twice
+    return log.distinct().withColumn("_next", F.lead("seq").over(Window.partitionBy("entity", "space").orderBy("seq")))
+
+
+def compact_log(spark: SparkSession, path: str, schema: str, before: int) -> None:
+    """Drop the rows of a log that a later row of their view superseded
+    before ``before``.  Rows appended meanwhile stay; the old folders go only
+    after the new one is written."""
+    old = _children(spark, path) if path_exists(spark, path) else []
+    if not old:
+        return
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*old)
+    kept = _with_next(rows).filter(F.col("_next").isNull() | (F.col("_next") >= F.lit(before))).drop("_next")
+    kept.hint("rebalance").write.parquet(f"{path}/{time.time_ns()}-{uuid.uuid4().hex[:8]}")
+    for folder in old:
+        delete(spark, folder)
+
+
+def remove_superseded(spark: SparkSession, store: str, older_than_s: float = 86400.0) -> int:
+    """Delete snapshots that were superseded more than ``older_than_s``
+    seconds ago, so that nobody still reads them, and compact the registry;
+    the number of snapshots deleted."""
+    before = time.time_ns() - int(older_than_s * 1e9)
+    gone = _with_next(read_registry(spark, store)).filter(
+        F.col("path").startswith(f"{store.rstrip('/')}/views/") & (F.col("_next") < F.lit(before)))
+    n = 0
+    for row in gone.select("path").toLocalIterator():
+        delete(spark, row["path"])
+        n += 1
+    compact_log(spark, _registry_path(store), REGISTRY_SCHEMA, before)
+    return n
+
+
 def materialise(df: DataFrame, entity: str, space: str, store: str) -> int:
     """Write a view to a new snapshot and register it; the milliseconds taken."""
     path = f"{store.rstrip('/')}/views/{space}/{entity}/{time.time_ns()}"
