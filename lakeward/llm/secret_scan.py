@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
-A candidate is a long unbroken run of key characters on a line with a
-sensitive word shortly before it.  Its novelty is the number of bytes that
+A candidate is a long unbroken run of key characters in a text that holds a
+sensitive word, before or after it, on its line or another.  Its novelty is the number of bytes that
 the candidate adds when the code around it is compressed with a dictionary
 of identifiers; text that the context or the dictionary predicts adds little,
 a random key adds nearly its own entropy.
@@ -28,7 +28,6 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 SENSITIVE = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth[_-]key|signature)", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH = 48  # characters between a sensitive word and the end of the gap before its candidate
 CONTEXT = 256  # characters of code around that prime the compressor
 
 # Names and phrases that make ordinary code predictable.
@@ -67,21 +66,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], min_share: float = 0.6, min_bytes: int = 12) -> list[tuple[int, int, str]]:
-    """Spans, outside ``base``, of candidates near a sensitive word whose
-    novelty is at least ``min_bytes`` and ``min_share`` of their length."""
-    out, done = [], 0
-    taken = [(a, b) for a, b, _ in base]
-    for word in SENSITIVE.finditer(text):
-        line_end = text.find("\n", word.end(), word.end() + REACH)
-        stop = word.end() + REACH if line_end < 0 else line_end
-        m = CANDIDATE.search(text, max(word.end(), done))
-        if m is None:
-            break
-        if m.start() >= stop:
-            continue
+    """Spans, outside ``base``, of candidates whose novelty is at least
+    ``min_bytes`` and ``min_share`` of their length.  Every candidate of a
+    text that holds a sensitive word is tested, wherever the word stands."""
+    out, at, reach = [], 0, 0  # reach: the end of the base spans that start before the candidate's end
+    if SENSITIVE.search(text) is None:
+        return out
+    taken = sorted((a, b) for a, b, _ in base)
+    for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        done = b
-        if any(x < b and a < y for x, y in taken) or not (any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))):
+        while at < len(taken) and taken[at][0] < b:
+            reach, at = max(reach, taken[at][1]), at + 1
+        if reach > a or not (any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))):
             continue
         if (n := novelty(text[max(0, a - CONTEXT):a], m[0], text[b:b + CONTEXT // 4])) >= min_bytes and n >= min_share * (b - a):
             out.append((a, b, "novel"))

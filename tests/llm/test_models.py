@@ -129,6 +129,21 @@ def test_novel_strings_are_reported_and_plain_ones_not():
     assert ss.scan("the secretary wrote of the authorization in October")[1] == []
 
 
+def test_every_candidate_is_tested():
+    key, other = "q9X2vB7LmK4tRz8WcY1p", "Hn5Tg0ZsJ8wEd3RuXk6A"
+
+    def found(text):
+        return [text[a:b] for a, b, _ in ss.scan(text)[1]]
+
+    assert found(f'credentialsProviderDefault("{key}")') == [key]
+    assert found(f"bearer authenticationHeaderName: {key}") == [key]
+    assert found(f'api_keys = ["{key}", "{other}"]') == [key, other]
+    assert found(f"pwd:\n  {key}") == [key]
+    assert found(f'"{key}" is the signature') == [key]
+    assert found(f"the signing password {'. , ' * 200} {key}") == [key]
+    assert ss.scan(f"token={key} {other}") == ([(0, 26, "assign")], [(27, 47, "novel")])  # a base span is not reported twice
+
+
 def test_secret_table(spark):
     rows = [(1, None), (2, ""), (3, "é token=abcdefghijkl"), (3, "é token=abcdefghijkl"), (None, "AKIA" + "Z" * 20), (5, "password " * 100_000)]
     got = sorted(map(str, (tuple(r) for r in ss.scan_documents(frame(spark, rows)).select("doc_id", "n_assign", "n_access", "base").collect())))
