@@ -1,23 +1,27 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 A candidate is a long unbroken run of key characters in a text that holds a
-sensitive word, before or after it, on its line or another.  Its novelty is the number of bytes that
-the candidate adds when the code around it is compressed with a dictionary
-of identifiers; text that the context or the dictionary predicts adds little,
-a random key adds nearly its own entropy.
+sensitive word, before or after it, on its line or another.  Its novelty is
+the number of bytes that it adds to a compressed block of ordinary names, the
+identifiers it shares with the rest of its text and the corpus's words.  It is
+reported when that is more than ordinary names of its length add; a random key
+adds nearly its own entropy.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeward.llm.common import row_slices, text_buffers
+from lakeward.llm.common import checkpointed, row_slices, text_buffers
 
 # Fixed patterns of the contract, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -28,7 +32,6 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 SENSITIVE = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth[_-]key|signature)", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CONTEXT = 256  # characters of code around that prime the compressor
 
 # Names and phrases that make ordinary code predictable.
 IDENTIFIERS = " ".join((
@@ -40,21 +43,76 @@ IDENTIFIERS = " ".join((
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1234567890123456 "
     "http https www com org net index html application json content type length encoding utf-8 base64 sha256").split())
 
+ORDINARY_WORDS = (
+    "action active address agent alert alias amount analytics anchor answer app append argument array asset async attach attribute author avatar backup "
+    "balance banner base bin bind block body bookmark border branch browser bucket buffer build bundle cache calendar callback cancel canvas capture cart "
+    "catalog category center channel chapter check checkout child city class clean click client clock close cloud cluster collect color column comment "
+    "commit common compare compile complete compute condition config connect console constant container content context convert copy core country coupon "
+    "cover credit current cursor customer daily dashboard database date deadline decode default define delete deliver demo depth design detail dialog "
+    "digest direct discount display docs domain download draft duration dynamic edge editor element email empty enable encode entity entry error event "
+    "events example execute exit expand export extend external failure feature feedback field figure file filter final finance first flag flight folder "
+    "follow footer form format forward friend front function game gateway generate grant graph grid guest guide handle hash header health helper helpers "
+    "hidden holder home hook hotel hour icon import inbox include info inline input inspect install instance internal invoice item iterator join journal "
+    "keyboard keys label large last latency layout leader leave legacy length level library license light line link list load local locale lock logger "
+    "login lookup machine magic manage manager manual margin market master matrix maximum measure member memory menu message meta method middle migrate "
+    "minimum model modify module month monthly mouse music name native node normal note number object offer offset online open opt option options order "
+    "orders origin owner package page panel paper params parse partial partner path pattern payment people percent period phone photo picture plan platform "
+    "player point policy pool port post power premium prepare preview primary print private product profile program project prompt property provider proxy "
+    "public purchase query queue random range rating reader record recover reduce refer refresh register release remote rename render repair replace reply "
+    "report require reserve reset resolve resource response result results resume return review right room root rotate route router rule runtime sale "
+    "sample scale scan schedule scope score screen scroll search season section secure segment sender sequence serial service session setting setup shadow "
+    "shape sheet shell shipping short sidebar signal single site size slider slot small social socket sort space special speed src stack staff standard "
+    "start state station status step stop storage store stream street string student style submit summary supplier support symbol sync system target task "
+    "team temporary term test text theme thread ticket time timer toggle tool tooltip trace track trade train transfer translate tree trigger type unit "
+    "update upgrade usage user users utils valid value var vector vendor version vertical video visible visit visitor wallet warning watch weather week "
+    "weight width window wizard wrapper write www zone "
+).split()
+
+# Marginal bytes of ordinary names of n characters stay below OWN_BYTES + BYTE_SHARE * n: fitted on 1,300 seeded names built from words
+# that are not in ORDINARY_WORDS (8 % lie above; 98 % of random letters and digits do); tests/llm holds other names and keys against it.
+OWN_BYTES, BYTE_SHARE = 0.5, 0.7
+
+PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}|[0-9]{3,}")  # a name's words and numbers
+CORPUS_WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,15}+(?![A-Za-z0-9+/_=-])"  # never a piece of a candidate
+CORPUS_WORDS = 20_000  # bound of the corpus dictionary: the words in most documents
+
+
+def ordinary_names(words: list[str], n: int, seed: int) -> list[str]:
+    """Seeded names in the usual styles: snake, camel, path, dashed and upper
+    case, some with a number, version or date."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        p, style = [r.choice(words) for _ in range(r.randint(2, 5))], r.randrange(6)
+        name = ("_".join(p), p[0] + "".join(map(str.title, p[1:])), "/".join(p), "-".join(p), "_".join(p).upper(), "".join(map(str.title, p)))[style]
+        date = ("-" if style == 3 else "_") + f"{r.randint(2000, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"
+        out.append(name + ("", "", str(r.randint(1, 9999)), f"_v{r.randint(1, 30)}", date)[r.randrange(5)])
+    return out
+
+
 _TOOLS: list = []
 
 
 def _tools():
     if not _TOOLS:
-        book = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _TOOLS.append(zstandard.ZstdCompressor(level=19, dict_data=book, write_checksum=False, write_content_size=False))
-    return _TOOLS[0]
+        prime = " ".join([IDENTIFIERS, *ORDINARY_WORDS, *map(str.upper, ORDINARY_WORDS), *ordinary_names(ORDINARY_WORDS, 150, 1)]) + "\n"
+        _TOOLS[:] = [zstandard.ZstdCompressor(level=19, write_checksum=False, write_content_size=False), prime.encode(), {}]
+    return _TOOLS
+
 
+def novelty(candidate: str, known: list[str]) -> int:
+    """Bytes that ``candidate`` adds to a compressed block of ordinary names
+    and the ``known`` identifiers.  One block holds all, so the candidate's
+    characters are coded by the statistics of names, not stored raw."""
+    tool, prime, alone = _tools()
+    block = prime + (" ".join(known) + "\n").encode()
+    if not known and "" not in alone:
+        alone[""] = len(tool.compress(block))
+    return len(tool.compress(block + candidate.encode())) - (len(tool.compress(block)) if known else alone[""])
 
-def novelty(before: str, candidate: str, after: str) -> int:
-    """Bytes that ``candidate`` adds to its compressed surroundings."""
-    tool = _tools()
-    around = (before + "\n" + after).encode()
-    return len(tool.compress(around + b"\n" + candidate.encode())) - len(tool.compress(around + b"\n"))
+
+def limit(length: int) -> float:
+    """Marginal bytes that ordinary names of this length stay below."""
+    return OWN_BYTES + BYTE_SHARE * length
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -65,28 +123,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], min_share: float = 0.6, min_bytes: int = 12) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], corpus: frozenset[str] = frozenset(), min_bytes: int = 12) -> list[tuple[int, int, str]]:
     """Spans, outside ``base``, of candidates whose novelty is at least
-    ``min_bytes`` and ``min_share`` of their length.  Every candidate of a
-    text that holds a sensitive word is tested, wherever the word stands."""
+    ``min_bytes`` and above that of ordinary names of their length.  Every
+    candidate of a text that holds a sensitive word is tested, wherever the
+    word stands.  Known to a candidate are the identifiers of the rest of the
+    whole text and the lower-case words of ``corpus``."""
     out, at, reach = [], 0, 0  # reach: the end of the base spans that start before the candidate's end
     if SENSITIVE.search(text) is None:
         return out
-    taken = sorted((a, b) for a, b, _ in base)
+    taken, test = sorted((a, b) for a, b, _ in base), []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while at < len(taken) and taken[at][0] < b:
             reach, at = max(reach, taken[at][1]), at + 1
-        if reach > a or not (any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))):
-            continue
-        if (n := novelty(text[max(0, a - CONTEXT):a], m[0], text[b:b + CONTEXT // 4])) >= min_bytes and n >= min_share * (b - a):
-            out.append((a, b, "novel"))
+        if reach <= a and any(map(str.isalpha, m[0])):
+            test.append(m)
+    if not test:
+        return out
+    parts = Counter(p.lower() for p in PART.findall(text))
+    runs = Counter(CANDIDATE.findall(text))
+    for m in test:
+        name = m[0]
+        inside = PART.findall(name)
+        own = Counter(map(str.lower, inside))
+        known = [p for p in dict.fromkeys(inside) if parts[p.lower()] > own[p.lower()] or p.lower() in corpus]
+        if runs[name] > 1:
+            known.append(name)
+        if (n := novelty(name, known)) >= min_bytes and n > limit(len(name)):
+            out.append((*m.span(), "novel"))
     return out
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str, corpus: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     base = base_spans(text)
-    return base, novel_spans(text, base)
+    return base, novel_spans(text, base, corpus)
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", bound: int = CORPUS_WORDS) -> frozenset[str]:
+    """At most ``bound`` lower-case words, those that stand in most rows, in
+    two at least; words in equally many rows are taken or left together.  Runs
+    long enough to be candidates are not read, so a key in many copies is not
+    learned.  Partial sums are taken before the shuffle; the driver receives
+    the words taken and one row per distinct number of rows."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(CORPUS_WORD), F.lit(0)), lambda w: F.lower(w)))
+    counted = checkpointed(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
+    least, total = None, 0
+    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
+        if (total := total + r["words"]) > bound:
+            break
+        least = r["n"]
+    return frozenset() if least is None else frozenset(r["w"] for r in counted.filter(F.col("n") >= least).collect())
 
 
 def write_spans(spans: list[tuple[int, int, str]]) -> str:
@@ -99,8 +186,9 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base and spans list kind:start:end (code points, end exclusive) by start,
     then kind; spans also holds the novel ones.  A null or empty text has no
     span; repeated rows are scanned each; an empty table gives an empty
-    result; other columns are not read.  One narrow pass without a shuffle,
-    over whole texts."""
+    result; other columns are not read.  A bounded aggregate over all texts
+    gathers the corpus's words; one narrow pass then scans whole texts."""
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(f"n_{k}", T.LongType()) for k in (*KINDS, "novel")]
                           + [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
     order = {k: i for i, k in enumerate((*KINDS, "novel"))}
@@ -109,7 +197,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = batch.column(1)
             for a, b in row_slices(text_buffers(texts)[1], 8 << 20):
-                found = [scan(t or "") for t in texts.slice(a, b - a).to_pylist()]
+                found = [scan(t or "", corpus.value) for t in texts.slice(a, b - a).to_pylist()]
                 counts = [pa.array([sum(k == kind for _, _, k in base + novel) for base, novel in found], pa.int64()) for kind in order]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *counts, pa.array([write_spans(base) for base, _ in found], pa.string()),

@@ -144,6 +144,30 @@ def test_every_candidate_is_tested():
     assert ss.scan(f"token={key} {other}") == ([(0, 26, "assign")], [(27, 47, "novel")])  # a base span is not reported twice
 
 
+def test_clean_names_are_not_novel_and_planted_keys_are():
+    clean = "checkout_page_version2 renderMonthlyReport2024 session_2024-05-12_archive /var/lib/myapp/keys/server1 users/profile/settings/page2".split()
+    assert [ss.scan(f"the token of {name} is old")[1] for name in clean] == [[]] * len(clean)
+    held = "ladder bridge candle forest garden hammer island jacket kitchen lemon mirror needle ocean pencil rabbit saddle tunnel umbrella velvet walnut".split()
+    assert not set(held) & set(ss.ORDINARY_WORDS)
+    names = [n for n in ss.ordinary_names(held, 300, 17) if len(n) >= 16]
+    assert np.mean([bool(ss.scan(f"token {n}")[1]) for n in names]) < 0.15
+    r = random.Random(18)
+    keys = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=r.randint(18, 44))) for _ in range(200)]
+    assert np.mean([bool(ss.scan(f"token {k}")[1]) for k in keys]) > 0.95
+
+
+def test_names_of_the_whole_text_and_corpus_are_known(spark):
+    name, key = "Qwertzuv_Xylphong_Brzk77", "q9X2vB7LmK4tRz8WcY1p"
+    far = " . " * 3000
+    assert ss.scan(f"token {name}")[1] != []
+    assert ss.scan(f"token {name} {far} brzk77 xylphong qwertzuv {key}")[1][0][0] > 9000  # only the key
+    rows = [(1, f"token {name}"), (2, "qwertzuv brzk xylphong"), (3, "Xylphong, brzk, qwertzuv"), (4, f"token {key}"), (4, f"token {key}"), (5, None)]
+    got = {r.doc_id: r.n_novel for r in ss.scan_documents(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0}
+    assert ss.corpus_words(frame(spark, rows)) == {"qwertzuv", "brzk", "xylphong", "token"}
+    assert ss.corpus_words(frame(spark, rows), bound=1) == {"token"}
+
+
 def test_secret_table(spark):
     rows = [(1, None), (2, ""), (3, "é token=abcdefghijkl"), (3, "é token=abcdefghijkl"), (None, "AKIA" + "Z" * 20), (5, "password " * 100_000)]
     got = sorted(map(str, (tuple(r) for r in ss.scan_documents(frame(spark, rows)).select("doc_id", "n_assign", "n_access", "base").collect())))
