@@ -17,11 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; a text that is null or has
-    no letter is rejected.  The model learns from the stage's own labelled rows."""
+    """A text that is null or has no letter, the only ones of score 0, is
+    rejected; every other document stays, whatever its label, also when no
+    labelled row is left to learn from.  A missing lang becomes the predicted
+    one.  The model learns from the stage's own labelled rows."""
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = lid.train(docs, ~held)
-    return lid.predict_languages(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != lid.UNDETERMINED).select(*COLUMNS)
+    told = lid.predict_languages(docs.select(*COLUMNS), model).filter(F.col("lang_score") > 0)
+    return told.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(lid.UNDETERMINED)))).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -339,3 +339,17 @@ def test_pipeline_against_brute_force(spark):
         taken[r.source] = taken.get(r.source, 0) + size[r.doc_id]
     for s in per:
         assert abs(taken.get(s, 0) - want[s]) <= max(size[i] for i, r in kept.items() if r["source"] == s)
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_without_a_usable_label(spark, lang):
+    import corpus_pipeline as cp
+    docs = frame(spark, [(1, "clean words", lang, "s", 11), (2, "more words", lang, "s", 10), (3, "123 !!", lang, "s", 6), (4, None, lang, "s", 0)])
+    assert {(r.doc_id, r.lang) for r in cp.language_stage(spark, docs, "").collect()} == {(1, lang), (2, lang)}
+
+
+def test_language_stage_fills_a_missing_lang(spark):
+    import corpus_pipeline as cp
+    rows = [(i, "the and of to with there this", "en", "s", 1) for i in range(30)] + [(50 + i, "der die und nicht mit auch für", "de", "s", 1) for i in range(30)]
+    got = {r.doc_id: r.lang for r in cp.language_stage(spark, frame(spark, [*rows, (90, "und der die", None, "s", 1), (91, "zzz", "fr", "s", 1)]), "").collect()}
+    assert len(got) == 62 and got[90] == "de" and got[91] == "fr"
