@@ -53,27 +53,40 @@ def _segment(seg: Column) -> Column:
     return F.regexp_replace(seg, r"[0-9]+", "{n}")
 
 
-def path_templates(pages: DataFrame, host: str, path: str, out: str, depth: int = 3, min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
-    """Adds ``out``: the url's template in its host's tree.
-
-    The tree grows level by level.  Below every node a segment stays literal
-    when it has at least ``min_pages`` urls and ``min_share`` of the node's;
-    all others, and those that hold numbers or hex runs only, become a
-    wildcard.  What is deeper than ``depth`` is one ``**``."""
-    segs, seg = "_segs", "_seg"
-    cur = (pages.withColumn(segs, F.filter(F.split(F.col(path), "/"), lambda s: s != "")).withColumn(out, F.lit("")))
-    for level in range(depth):
-        cur = checkpointed(cur.withColumn(seg, F.when(F.size(segs) > level, _segment(F.get(F.col(segs), F.lit(level))))))
-        below = cur.filter(F.col(seg).isNotNull())
-        children = below.groupBy(F.col(host).alias("_h"), F.col(out).alias("_t"), F.col(seg).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-        nodes = children.groupBy(F.col("_h").alias("_h2"), F.col("_t").alias("_t2")).agg(F.sum("_n").alias("_total"))
-        literal = (children.join(nodes, (F.col("_h") == F.col("_h2")) & (F.col("_t") == F.col("_t2")))
-                   .filter((F.col("_n") >= min_pages) & (F.col("_n") >= F.col("_total") * min_share) & ~F.col("_s").rlike(r"^(\{n\}|\{hex\}|[._-])+$"))
-                   .select("_h", "_t", "_s", F.lit(True).alias("_keep")))
-        cur = packed_join(cur, literal, [host, out, seg], ["_h", "_t", "_s"])
-        tail = F.when(F.col(seg).isNull(), "").when(F.col("_keep"), F.concat(F.lit("/"), F.col(seg))).otherwise("/*")
-        cur = cur.withColumn(out, F.concat(F.col(out), tail)).drop(seg, "_keep")
-    return cur.withColumn(out, F.concat(F.col(out), F.when(F.size(segs) > depth, "/**").otherwise(""))).drop(segs)
+def _form(seg: Column, literal: Column) -> Column:
+    return F.when(literal & ~seg.rlike(r"^(\{n\}|\{hex\}|[._-])+$"), F.concat(F.lit("/"), seg)).otherwise("/*")
+
+
+def path_templates(pages: DataFrame, host: str, path: str, out: str, min_pages: int = 5) -> DataFrame:
+    """Adds ``out``: the url's template in its host's tree, one part per segment.
+
+    Below every node a segment stays literal when at least ``min_pages`` urls
+    have it there, however many urls the node has; rarer ones, and those that
+    hold numbers or hex runs only, become a wildcard.  The tree grows until no
+    path has a further segment: a round takes all leading segments that a
+    node's urls share, or one; when every node left has fewer than
+    ``min_pages`` urls, all that is left of their paths is wildcards."""
+    rest, seg, node = "_segs", "_seg", ["_h", "_t"]
+    segs = F.transform(F.filter(F.split(F.col(path), "/"), lambda s: s != ""), _segment)
+    cur = pages.withColumn(rest, segs).withColumn(out, F.lit(""))
+    while True:
+        cur = checkpointed(cur.withColumn(seg, F.get(F.col(rest), F.lit(0))))
+        children = checkpointed(cur.filter(F.col(seg).isNotNull()).groupBy(F.col(host).alias("_h"), F.col(out).alias("_t"), F.col(seg).alias("_s"))
+                                .agg(F.count(F.lit(1)).alias("_n"), F.min(rest).alias("_low"), F.max(rest).alias("_high")))
+        nodes = children.groupBy(*node).agg(F.sum("_n").alias("_total"), F.min("_low").alias("_low"), F.max("_high").alias("_high")).filter(F.col("_total") >= min_pages)
+        if nodes.isEmpty():
+            break
+        same = F.zip_with("_low", "_high", lambda a, b: a.eqNullSafe(b))  # what the first and last path share, all share
+        apart = F.array_position(same, False)
+        nodes = nodes.select(F.col("_h").alias("_h2"), F.col("_t").alias("_t2"), F.when(apart == 0, F.size(same)).otherwise(apart - 1).cast("int").alias("_shared"))
+        literal = (children.filter(F.col("_n") >= min_pages).join(nodes, (F.col("_h") == F.col("_h2")) & (F.col("_t") == F.col("_t2")))
+                   .select(*node, "_s", F.greatest("_shared", F.lit(1)).alias("_take")))
+        cur = packed_join(cur, literal, [host, out, seg], [*node, "_s"])
+        taken = F.when(F.col(seg).isNull(), "").when(F.col("_take").isNull(), "/*").otherwise(
+            F.array_join(F.transform(F.slice(rest, 1, F.coalesce("_take", F.lit(1))), lambda s: _form(s, F.lit(True))), ""))
+        left = F.slice(rest, F.coalesce("_take", F.lit(1)) + 1, F.greatest(F.size(rest), F.lit(1)))
+        cur = cur.withColumn(out, F.concat(F.col(out), taken)).withColumn(rest, left).drop(seg, "_take")
+    return cur.withColumn(out, F.concat(F.col(out), F.repeat(F.lit("/*"), F.size(rest)))).drop(rest, seg)
 
 
 def template_purity(labelled: DataFrame, host: str, template: str, bad: str, z: float = 1.96, prior: float = 0.5, strength: float = 2.0) -> DataFrame:
@@ -99,7 +112,7 @@ def template_purity(labelled: DataFrame, host: str, template: str, bad: str, z:
     return both.select(F.col("_h"), F.col("_t"), ((b + prior * strength) / (k + strength)).alias("purity"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad: Column | None = None, reject_at: float = 0.9, depth: int = 3) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad: Column | None = None, reject_at: float = 0.9) -> DataFrame:
     """``pages`` with host, path, rule, verdict, template and purity.
 
     The longest fitting rule decides.  Other urls are blocked when their
@@ -117,7 +130,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad: C
     src = src.withColumn(found, rule_of(F.col("host"), F.col("path"), rules))
     known = F.when(F.col(f"{found}.verdict").isNotNull(), F.col(f"{found}.verdict") == "block")
     src = src.withColumn(label, F.coalesce(known, bad) if bad is not None else known)
-    placed = checkpointed(path_templates(src, "host", "path", "template", depth))
+    placed = checkpointed(path_templates(src, "host", "path", "template"))
     purity = template_purity(placed, "host", "template", label)
     out = packed_join(placed, purity, ["host", "template"], ["_h", "_t"])
     verdict = F.coalesce(F.col(f"{found}.verdict"), F.when(F.col("purity") >= reject_at, "block").otherwise("allow"))

@@ -308,6 +308,25 @@ def test_url_odd_and_templates(spark):
     assert judge_urls(df.limit(0), [Rule("net/", "block")]).count() == 0
 
 
+def test_rare_section_of_a_large_host_stays_literal(spark):
+    rows = [(i, f"http://e.com/main/p{i}", None) for i in range(2000)] + [(3000 + i, f"http://e.com/de/x{i}", True) for i in range(12)]
+    rows += [(4000 + i, f"http://e.com/s{chr(97 + i)}/x{j}", None) for i in range(6) for j in range(10)]
+    from pyspark.sql import functions as F
+    out = judge_urls(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), [], bad=F.col("bad")).collect()
+    assert {r.template.split("/")[1] for r in out} == {"main", "de", *(f"s{chr(97 + i)}" for i in range(6))}  # 0.6 % of the host
+    assert {r.purity > 0.9 for r in out if "/de/" in r.url} == {True}
+
+
+def test_templates_reach_the_last_segment(spark):
+    deep = "/".join(f"d{chr(97 + k // 20)}{chr(97 + k % 20)}" for k in range(300))
+    rows = [(i, f"http://e.com/a/b/c/{'bad' if i % 2 else 'good'}/{i}", bool(i % 2)) for i in range(60)]
+    rows += [(100 + i, f"http://f.com/{deep}/{'xy'[i % 2]}/{i}", None) for i in range(20)] + [(200, "http://f.com/" + deep, None)]
+    from pyspark.sql import functions as F
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows + [(201, "http://e.com/a/b/c/bad/99", None)], "page_id long, url string, bad boolean"), [], bad=F.col("bad")).collect()}
+    assert got[0].template == "/a/b/c/good/*" and got[201].template == "/a/b/c/bad/*" and got[201].verdict == "block"
+    assert got[100].template == f"/{deep}/x/*" and got[200].template == f"/{deep}"
+
+
 # --- the whole pipeline --------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark):
