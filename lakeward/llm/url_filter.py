@@ -89,27 +89,47 @@ def path_templates(pages: DataFrame, host: str, path: str, out: str, min_pages:
     return cur.withColumn(out, F.concat(F.col(out), F.repeat(F.lit("/*"), F.size(rest)))).drop(rest, seg)
 
 
-def template_purity(labelled: DataFrame, host: str, template: str, bad: str, z: float = 1.96, prior: float = 0.5, strength: float = 2.0) -> DataFrame:
-    """(host, template, purity): smoothed share of bad urls per template.
-
-    Sibling branches are the templates of a host that differ in their first
-    segment only.  A branch whose bad share is within ``z`` standard errors of
-    its siblings' pooled share is merged with them and judged by the pooled
-    counts of all merged ones; another is judged by its own.  A template
-    without labelled urls keeps the prior."""
-    own = labelled.groupBy(F.col(host).alias("_h"), F.col(template).alias("_t")).agg(
-        F.count(bad).cast("double").alias("_k"), F.coalesce(F.sum(F.col(bad).cast("double")), F.lit(0.0)).alias("_b"))
-    own = checkpointed(own.withColumn("_shape", F.regexp_replace("_t", r"^/[^/]+", "/*")))
-    pool = own.groupBy(F.col("_h").alias("_h2"), F.col("_shape").alias("_s2")).agg(F.sum("_k").alias("_pk"), F.sum("_b").alias("_pb"))
-    tested = own.join(pool, (F.col("_h") == F.col("_h2")) & (F.col("_shape") == F.col("_s2"))).drop("_h2", "_s2")
-    p = F.when(F.col("_pk") > 0, F.col("_pb") / F.col("_pk"))
-    error = F.sqrt(p * (1 - p) / F.greatest("_k", F.lit(1.0)))
-    like = (F.col("_k") > 0) & (F.abs(F.col("_b") / F.greatest("_k", F.lit(1.0)) - p) <= z * error + 1e-12)
-    tested = checkpointed(tested.withColumn("_like", F.coalesce(like, F.lit(False))).drop("_pk", "_pb"))
-    merged = tested.filter("_like").groupBy(F.col("_h").alias("_h2"), F.col("_shape").alias("_s2")).agg(F.sum("_k").alias("_mk"), F.sum("_b").alias("_mb"))
-    both = tested.join(merged, (F.col("_h") == F.col("_h2")) & (F.col("_shape") == F.col("_s2")) & F.col("_like"), "left")
-    k, b = F.coalesce("_mk", "_k"), F.coalesce("_mb", "_b")
-    return both.select(F.col("_h"), F.col("_t"), ((b + prior * strength) / (k + strength)).alias("purity"))
+def template_purity(placed: DataFrame, host: str, template: str, bad: str, z: float = 1.96, prior: float = 0.5, strength: float = 2.0) -> DataFrame:
+    """(host, template, purity): smoothed share of bad urls per template, for
+    labelled and unlabelled templates alike.
+
+    Siblings are the branches below one node, at every level, that have the
+    same parts below them.  A branch is merged with its siblings when two
+    tests hold: the distribution of all its urls over those parts fits that of
+    its siblings (chi-square within ``z`` standard deviations of its mean), and its bad share is within
+    ``z`` standard errors of theirs or it has no labelled url.  Templates that
+    differ in merged branches only are judged by their pooled counts; without
+    any label they keep the prior."""
+    own = checkpointed(placed.groupBy(F.col(host).alias("_h"), F.col(template).alias("_t")).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.count(bad).cast("double").alias("_k"), F.coalesce(F.sum(F.col(bad).cast("double")), F.lit(0.0)).alias("_b")))
+    parts = F.filter(F.split("_t", "/"), lambda p: p != "")
+    at = own.withColumn("_p", parts).select("*", F.posexplode("_p").alias("_i", "_seg"))
+    place = F.md5(F.concat_ws("/", F.slice("_p", F.lit(1), F.col("_i"))))
+    below = F.md5(F.concat_ws("/", F.slice("_p", F.col("_i") + 2, F.size("_p"))))
+    at = checkpointed(at.select("_h", "_t", "_i", "_seg", place.alias("_node"), below.alias("_below"), "_n", "_k", "_b"))
+
+    node = ["_h", "_i", "_node"]
+    shapes = checkpointed(at.groupBy(*node, "_seg", "_below").agg(*[F.sum(c).alias(c) for c in ("_n", "_k", "_b")]))
+    kinds = shapes.groupBy(*node, "_seg").agg(F.concat_ws(":", F.count(F.lit(1)), F.expr("bit_xor(xxhash64(_below))")).alias("_kind"))
+    shapes, node = shapes.join(kinds, [*node, "_seg"]), [*node, "_kind"]
+    pooled = shapes.groupBy(*node, "_below").agg(F.sum("_n").alias("_pn"), F.sum("_k").alias("_pk"), F.sum("_b").alias("_pb"))
+    total = pooled.groupBy(*node).agg(F.sum("_pn").alias("_all"), F.sum("_pk").alias("_ak"), F.sum("_pb").alias("_ab"), F.count(F.lit(1)).alias("_kinds"))
+    fit = (shapes.join(pooled, [*node, "_below"]).groupBy(*node, "_seg")
+           .agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_b").alias("_b"), F.sum(F.col("_n") * F.col("_n") / F.col("_pn")).alias("_sq"))
+           .join(total, node))
+    chi, free = F.col("_sq") * F.col("_all") / F.col("_n") - F.col("_n"), F.col("_kinds") - 1
+    alike = chi <= free + z * F.sqrt(2 * free) + 1e-6
+    p = F.when(F.col("_ak") > 0, F.col("_ab") / F.col("_ak"))
+    share = F.when(F.col("_k") > 0, F.abs(F.col("_b") / F.greatest("_k", F.lit(1.0)) - p) <= z * F.sqrt(p * (1 - p) / F.greatest("_k", F.lit(1.0))) + 1e-12).otherwise(True)
+    merged = fit.filter(alike & share).select(*node[:3], "_seg", F.concat(F.lit("/"), "_kind").alias("_name"))  # no segment holds a slash
+
+    named = at.join(merged, [*node[:3], "_seg"], "left").select("_h", "_t", F.struct("_i", F.coalesce("_name", "_seg").alias("s")).alias("_x"))
+    keys = named.groupBy("_h", "_t").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))  # at most one template's segments
+    keys = keys.select("_h", "_t", F.concat(F.lit("/"), F.concat_ws("/", F.col("_xs.s"))).alias("_key"))
+    judged = checkpointed(own.join(keys, ["_h", "_t"], "left").withColumn("_key", F.coalesce("_key", F.lit(""))))
+    pool = judged.groupBy(F.col("_h").alias("_h2"), F.col("_key").alias("_key2")).agg(F.sum("_k").alias("_mk"), F.sum("_b").alias("_mb"))
+    both = judged.join(pool, (F.col("_h") == F.col("_h2")) & (F.col("_key") == F.col("_key2")))
+    return both.select("_h", "_t", ((F.col("_mb") + prior * strength) / (F.col("_mk") + strength)).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad: Column | None = None, reject_at: float = 0.9) -> DataFrame:

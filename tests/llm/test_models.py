@@ -308,6 +308,24 @@ def test_url_odd_and_templates(spark):
     assert judge_urls(df.limit(0), [Rule("net/", "block")]).count() == 0
 
 
+def test_unlabelled_branches_share_their_siblings_purity(spark):
+    def section(at, name, children, bad):
+        return [(at + i, f"http://e.com/x/{name}/{children[i % len(children)]}/{i}", bad) for i in range(40)]
+
+    rows = section(0, "aa", ["offer", "deal"], True) + section(100, "bb", ["offer", "deal"], True) + section(200, "cc", ["offer", "deal"], None)
+    rows += section(300, "dd", ["offer", "deal"], False) + section(400, "ee", ["essay", "letter"], None)
+    from pyspark.sql import functions as F
+
+    def verdicts(rows):
+        df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+        return {r.url.split("/")[4]: (r.verdict, r.purity) for r in judge_urls(df, [], bad=F.col("bad")).collect()}
+
+    got = verdicts(rows[:120] + rows[160:])
+    assert got["aa"][0] == got["cc"][0] == "block" and got["aa"][1] == got["cc"][1]  # cc has no label of its own
+    assert got["ee"] == ("allow", 0.5)  # other children
+    assert verdicts(rows[:160])["dd"][0] == "allow"  # other labels
+
+
 def test_rare_section_of_a_large_host_stays_literal(spark):
     rows = [(i, f"http://e.com/main/p{i}", None) for i in range(2000)] + [(3000 + i, f"http://e.com/de/x{i}", True) for i in range(12)]
     rows += [(4000 + i, f"http://e.com/s{chr(97 + i)}/x{j}", None) for i in range(6) for j in range(10)]
