@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their DuckDB SQL."""
+"""Registered queries of the operators, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeward.llm import bpe, exact_dedup as ed, language_id as lid, quality as ql, secret_scan
 from lakeward.llm.common import checkpointed
+from lakeward.llm.decontaminate import decontaminate
 from lakeward.llm.embedding_dedup import link_embeddings
 from lakeward.llm.line_dedup import line_dedup
 from lakeward.llm.mixing import mix_sources
@@ -88,10 +89,16 @@ def op10_embedding_dedup(spark, d):
     return link_embeddings(read(spark, d, "embeddings"))
 
 
+def op11_decontamination(spark, d):
+    out = decontaminate(read(spark, d, "documents"), read(spark, d, "benchmark"), width=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_language_id, op4_exact_dedup, op5_secret_scans,
-                                   op6_source_mixing, op7_bpe, op8_ngram_jaccard, op9_quality, op10_embedding_dedup)}
+                                   op6_source_mixing, op7_bpe, op8_ngram_jaccard, op9_quality, op10_embedding_dedup, op11_decontamination)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 ORACLES = {
     "op2_line_dedup": f"""
@@ -128,4 +135,17 @@ m AS (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY a), k AS (SELECT a AS vec_
 SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id,
        vec_id = least(vec_id, coalesce(m.m, vec_id)) AS kept
 FROM embeddings LEFT JOIN m USING (vec_id) LEFT JOIN k USING (vec_id)""",
+    "op11_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex({_LOWER}, '{_BREAK}'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex({_LOWER}, '{_BREAK}'), lambda x: x <> '') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') AS win
+      FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+p AS (SELECT rid, k, s, array_to_string(ws[s:s + k - 1], ' ') AS win
+      FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM w) WHERE len(ws) >= k)),
+h AS MATERIALIZED (SELECT rid, p.k, s, item_id FROM p JOIN w ON p.k = w.k AND p.win = w.win),
+c AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS x FROM h) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS t FROM h) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN n USING (rid)""",
 }
