@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeward.llm import bpe, exact_dedup as ed, language_id as lid, quality as ql, secret_scan
 from lakeward.llm.common import checkpointed
+from lakeward.llm.conversations import damage, repair_conversations, repaired_or_empty
 from lakeward.llm.decontaminate import decontaminate
 from lakeward.llm.embedding_dedup import link_embeddings
 from lakeward.llm.line_dedup import line_dedup
@@ -94,10 +95,19 @@ def op11_decontamination(spark, d):
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op13_conversation_repair(spark, d):
+    told = read(spark, d, "conversations")
+    return repaired_or_empty(told, repair_conversations(damage(told)))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_language_id, op4_exact_dedup, op5_secret_scans,
-                                   op6_source_mixing, op7_bpe, op8_ngram_jaccard, op9_quality, op10_embedding_dedup, op11_decontamination)}
+                                   op6_source_mixing, op7_bpe, op8_ngram_jaccard, op9_quality, op10_embedding_dedup, op11_decontamination, op13_conversation_repair)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# crc32 of the bytes (a list of numbers), with the table that _CRC_TABLE gives as tab
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1
+               THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab)"""
+_CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 ORACLES = {
@@ -148,4 +158,42 @@ n AS (SELECT rid, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN n USING (rid)""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE h AS MATERIALIZED (SELECT conv_id, turn, role, text, {_CRC.format(bytes="list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)")} % 20 AS k
+  FROM conversations, {_CRC_TABLE}),
+d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE k WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE k <> 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(text) NULLS FIRST) AS i,
+             rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS st FROM d),
+f AS MATERIALIZED (SELECT conv_id, i, turn, role, text, coalesce(role, '')[1:1] AS c,
+        CASE WHEN st = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(st, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM r),
+e(conv_id, i, fb, fs, fu, fa) AS (
+  SELECT conv_id, max(i) + 1, struct_pack(p := 0::BIGINT, a := ''), struct_pack(p := 6::BIGINT, a := 'II'),
+         struct_pack(p := 3::BIGINT, a := 'I'), struct_pack(p := 0::BIGINT, a := '') FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_sort([gb, struct_pack(p := gu.p + 3, a := 'I' || gu.a)])[1], list_sort([gs, struct_pack(p := gu.p + 3, a := 'I' || gu.a)])[1],
+         list_sort([gu, struct_pack(p := ga.p + 3, a := 'I' || ga.a)])[1], list_sort([ga, struct_pack(p := gu.p + 3, a := 'I' || gu.a)])[1]
+  FROM (SELECT e.conv_id, f.i,
+      struct_pack(p := fb.p + 4, a := 'D' || fb.a) AS db, struct_pack(p := fs.p + 4, a := 'D' || fs.a) AS ds,
+      struct_pack(p := fu.p + 4, a := 'D' || fu.a) AS du, struct_pack(p := fa.p + 4, a := 'D' || fa.a) AS da,
+      CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 3 ELSE 0 END AS x,
+      struct_pack(p := fu.p + x + CASE c WHEN 'u' THEN 0 ELSE 3 END, a := CASE c WHEN 'u' THEN 'K' ELSE 'R' END || fu.a) AS tu,
+      struct_pack(p := fa.p + x + CASE c WHEN 'a' THEN 0 ELSE 3 END, a := CASE c WHEN 'a' THEN 'K' ELSE 'R' END || fa.a) AS ta,
+      struct_pack(p := fs.p + x + CASE c WHEN 's' THEN 0 ELSE 1000000000 END, a := 'K' || fs.a) AS ts,
+      list_sort([db, tu, ts])[1] AS gb, list_sort([ds, tu])[1] AS gs, list_sort([du, ta])[1] AS gu, list_sort([da, tu])[1] AS ga
+    FROM e JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = e.i - 1)),
+s AS (SELECT conv_id, fb.p AS cost, fb.a AS audit FROM e WHERE i = 1),
+t AS (SELECT conv_id, audit, t, audit[t:t] AS ch, len(replace(audit[:t], 'I', '')) AS i, len(replace(audit[:t], 'D', '')) - 1 AS place,
+             len(replace(audit, 'D', '')) % 2 AS odd FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS t FROM s)),
+g AS (SELECT t.conv_id, string_agg(CASE WHEN ch = 'K' THEN f.role WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' ||
+             CASE WHEN ch = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY t) AS body
+      FROM t JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = greatest(t.i, 1) WHERE ch <> 'D' GROUP BY t.conv_id),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+             count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f) GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
+LEFT JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN g ON o.conv_id IS NOT DISTINCT FROM g.conv_id""",
 }
