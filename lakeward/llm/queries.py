@@ -12,6 +12,7 @@ from lakeward.llm.embedding_dedup import link_embeddings
 from lakeward.llm.line_dedup import line_dedup
 from lakeward.llm.mixing import mix_sources
 from lakeward.llm.ngram_join import near_duplicates
+from lakeward.llm.spelling import count_words, group_variants
 from lakeward.llm.url_filter import Rule, judge_urls
 
 URL_RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
@@ -95,13 +96,17 @@ def op11_decontamination(spark, d):
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_spelling_variants(spark, d):
+    return group_variants(count_words(read(spark, d, "documents"), damage_every=97))
+
+
 def op13_conversation_repair(spark, d):
     told = read(spark, d, "conversations")
     return repaired_or_empty(told, repair_conversations(damage(told)))
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_line_dedup, op3_language_id, op4_exact_dedup, op5_secret_scans,
-                                   op6_source_mixing, op7_bpe, op8_ngram_jaccard, op9_quality, op10_embedding_dedup, op11_decontamination, op13_conversation_repair)}
+                                   op6_source_mixing, op7_bpe, op8_ngram_jaccard, op9_quality, op10_embedding_dedup, op11_decontamination, op12_spelling_variants, op13_conversation_repair)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 # crc32 of the bytes (a list of numbers), with the table that _CRC_TABLE gives as tab
@@ -158,6 +163,21 @@ n AS (SELECT rid, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN n USING (rid)""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+k AS (SELECT id, run, count(*) AS times FROM r WHERE length(run) >= 5 GROUP BY id, run),
+h AS (SELECT run, times, {_CRC.format(bytes="flatten(list_transform(string_split(id || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))")} AS h
+      FROM k, {_CRC_TABLE}),
+w AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 97 = 0
+      THEN run[:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+v AS MATERIALIZED (SELECT word, p, word[:p - 1] || word[p + 1:] AS short FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM w)),
+e AS (SELECT x.word AS a, y.word AS b FROM v x JOIN v y ON x.p = y.p AND x.short = y.short AND x.word <> y.word
+      UNION SELECT v.word, w.word FROM v JOIN w ON v.short = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.short = w.word),
+b AS (SELECT e.a AS word, count(*) AS n_near, arg_min(y.word, (-y.n, y.word)) AS near, max(y.n) AS near_n FROM e JOIN w y ON y.word = e.b GROUP BY e.a),
+f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+      FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS at, form AS onward FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.onward)
+SELECT f.word, f.form, t.at AS root, n, n_near, form_n FROM f JOIN t ON t.word = f.word AND t.onward IS NULL""",
     "op13_conversation_repair": f"""
 WITH RECURSIVE h AS MATERIALIZED (SELECT conv_id, turn, role, text, {_CRC.format(bytes="list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)")} % 20 AS k
   FROM conversations, {_CRC_TABLE}),
