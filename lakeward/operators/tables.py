@@ -8,12 +8,15 @@ outside every range go to one ``rest`` partition.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterable
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeward.functions.keyed import last_per_key
 from lakeward.functions.scalars import year_bounds, year_partition
@@ -88,35 +91,45 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def has_data(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` holds committed files or partitions; an empty folder,
-    or what a write left that never committed, does not count."""
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p)) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+# A yearly table keeps every write in a folder of its own (``v-...``).  A commit
+# is one row per partition (partition, folder, schema) of an append-only log, all
+# in one file: the last commit is the table.  A partition without folder stands
+# for a table without rows.
+LAYOUT_LOG = "_layout"
+LAYOUT_SCHEMA = "partition string, folder string, schema string, seq bigint"
 
 
-def stored_partitions(spark: SparkSession, path: str) -> list[str]:
-    """Partition values present on disk under ``path``."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    prefix = PARTITION_COL + "="
-    return sorted(s.getPath().getName()[len(prefix):] for s in fs.listStatus(p)
-                  if s.isDirectory() and s.getPath().getName().startswith(prefix))
+def folder_name(name: str | None) -> str:
+    """A name as one folder: no separators, no dots that lead elsewhere."""
+    return "%00" if name is None else quote(name, safe="").replace(".", "%2E") or "%"
 
 
-def _delete_partition(spark: SparkSession, path: str, value: str) -> None:
-    fs, p = _fs(spark, f"{path.rstrip('/')}/{PARTITION_COL}={value}")
-    fs.delete(p, True)
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    return read_log(spark, f"{path.rstrip('/')}/{LAYOUT_LOG}", LAYOUT_SCHEMA)
 
 
-def _write_partitioned(df: DataFrame, path: str, mode_dynamic: bool) -> None:
+def _current(spark: SparkSession, path: str) -> list[Row]:
+    """Rows of the last commit, one per partition; none without a table."""
+    commits = _commits(spark, path)
+    last = commits.agg(F.max("seq")).first()[0]
+    return [] if last is None else commits.filter(F.col("seq") == last).collect()
+
+
+def stored_partitions(spark: SparkSession, path: str) -> list[str]:
+    """Partition values of the table at ``path``."""
+    return sorted(r["partition"] for r in _current(spark, path) if r["folder"])
+
+
+def _write_partitioned(df: DataFrame, folder: str) -> list[str]:
+    """Write one version of a yearly table; the partitions it has."""
     # REBALANCE on the partition column: one writer per partition value in
     # general, but AQE splits a hot year over several tasks and merges tiny
     # ones, so neither one huge task nor a flood of small files.
-    (df.hint("rebalance", PARTITION_COL).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic" if mode_dynamic else "static")
-     .partitionBy(PARTITION_COL).parquet(path))
+    df.hint("rebalance", PARTITION_COL).write.partitionBy(PARTITION_COL).parquet(folder)
+    fs, p = _fs(df.sparkSession, folder)
+    prefix = PARTITION_COL + "="
+    return sorted(s.getPath().getName()[len(prefix):] for s in fs.listStatus(p)
+                  if s.isDirectory() and s.getPath().getName().startswith(prefix))
 
 
 def partition_by_year(df: DataFrame, attribute: str, start: int, end: int, path: str,
@@ -126,33 +139,40 @@ def partition_by_year(df: DataFrame, attribute: str, start: int, end: int, path:
     If ``path`` already holds a table and ``overwrite`` is off, nothing is
     written and the outcome is ``exists`` (which still counts as created);
     otherwise the whole layout is replaced and the outcome is ``created``.
-
-    Replacing computes the new data beside the old table first, so a failed
-    job leaves the previous table readable."""
-    spark = df.sparkSession
-    exists = has_data(spark, path)
-    if exists and not overwrite:
+    A failed job leaves the previous table as it was."""
+    if not overwrite and _current(df.sparkSession, path):
         return "exists"
     if not year_bounds(start, end)[1:]:
         return "failed"
-    if exists:
-        repersist(df, path, attribute, start, end, locked=[])
-    else:
-        _write_partitioned(with_partition(df, attribute, start, end), path, mode_dynamic=True)
+    repersist(df, path, attribute, start, end, locked=[])
     return "created"
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """Read a yearly-partitioned table; the partition value stays text
-    whatever the session's partition type inference says."""
-    df = spark.read.option("basePath", path).parquet(path)
-    return df.withColumn(PARTITION_COL, F.col(PARTITION_COL).cast("string"))
+    """Read a yearly table; the partition value stays text whatever the
+    session's partition type inference says.  Locked partitions may come from
+    older versions: columns they lack are null."""
+    rows = _current(spark, path)
+    if not rows:
+        raise LookupError(f"no yearly table at {path}")
+    root = path.rstrip("/")
+    versions: dict[str, list[Row]] = {}
+    for r in rows:
+        versions.setdefault(r["folder"] or "", []).append(r)
+    out = None
+    for folder, parts in sorted(versions.items()):
+        schema = T.StructType.fromJson(json.loads(parts[0]["schema"]))
+        base = f"{root}/{folder}"
+        df = (spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{PARTITION_COL}={r['partition']}" for r in parts])
+              if folder else spark.createDataFrame([], schema))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def unpartition(spark: SparkSession, path: str, out: str) -> bool:
     """T4: remove the partitioning of a stored table -- rows unchanged,
     written to a new path without the partition layout."""
-    if not path_exists(spark, path):
+    if not _current(spark, path):
         return False
     read_partitioned(spark, path).drop(PARTITION_COL).hint("rebalance").write.mode("overwrite").parquet(out)
     return True
@@ -163,33 +183,62 @@ def repersist(df: DataFrame, path: str, attribute: str, start: int, end: int,
     """T5 (effect): persist ``df`` again by yearly range while every locked
     range keeps exactly what is stored.
 
-    Locked partitions are filtered out of the new data.  The rest is computed
-    once, into a folder that readers of the table skip; then its partitions
-    are renamed into place, one after the other, and unlocked partitions that
-    no longer occur are removed.  A job that fails while it computes leaves
-    the table as it was.  Returns the partitions written."""
+    Locked partitions are filtered out of the new data; the rest is written
+    to a folder of its own.  Then one commit switches readers to the new
+    partitions and the locked ones where they are; nothing is moved or deleted,
+    so a job or a driver that is lost at any point leaves the table as it was
+    before the commit, or as it is after it, and readers at work keep their
+    files.  ``remove_old_versions`` deletes what no recent commit names.  One
+    writer per table at a time.  Returns the partitions written."""
     spark = df.sparkSession
     locked = sorted({str(x) for x in locked})
     new = with_partition(df, attribute, start, end)
     if locked:
         new = new.filter(~F.col(PARTITION_COL).isin(*locked))
     path = path.rstrip("/")
-    staged = f"{path}/_new-{uuid.uuid4().hex[:12]}"
-    _write_partitioned(new, staged, mode_dynamic=False)
-    written = stored_partitions(spark, staged)
-    fs, _ = _fs(spark, path)
-    for value in written:
-        _delete_partition(spark, path, value)
-        folder = f"{PARTITION_COL}={value}"
-        if not fs.rename(_fs(spark, f"{staged}/{folder}")[1], _fs(spark, f"{path}/{folder}")[1]):
-            raise OSError(f"cannot move {staged}/{folder} into {path}")
-    for value in stored_partitions(spark, path):
-        if value not in locked and value not in written:
-            _delete_partition(spark, path, value)
-    fs.delete(_fs(spark, staged)[1], True)
+    kept = [(r["partition"], r["folder"], r["schema"]) for r in _current(spark, path) if r["folder"] and r["partition"] in locked]
+    folder = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    written = _write_partitioned(new, f"{path}/{folder}")
+    schema = new.schema.json()
+    rows = kept + [(value, folder, schema) for value in written]
+    _commit(spark, path, rows or [(None, None, schema)])
     return written
 
 
+def _commit(spark: SparkSession, path: str, rows: list[tuple]) -> None:
+    seq = time.time_ns()
+    append_log(spark, f"{path}/{LAYOUT_LOG}", [(*r, seq) for r in rows], LAYOUT_SCHEMA)
+
+
+def remove_old_versions(spark: SparkSession, path: str, older_than_s: float = 86400.0) -> int:
+    """Delete the partitions of a yearly table that no commit names which was
+    current within the last ``older_than_s`` seconds, and writes of that age
+    which were never committed; the number of folders deleted."""
+    before = time.time_ns() - int(older_than_s * 1e9)
+    path = path.rstrip("/")
+    if not path_exists(spark, path):
+        return 0
+    commits = _commits(spark, path)
+    seqs = [r["seq"] for r in commits.select("seq").distinct().orderBy("seq").collect()]  # one per write of this table since the last clean-up
+    recent = [s for s, until in zip(seqs, [*seqs[1:], None]) if until is None or until >= before]
+    named = {(r["folder"], r["partition"]) for r in commits.filter(F.col("seq").isin(recent)).collect() if r["folder"]}
+    n = 0
+    for version in _children(spark, path):
+        folder = version.rsplit("/", 1)[-1]
+        if not folder.startswith("v-") or int(folder.split("-")[1]) >= before and not any(f == folder for f, _ in named):
+            continue
+        parts = [c for c in _children(spark, version)]
+        stale = [c for c in parts if (folder, c.rsplit(PARTITION_COL + "=", 1)[-1]) not in named]
+        for c in [version] if len(stale) == len(parts) else stale:
+            delete(spark, c)
+            n += 1
+    if len(recent) < len(seqs):
+        for c in _children(spark, f"{path}/{LAYOUT_LOG}"):
+            if int(c.rsplit("/", 1)[-1].split("-")[0]) < min(recent):  # a commit is older than its folder
+                delete(spark, c)
+    return n
+
+
 # --- persistence registry (T7-T9) ---------------------------------------------
 # The registry is an append-only log (entity, space, action, path, seq): the
 # latest action per view decides whether it is persisted.  Appends never
@@ -255,23 +304,27 @@ def compact_log(spark: SparkSession, path: str, schema: str, before: int) -> Non
 
 
 def remove_superseded(spark: SparkSession, store: str, older_than_s: float = 86400.0) -> int:
-    """Delete snapshots that were superseded more than ``older_than_s``
-    seconds ago, so that nobody still reads them, and compact the registry;
-    the number of snapshots deleted."""
+    """Delete snapshots and yearly tables that were superseded more than
+    ``older_than_s`` seconds ago, so that nobody still reads them, old
+    versions of the yearly tables in use, and compact the registry; the number
+    of folders deleted."""
     before = time.time_ns() - int(older_than_s * 1e9)
-    gone = _with_next(read_registry(spark, store)).filter(
-        F.col("path").startswith(f"{store.rstrip('/')}/views/") & (F.col("_next") < F.lit(before)))
+    log, root = _with_next(read_registry(spark, store)), store.rstrip("/")
+    ours = F.col("path").startswith(f"{root}/views/") | F.col("path").startswith(f"{root}/ranges/")
+    gone = log.filter(ours).groupBy("path").agg(F.max(F.coalesce("_next", F.lit(2**63 - 1))).alias("_until")).filter(F.col("_until") < F.lit(before))
     n = 0
     for row in gone.select("path").toLocalIterator():
         delete(spark, row["path"])
         n += 1
+    for row in persisted_views(spark, store).filter(F.col("path").startswith(f"{root}/ranges/")).select("path").toLocalIterator():
+        n += remove_old_versions(spark, row["path"], older_than_s)
     compact_log(spark, _registry_path(store), REGISTRY_SCHEMA, before)
     return n
 
 
 def materialise(df: DataFrame, entity: str, space: str, store: str) -> int:
     """Write a view to a new snapshot and register it; the milliseconds taken."""
-    path = f"{store.rstrip('/')}/views/{space}/{entity}/{time.time_ns()}"
+    path = f"{store.rstrip('/')}/views/{folder_name(space)}/{folder_name(entity)}/{time.time_ns()}"
     t0 = time.time()
     df.hint("rebalance").write.mode("overwrite").parquet(path)
     ms = int(round((time.time() - t0) * 1000))

@@ -305,6 +305,10 @@ ORACLES["catalog_edges_roundtrip"] = _with(_E) + "SELECT model_id, view_id, view
 ORACLES["export_models_nested"] = ORACLES["export_models_long"]
 ORACLES["runtime_report_nested"] = ORACLES["runtime_report"]
 
+# the long forms of the export action
+ORACLES["export_rows_roundtrip"] = ORACLES["export_models_long"]
+ORACLES["export_space_rows_roundtrip"] = ORACLES["models_in_space"]
+
 # --- actions -------------------------------------------------------------------------------
 
 _OV = """ov AS (SELECT 'orders_' || o_orderstatus AS entity, CAST(year(o_orderdate) AS VARCHAR) AS order_year,
@@ -330,6 +334,14 @@ ORACLES["action_unlock_partitions"] = _with(_OV) + """
 SELECT entity, 'SALES' AS space, true AS unlockedPartitions, order_year, count(*) AS n_rows FROM ov
 WHERE entity IN ('orders_O', 'orders_F') AND urgent GROUP BY 1, 2, 3, 4"""
 
+ORACLES["action_check_runtimes"] = """
+WITH e AS (SELECT DISTINCT n_regionkey AS model_id, o_orderstatus AS view_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+n AS (SELECT o_orderstatus AS view_id, count(*) AS n_rows FROM orders GROUP BY 1)
+SELECT CAST(e.model_id AS BIGINT) AS model_id, r_name AS model_name, e.view_id, 'orders_' || e.view_id AS view_name,
+       CASE WHEN e.view_id <> 'P' THEN 'SALES' END AS view_space, e.view_id = 'F' AS alreadyPersisted, e.view_id = 'O' AS removedPersistence,
+       CASE WHEN e.view_id <> 'P' THEN 1 END::BIGINT AS n_runs, CASE WHEN e.view_id <> 'P' THEN n.n_rows END AS n_rows, e.view_id = 'F' AS isPersisted
+FROM e JOIN region ON r_regionkey = e.model_id JOIN n ON n.view_id = e.view_id"""
+
 # --- catalogue scans -------------------------------------------------------------------------
 
 ORACLES["catalog_models"] = _with(_M) + "SELECT CAST(model_id AS VARCHAR) AS model_id, name, space_name, CAST(model_id AS BIGINT) AS position FROM m"
@@ -347,3 +359,5 @@ ORACLES["catalog_tables"] = """
 SELECT 'T' || CAST(p_partkey AS VARCHAR) AS table_name, p_size <= 45 AS statistics_supported,
        CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN NULL WHEN p_type = 'SMALL' THEN 'SIMPLE'
             WHEN p_type = 'LARGE' THEN 'RECORD_COUNT' ELSE 'HISTOGRAM' END AS statistics_type FROM part"""
+ORACLES["catalog_positions"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS view_id, CASE WHEN CAST(p_partkey AS VARCHAR) LIKE '%00' THEN p_brand ELSE 'FIRST' END AS view_space FROM part"""

@@ -294,6 +294,25 @@ def export_by_space_roundtrip(spark, d):
         F.col("value.name").alias("view_name"), F.col("value.space").alias("view_space"))
 
 
+def _model_rows(spark, path):
+    schema = "model_id bigint, model_name string, view_id bigint, view_name string, view_space string, space_name string"
+    return spark.read.schema(schema).json(path).withColumnRenamed("space_name", "model_space")
+
+
+def export_rows_roundtrip(spark, d):
+    """The export action in its long form, one line per model and view, read back."""
+    path = scratch_path(spark, "export_rows")
+    actions.export_models(fx.models(spark, d), fx.edges(spark, d), fx.views(spark, d), path)
+    return _model_rows(spark, path)
+
+
+def export_space_rows_roundtrip(spark, d):
+    """The same for one space, whose name is the folder's."""
+    path = scratch_path(spark, "export_space_rows")
+    actions.export_models(fx.models(spark, d), fx.edges(spark, d), fx.views(spark, d), path, skip_duplicates=True, space=fx.MODEL_SPACE)
+    return _model_rows(spark, path)
+
+
 def persisted_flag(spark, d):
     """Persist one view per order status of ``fx.PERSISTED_STATUSES``,
     unpersist the one for ``fx.UNPERSISTED_STATUS``, then flag every
@@ -437,6 +456,49 @@ def action_unlock_partitions(spark, d):
     return _with_rows(spark, sources.read_results(spark, res, "VIEW_PARTITION_UNLOCK_RESULT"), store)
 
 
+def _status_models(spark, d):
+    """Regions as models; the order statuses of their customers as views, of
+    which the catalogue lacks the last."""
+    nation = fx.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("model_id"))
+    customer = fx.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    orders = fx.table(spark, d, "orders")
+    status = F.col("o_orderstatus")
+    edges = (orders.select("o_custkey", status.alias("view_id"), F.concat(F.lit("orders_"), status).alias("view_name"))
+             .join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+             .select("model_id", "view_id", "view_name").distinct())
+    models = fx.table(spark, d, "region").select(F.col("r_regionkey").alias("model_id"), F.col("r_name").alias("name"),
+                                                 F.lit("REGIONS").alias("space_name"), F.col("r_regionkey").alias("position"))
+    views = orders.select(status.alias("view_id")).distinct().filter(F.col("view_id") != fx.PERSISTED_STATUSES[-1]) \
+        .select("view_id", F.lit("SALES").alias("space_name"), F.lit(0).alias("position"))
+    return models, edges, views
+
+
+def action_check_runtimes(spark, d):
+    """Measure the views of all models: a view that all regions share is
+    persisted once, one that was persisted before stays, one without a space
+    is not run.  With the report: how often the view was run, the rows it was
+    measured with, and whether it is persisted now."""
+    store, out, tasks, run = (scratch_path(spark, n) for n in ("store", "report", "tasks", "run"))
+    models, edges, views = _status_models(spark, d)
+    asked = models.select(F.col("name").alias("modelname"), F.col("space_name").alias("space"))
+    asked = asked.unionByName(spark.createDataFrame([("nowhere", "REGIONS")], asked.schema))
+    sources.append_results(asked, tasks, "ANALYTICAL_MODELS_ALL_VIEWS_PERSISTENCE_TIME")
+    definitions = _order_views(spark, d)
+    tables.persist(definitions["orders_F", "SALES"], "orders_F", "SALES", store)
+    actions.measure_model_runtimes(spark, tasks, models, edges, views, definitions, store, out, run=run)
+    rep = spark.read.schema("model_id bigint, model_name string, view_id string, view_name string, view_space string, "
+                            "alreadyPersisted boolean, removedPersistence boolean").json(out)
+    runs_of = runs.outcomes_of(spark, store, run).groupBy("entity", "space").agg(F.count(F.lit(1)).alias("n_runs"))
+    last = tables.read_registry(spark, store).filter("action = 'persist'").groupBy("entity").agg(F.max(F.struct("seq", "path")).alias("l"))
+    rows = None
+    for r in last.select("entity", "l.path").collect():  # the two views that were run
+        one = spark.read.parquet(r["path"]).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(r["entity"]).alias("entity"), "n_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    told = runs_of.join(rows, "entity").withColumnRenamed("space", "_s")
+    joined = rep.join(told, (rep["view_name"] == told["entity"]) & (rep["view_space"] == told["_s"]), "left").drop("entity", "_s")
+    return tables.with_persisted_flag(joined, spark, store, "view_name", "view_space")
+
+
 # --- catalogue scans (S2) ------------------------------------------------------------------
 
 def catalog_models(spark, d):
@@ -468,6 +530,21 @@ def catalog_analyser_stats(spark, d):
     return sources.scan_catalog(spark, path, "analyser_stats")
 
 
+def catalog_positions(spark, d):
+    """Views catalogued in files of very different sizes, without a stored
+    position: the first file that lists a view, and its first line there,
+    give the view's space."""
+    path = scratch_path(spark, "catalog")
+    part = fx.table(spark, d, "part")
+    named = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("space_name"),
+                        F.col("p_type").alias("business_name"))
+    few = named.filter(F.col("id").endswith("00"))
+    both = named.select("id", "name", F.explode(F.array(F.lit("FIRST"), F.lit("SECOND"))).alias("space_name"), "business_name")
+    for folder, rows, files in (("f0", few, 1), ("f1", both, 3), ("f2", named.withColumn("space_name", F.lit("LAST")), 2)):
+        rows.repartitionByRange(files, "id").sortWithinPartitions("id", "space_name").write.parquet(f"{path}/{folder}")
+    return lineage.first_space_per_view(sources.scan_catalog(spark, f"{path}/f*", "views"))
+
+
 def catalog_tables(spark, d):
     path = scratch_path(spark, "catalog")
     fx.statistics_catalog(spark, d).write.json(path)
@@ -515,6 +592,8 @@ QUERIES: dict[str, Query] = {
     "export_roundtrip": export_roundtrip,
     "stream_upsert": stream_upsert,
     "export_by_space_roundtrip": export_by_space_roundtrip,
+    "export_rows_roundtrip": export_rows_roundtrip,
+    "export_space_rows_roundtrip": export_space_rows_roundtrip,
     "persisted_flag": persisted_flag,
     "catalog_edges_roundtrip": catalog_edges_roundtrip,
     "action_persist_views": action_persist_views,
@@ -523,9 +602,11 @@ QUERIES: dict[str, Query] = {
     "action_remove_partitioning": action_remove_partitioning,
     "action_lock_partitions": action_lock_partitions,
     "action_unlock_partitions": action_unlock_partitions,
+    "action_check_runtimes": action_check_runtimes,
     "catalog_models": catalog_models,
     "catalog_views": catalog_views,
     "catalog_view_attributes": catalog_view_attributes,
     "catalog_analyser_stats": catalog_analyser_stats,
+    "catalog_positions": catalog_positions,
     "catalog_tables": catalog_tables,
 }

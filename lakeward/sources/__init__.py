@@ -7,4 +7,5 @@ from lakeward.sources.files import (  # noqa: F401
     scan_tasks,
     write_edges_catalog,
     write_model_export,
+    write_model_rows,
 )

@@ -102,7 +102,9 @@ def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet"
     ``view_id`` and a ``position`` in catalogue order, which decides "first
     match wins".  ``stored_position=True`` reads it from a column of that
     name, which keeps the order when the files are rewritten.  Otherwise it is
-    the row's place: file path, start of the file's split, row in the split.
+    the row's place: file path and row, which parquet files know by
+    themselves; of other formats the start of the file's split and the row
+    in the split.
 
     ``kind="edges"`` reads the model-to-view answer (JSON Lines, one object
     ``{model_id: {view_id: view_name}}`` per line) and flattens it to
@@ -117,9 +119,11 @@ def scan_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "parquet"
     reader = spark.read.schema(CATALOG_SCHEMAS[kind] + (", position bigint" if ordered and stored_position else ""))
     df = reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
     if ordered and not stored_position:
-        # Ids grow along a split, whichever task reads it.
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("row"))
+        file = F.col("_metadata.file_path").alias("file")
+        if fmt == "parquet":
+            place = F.struct(file, F.col("_metadata.row_index").alias("row"))
+        else:  # ids grow along a split, whichever task reads it
+            place = F.struct(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
         df = df.select("*", place.alias("position"))
     return df.withColumnRenamed("id", "model_id" if kind == "models" else "view_id") if ordered else df
 
@@ -146,3 +150,16 @@ def write_model_export(df: DataFrame, path: str, by_space: bool = False) -> None
     if by_space:
         w = w.partitionBy("space_name").option("partitionOverwriteMode", "dynamic")
     w.json(path)
+
+
+def write_model_rows(df: DataFrame, path: str, by_space: bool = False) -> None:
+    """S4/S5, long form: one JSON line per model and view, sorted by model and
+    view within files that hold ranges of them, so a model of any size is dealt
+    over as many files as it needs and nothing is gathered per model.
+    Optionally one folder per space (``space_name``)."""
+    order = ["model_id", "view_id"]
+    rows = df.repartitionByRange(*order)
+    w = rows.sortWithinPartitions(*(["space_name"] if by_space else []), *order).write.mode("overwrite").option("ignoreNullFields", False)
+    if by_space:
+        w = w.partitionBy("space_name").option("partitionOverwriteMode", "dynamic")
+    w.json(path)

@@ -55,7 +55,7 @@ def test_export_models_in_space_action(spark, scratch):
                                   "model_id string, view_id string, view_name string")
     views = spark.createDataFrame([("v1", "SP_V", 0)], "view_id string, space_name string, position int")
     out = os.path.join(scratch, "export")
-    actions.export_models(models, edges, views, out, space="SP")
+    actions.export_models(models, edges, views, out, space="SP", parts=1)
     assert [n for n in os.listdir(out) if not n.startswith(("_", "."))] == ["space_name=SP"]
     rec = spark.read.json(out).first()
     assert rec["model_id"] == "m1" and rec["dependencies"]["v1"]["space"] == "SP_V"

@@ -120,7 +120,7 @@ def test_models_not_found_are_written(spark, scratch):
     views = spark.createDataFrame([("v1", "SP", 0)], "view_id string, space_name string, position int")
     none = spark.createDataFrame([], "name string, space string, seq int, success boolean, run_time_ms bigint")
     out, gone = os.path.join(scratch, "out"), os.path.join(scratch, "gone")
-    actions.check_model_runtimes(spark, path, models, edges, views, none.select("name", "space"), none, none, ["seq"], out, not_found=gone)
+    actions.check_model_runtimes(spark, path, models, edges, views, none.select("name", "space"), none, none, ["seq"], out, not_found=gone, parts=1)
     assert [r["modelname"] for r in spark.read.json(gone).collect()] == ["GONE"]
     assert json.loads(spark.read.text(out).first()[0])["dependencies"]["v1"]["runtime"] is None
 
