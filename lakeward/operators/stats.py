@@ -7,13 +7,17 @@ Catalogue columns: table_name, statistics_supported (bool), statistics_type
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeward.operators.runs import new_run
+from lakeward.operators.tables import folder_name, path_exists, read_log
 from lakeward.session import materialize
 
 # --- fixed values: statistics types ------------------------------------------
@@ -61,25 +65,54 @@ def _as_text(c: str, dtype: T.DataType):
     return col.cast("string")
 
 
+def _identity(c: str, dtype: T.DataType) -> Column:
+    """Text that two values of a column share if and only if they are equal;
+    long ones by their SHA-256."""
+    if isinstance(dtype, T.BinaryType):
+        text = F.hex(c)
+    elif isinstance(dtype, T.TimestampType):  # a local time can stand for two instants
+        text = F.unix_micros(c).cast("string")
+    else:
+        text = _as_text(c, dtype)
+    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text) if isinstance(dtype, (T.BinaryType, T.StringType)) else text
+
+
+def _distinct_counts(data: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, distinct_count) of all columns in one scan: rows become
+    (column, value) pairs, which are made distinct map-side before they are
+    shuffled, and then counted per column.  Columns of nested types are
+    counted on their own."""
+    types = {f.name: f.dataType for f in data.schema.fields}
+    flat = [c for c in cols if not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _identity(c, types[c]).alias("v")) for i, c in enumerate(flat)])
+    names = F.array(*[F.lit(c) for c in flat])
+    out = []
+    if flat:
+        seen = data.select(F.inline(pairs)).filter("v is not null").distinct()
+        out.append(seen.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count")).select(F.get(names, F.col("i")).alias("column_name"), "distinct_count"))
+    out += [data.agg(F.count_distinct(F.col(c)).alias("distinct_count")).select(F.lit(c).alias("column_name"), "distinct_count")
+            for c in cols if c not in flat]
+    return reduce(DataFrame.unionByName, out)
+
+
 def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
                    staged: bool = False) -> DataFrame:
     """A4: ``SIMPLE`` -- per column: non-null count, null count, distinct
     count, min and max (as text), in long form.
 
-    One global aggregate for counts/min/max (one row per task crosses the
-    shuffle) and one single-column aggregate per distinct count.  Keeping
-    the distinct counts apart stops Spark from expanding every row once per
-    distinct column *with* the min/max buffers attached (which forces
-    sort-based aggregation over N copies of the data).  The long forms are
+    Two scans, whatever the number of columns: one global aggregate for
+    counts/min/max (one row per task crosses the shuffle) and one of distinct
+    (column, value) pairs for the exact distinct counts.  The long forms are
     merged by a union and a group-by on the column name.
 
     ``approx=True`` puts HyperLogLog++ sketches (``approx_count_distinct``)
-    into the global aggregate: one scan for all columns -- the choice for very
-    wide or very large tables where exact distinct counts are not required.
+    into the global aggregate: one scan and no shuffle of values -- the choice
+    for very wide or very large tables where exact distinct counts are not
+    required.
 
     ``staged=True`` writes ``df`` once to the shared folder and profiles that:
-    for a view whose plan is more than a scan, which would otherwise run once
-    per exact distinct count."""
+    for a view whose plan is more than a scan, which would otherwise run
+    twice."""
     cols = list(columns) if columns else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     data = df.select(*cols)
@@ -94,22 +127,15 @@ def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx:
     basic_long = basic.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("row_count"),
                  (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
-                 (F.col(f"d{i}") if approx else F.lit(None)).cast("bigint").alias("distinct_count"),
+                 (F.col(f"d{i}") if approx else F.lit(0)).cast("bigint").alias("distinct_count"),
                  _as_text(f"lo{i}", types[c]).alias("min_value"), _as_text(f"hi{i}", types[c]).alias("max_value"))
         for i, c in enumerate(cols)])))
     if approx:
         return basic_long
-    dist_long = None
-    for c in cols:
-        # One single-column aggregate per column: each scans only its own
-        # column (parquet column pruning), needs no Expand, and the
-        # per-column jobs of the union run side by side.
-        one = data.select(c).agg(F.count_distinct(F.col(c)).cast("bigint").alias("distinct_count")).select(
-            F.lit(c).alias("column_name"), F.lit(None).cast("bigint").alias("row_count"),
-            F.lit(None).cast("bigint").alias("null_count"), "distinct_count",
-            F.lit(None).cast("string").alias("min_value"), F.lit(None).cast("string").alias("max_value"))
-        dist_long = one if dist_long is None else dist_long.unionByName(one)
-    return basic_long.unionByName(dist_long).groupBy("column_name").agg(
+    counts = _distinct_counts(data, cols).select(
+        "column_name", F.lit(None).cast("bigint").alias("row_count"), F.lit(None).cast("bigint").alias("null_count"),
+        F.col("distinct_count").cast("bigint").alias("distinct_count"), F.lit(None).cast("string").alias("min_value"), F.lit(None).cast("string").alias("max_value"))
+    return basic_long.unionByName(counts).groupBy("column_name").agg(
         *[F.max(c).alias(c) for c in ("row_count", "null_count", "distinct_count", "min_value", "max_value")])
 
 
@@ -185,69 +211,98 @@ def profile(df: DataFrame, statistics_type: str, bins: int = 10, approx: bool =
     return profile_histogram(df, bins=bins)
 
 
-def refresh_profiles(spark: SparkSession, catalog: DataFrame, tables: Mapping[str, DataFrame], store: str,
-                     bins: int = 10, approx: bool = False, parallelism: int = 4) -> DataFrame:
-    """Recompute the profile of every table that F5 selects, at the type
-    it already has, and replace that table's stored profile.
+# --- profiles of many tables ------------------------------------------------------
 
-    The store holds one folder per statistics type, partitioned by
-    ``table_name``; dynamic partition overwrite replaces just the refreshed
-    table's partition.  The loop runs over catalogue *entries* (one
-    distributed profiling job per table), never over data rows; up to
-    ``parallelism`` tables are profiled at once (independent Spark jobs
-    submitted side by side, like the original's bounded request
-    concurrency).  Returns one row per table: table_name, statistics_type,
-    status (refreshed / failed), error."""
-    # One row per catalogue table (metadata, not data rows).
-    todo = [(r["table_name"], r["statistics_type"]) for r in plan_refresh(catalog).collect()]
-
-    def one(name: str, stype: str) -> tuple:
-        if name not in tables or stype not in STATISTICS_TYPES:
-            return (name, stype, "failed", f"no table {name!r} or no statistics type {stype!r}")
+OUTCOMES = "table_name string, statistics_type string, action string, status string, error string"
+WINDOW = 100  # tables whose outcomes the driver holds at once, and whose records are counted in one plan
+
+Tables = Mapping[str, DataFrame] | Callable[[str], DataFrame | None]
+
+
+def _store_profiles(prof: DataFrame, stype: str, store: str) -> None:
+    (prof.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("table_name").parquet(f"{store.rstrip('/')}/{stype.lower()}"))
+
+
+def _run_profiles(spark: SparkSession, todo: DataFrame, tables: Tables, store: str, bins: int, approx: bool,
+                  parallelism: int, run: str | None) -> DataFrame:
+    """Profile the tables of ``todo`` (table_name, statistics_type, action)
+    that have no outcome under ``run`` and log one outcome each.
+
+    The plan is read window by window, never whole.  Record counts of a window
+    are one union, written at once; other profiles are a job per table,
+    ``parallelism`` side by side.  A failed table is an outcome."""
+    log = f"{store.rstrip('/')}/_outcomes/{folder_name(run or new_run())}"
+    if path_exists(spark, log):
+        todo = todo.join(read_log(spark, log, OUTCOMES).select("table_name"), "table_name", "left_anti")
+
+    def find(name: str) -> DataFrame | None:
+        return tables(name) if callable(tables) else tables.get(name)
+
+    def one(row: Row) -> tuple:
+        name, stype = row["table_name"], row["statistics_type"]
         try:
-            _store_profile(tables[name], name, stype, store, bins, approx)
-            return (name, stype, "refreshed", None)
+            df = find(name)
+            if df is None or stype not in STATISTICS_TYPES:
+                raise LookupError(f"no table {name!r} or no statistics type {stype!r}")
+            _store_profiles(profile(df, stype, bins=bins, approx=approx).withColumn("table_name", F.lit(name)), stype, store)
         except Exception as e:  # noqa: BLE001 -- one failed table is an outcome, not a crash
-            return (name, stype, "failed", f"{type(e).__name__}: {e}")
+            return name, stype, row["action"], "failed", f"{type(e).__name__}: {e}"
+        return name, stype, row["action"], _DONE[row["action"]], None
 
+    def count_all(rows: list[Row]) -> list[tuple]:
+        """Outcomes of the record counts of a window; none if the one plan fails."""
+        try:
+            counted = [profile_record_count(find(r["table_name"])).withColumn("table_name", F.lit(r["table_name"])) for r in rows]
+            _store_profiles(reduce(DataFrame.unionByName, counted), "RECORD_COUNT", store)
+        except Exception:  # noqa: BLE001 -- then each table is profiled for itself and has its own cause
+            return []
+        return [(r["table_name"], r["statistics_type"], r["action"], _DONE[r["action"]], None) for r in rows]
+
+    plan = todo.select("table_name", "statistics_type", "action").toLocalIterator()
     with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
-        out = list(pool.map(lambda t: one(*t), todo))
-    return spark.createDataFrame(out, "table_name string, statistics_type string, status string, error string")
+        while window := list(islice(plan, WINDOW)):
+            counts = [r for r in window if r["statistics_type"] == "RECORD_COUNT"]
+            out = count_all(counts) if len(counts) > 1 else []
+            left = [r for r in window if not out or r["statistics_type"] != "RECORD_COUNT"]
+            out += pool.map(one, left)
+            spark.createDataFrame(out, OUTCOMES).coalesce(1).write.mode("append").parquet(log)
+    return read_log(spark, log, OUTCOMES)
 
 
-def _store_profile(df: DataFrame, name: str, stype: str, store: str, bins: int, approx: bool) -> None:
-    prof = profile(df, stype, bins=bins, approx=approx).withColumn("table_name", F.lit(name))
-    (prof.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("table_name").parquet(f"{store.rstrip('/')}/{stype.lower()}"))
+_DONE = {"create": "created", "update": "updated", "refresh": "refreshed"}
+
+
+def refresh_profiles(spark: SparkSession, catalog: DataFrame, tables: Tables, store: str,
+                     bins: int = 10, approx: bool = False, parallelism: int = 4, run: str | None = None) -> DataFrame:
+    """Recompute the profile of every table that F5 selects, at the type
+    it already has, and replace that table's stored profile.
+
+    The store holds one folder per statistics type, partitioned by
+    ``table_name``; dynamic partition overwrite replaces just the refreshed
+    tables' partitions.  ``tables`` holds the tables by name, or gives one for a
+    name.  Returns one row per table: table_name, statistics_type, status
+    (refreshed / failed), error.  The same ``run`` resumes a lost one."""
+    todo = plan_refresh(catalog).select("table_name", "statistics_type", F.lit("refresh").alias("action"))
+    return _run_profiles(spark, todo, tables, store, bins, approx, parallelism, run).drop("action")
 
 
 def create_statistics(spark: SparkSession, catalog: DataFrame, statistics_type: str,
-                      tables: Mapping[str, DataFrame], store: str, bins: int = 10, approx: bool = False,
-                      parallelism: int = 4) -> DataFrame:
+                      tables: Tables, store: str, bins: int = 10, approx: bool = False,
+                      parallelism: int = 4, run: str | None = None) -> DataFrame:
     """Create statistics of ``statistics_type`` for every catalogue table:
     F4 decides (create / update / skip), the profile is computed and stored
     for create and update, and one outcome per table is returned:
     table_name, action, status (created / updated / skipped / failed), error.
-    A table the catalogue names but ``tables`` does not provide fails."""
+    A table the catalogue names but ``tables`` does not provide fails.  The
+    same ``run`` resumes a lost one."""
     t = _check_type(statistics_type)
     plan = plan_statistics(catalog, t)
-    # Only tables with work to do come to the driver: one profiling job each.
-    todo = [(r["table_name"], r["action"]) for r in plan.filter("action <> 'skip'").collect()]
-
-    def one(name: str, action: str) -> tuple:
-        if name not in tables:
-            return (name, action, "failed", f"no table {name!r}")
-        try:
-            _store_profile(tables[name], name, t, store, bins, approx)
-        except Exception as e:  # noqa: BLE001 -- one failed table is an outcome, not a crash
-            return (name, action, "failed", f"{type(e).__name__}: {e}")
-        return (name, action, "created" if action == "create" else "updated", None)
-
-    with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as pool:
-        out = list(pool.map(lambda a: one(*a), todo))
+    todo = plan.filter("action <> 'skip'").select("table_name", F.lit(t).alias("statistics_type"), "action")
+    done = _run_profiles(spark, todo, tables, store, bins, approx, parallelism, run).drop("statistics_type")
     skipped = plan.filter("action = 'skip'").select("table_name", "action", F.lit("skipped").alias("status"),
                                                     F.lit(None).cast("string").alias("error"))
-    return spark.createDataFrame(out, "table_name string, action string, status string, error string").union(skipped)
+    return done.unionByName(skipped)
 
 
 def read_profiles(spark: SparkSession, store: str, statistics_type: str) -> DataFrame:

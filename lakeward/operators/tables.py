@@ -223,17 +223,17 @@ def remove_old_versions(spark: SparkSession, path: str, older_than_s: float = 86
     recent = [s for s, until in zip(seqs, [*seqs[1:], None]) if until is None or until >= before]
     named = {(r["folder"], r["partition"]) for r in commits.filter(F.col("seq").isin(recent)).collect() if r["folder"]}
     n = 0
-    for version in _children(spark, path):
+    for version in children(spark, path):
         folder = version.rsplit("/", 1)[-1]
         if not folder.startswith("v-") or int(folder.split("-")[1]) >= before and not any(f == folder for f, _ in named):
             continue
-        parts = [c for c in _children(spark, version)]
+        parts = [c for c in children(spark, version)]
         stale = [c for c in parts if (folder, c.rsplit(PARTITION_COL + "=", 1)[-1]) not in named]
         for c in [version] if len(stale) == len(parts) else stale:
             delete(spark, c)
             n += 1
     if len(recent) < len(seqs):
-        for c in _children(spark, f"{path}/{LAYOUT_LOG}"):
+        for c in children(spark, f"{path}/{LAYOUT_LOG}"):
             if int(c.rsplit("/", 1)[-1].split("-")[0]) < min(recent):  # a commit is older than its folder
                 delete(spark, c)
     return n
@@ -274,9 +274,10 @@ def read_registry(spark: SparkSession, store: str) -> DataFrame:
     return read_log(spark, _registry_path(store), REGISTRY_SCHEMA)
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str, hidden: bool = False) -> list[str]:
+    """What a folder holds; ``hidden``, also names that readers skip."""
     fs, p = _fs(spark, path)
-    return [s.getPath().toString() for s in fs.listStatus(p) if not s.getPath().getName().startswith((".", "_"))]
+    return [s.getPath().toString() for s in fs.listStatus(p) if hidden or not s.getPath().getName().startswith((".", "_"))]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -293,7 +294,7 @@ def compact_log(spark: SparkSession, path: str, schema: str, before: int) -> Non
     """Drop the rows of a log that a later row of their view superseded
     before ``before``.  Rows appended meanwhile stay; the old folders go only
     after the new one is written."""
-    old = _children(spark, path) if path_exists(spark, path) else []
+    old = children(spark, path) if path_exists(spark, path) else []
     if not old:
         return
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*old)

@@ -305,6 +305,8 @@ ORACLES["catalog_edges_roundtrip"] = _with(_E) + "SELECT model_id, view_id, view
 ORACLES["export_models_nested"] = ORACLES["export_models_long"]
 ORACLES["runtime_report_nested"] = ORACLES["runtime_report"]
 
+ORACLES["stream_upsert_folded"] = ORACLES["stream_upsert"]
+
 # the long forms of the export action
 ORACLES["export_rows_roundtrip"] = ORACLES["export_models_long"]
 ORACLES["export_space_rows_roundtrip"] = ORACLES["models_in_space"]

@@ -337,9 +337,7 @@ def catalog_edges_roundtrip(spark, d):
                     F.col("view_id").cast("bigint").alias("view_id"), "view_name")
 
 
-def stream_upsert(spark, d):
-    """The ``upsert_results`` merge run as a stream: later runs arrive as
-    parquet files, micro-batch by micro-batch, in the store's log."""
+def _streamed(spark, d, **options):
     results = oc.report_task_chains(fx.result_tasks(spark, d), fx.early_runs(spark, d), fx.RUN_ORDER)
     src, res, ckpt = scratch_path(spark, "runs"), scratch_path(spark, "results"), scratch_path(spark, "ckpt")
     later = fx.later_runs(spark, d)
@@ -347,8 +345,20 @@ def stream_upsert(spark, d):
     st.init_results(results, res, "entity string, space string, ts timestamp_ntz, event_id bigint, k int, "
                                   "isCompleted boolean, runtime bigint")
     stream = spark.readStream.schema(later.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    st.stream_upsert(stream, res, ckpt).awaitTermination()
-    return st.current_results(spark, res, fx.RUN_ORDER)
+    st.stream_upsert(stream, res, ckpt, **options).awaitTermination()
+    return res
+
+
+def stream_upsert(spark, d):
+    """The ``upsert_results`` merge run as a stream: later runs arrive as
+    parquet files, micro-batch by micro-batch, in the store's log."""
+    return st.current_results(spark, _streamed(spark, d), fx.RUN_ORDER)
+
+
+def stream_upsert_folded(spark, d):
+    """The same; every third batch folds the log, the last one is read as it
+    came."""
+    return st.current_results(spark, _streamed(spark, d, fold_every=3, order=fx.RUN_ORDER), fx.RUN_ORDER)
 
 
 # --- actions: task files that order work, the work, and its report -----------------------
@@ -591,6 +601,7 @@ QUERIES: dict[str, Query] = {
     "results_roundtrip": results_roundtrip,
     "export_roundtrip": export_roundtrip,
     "stream_upsert": stream_upsert,
+    "stream_upsert_folded": stream_upsert_folded,
     "export_by_space_roundtrip": export_by_space_roundtrip,
     "export_rows_roundtrip": export_rows_roundtrip,
     "export_space_rows_roundtrip": export_space_rows_roundtrip,
