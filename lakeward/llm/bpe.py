@@ -4,7 +4,9 @@ A merge only ever builds vocabulary tokens, so two neighbouring symbols that
 stand next to each other inside no token can never be merged across: the
 place between them is a certain cut.  White space and special tokens are
 certain cuts as well.  The fragments between cuts are encoded independently and
-concatenated; a word is encoded once while it is cached.
+concatenated; a word is encoded once while it is cached.  The words that a
+slice of texts brings are merged side by side: a round merges the best pair of
+every fragment that has one.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lakeward.llm.common import row_slices, text_buffers
 
-CACHE_CHARS = 24_000_000  # cached pieces are dropped when their texts reach this
-# runs of these are already composed and hold no blank; their lower case does not depend on context
-_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+CACHE_BYTES = 48 << 20  # of memory that the words of a worker's cache take
+ENTRY_BYTES = 200  # of one of them, beside its letters and ids
+# texts of these are already composed; their lower case does not depend on context
+_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
 _BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
@@ -50,13 +55,82 @@ class ForcedBoundaryBpe:
         rule = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split_plain = regex.compile(rule).findall
         self.bytes = {b: self.splitter.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)} | self._high_bytes()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # words met lately, and those met before
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.inside = set()
         for t in self.ids:
             s = self.symbols(t[:-len(self.end)], True) if t.endswith(self.end) and t != self.end else list(t)
             self.inside.update(zip(s, s[1:]))
-        self.pieces: dict[str, tuple[bytes, str, int]] = {}
-        self.held = 0
+        self._tables(pairs)
+        top = max(self.names) + 1
+        self.tokens = pa.array([self.names.get(i, "") for i in range(top)], pa.large_string())
+
+    def _tables(self, pairs: list[tuple[str, str]]) -> None:
+        """The model as arrays: ids of bytes inside and at the end of a word,
+        pairs that stand inside a token, and merges, sorted by pair."""
+        self.inner = np.array([self.ids.get(self.bytes.get(b), -1) for b in range(256)], np.int64)
+        self.final = np.array([self.ids.get(self.bytes[b] + self.end, -1) if b in self.bytes else -1 for b in range(256)], np.int64)
+        held = [(self.ids[a], self.ids[b]) for a, b in self.inside if a in self.ids and b in self.ids]
+        self.inside_codes = np.sort(np.array([a << 20 | b for a, b in held], np.int64))
+        codes = np.array([self.ids[a] << 20 | self.ids[b] for a, b in pairs], np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.merge_codes, self.merge_ranks = codes[order], order
+        self.merged = np.array([self.ids[a + b] for a, b in pairs], np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs; len(merged) for pairs that don't merge."""
+        code = left << 20 | right
+        at = np.minimum(np.searchsorted(self.merge_codes, code), len(self.merge_codes) - 1)
+        return np.where(self.merge_codes[at] == code, self.merge_ranks[at], len(self.merged))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of lower-cased words."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts = np.concatenate(([0], np.cumsum(size)))
+        sym = self.inner[data]
+        sym[starts[1:] - 1] = self.final[data[starts[1:] - 1]]
+        # fragments: from a word's start, or a certain cut, to the next
+        code = sym[:-1] << 20 | sym[1:]
+        at = np.minimum(np.searchsorted(self.inside_codes, code), len(self.inside_codes) - 1)
+        cut = np.concatenate(([True], self.inside_codes[at] != code))
+        cut[starts[:-1]] = True
+        frag = np.cumsum(cut) - 1
+        word_of = np.repeat(np.arange(len(words)), size)[cut]
+        none = len(self.merged)
+        rank = np.full(len(sym), none)  # of a symbol and the next of its fragment
+        rank[:-1] = np.where(cut[1:], none, self._ranks(sym[:-1], sym[1:]))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            head = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1])))
+            length = np.diff(np.append(head, len(sym)))
+            best = np.minimum.reduceat(rank, head)
+            on = np.repeat(best < none, length)
+            if not on.all():
+                done.append((frag[~on], sym[~on]))
+                sym, frag, rank, best = sym[on], frag[on], rank[on], np.repeat(best, length)[on]
+                if not len(sym):
+                    break
+            else:
+                best = np.repeat(best, length)
+            p = np.flatnonzero(rank == best)
+            p = p[np.concatenate(([True], frag[p[1:]] != frag[p[:-1]]))]  # the leftmost of each fragment
+            sym[p] = self.merged[rank[p]]
+            keep = np.ones(len(sym), bool)
+            keep[p + 1] = False
+            sym, frag, rank = sym[keep], frag[keep], rank[keep]
+            p -= np.arange(len(p))  # where the merged symbols are now
+            touched = np.concatenate((p, p[p > 0] - 1))
+            after = np.minimum(touched + 1, len(sym) - 1)
+            same = (after > touched) & (frag[touched] == frag[after])
+            rank[touched] = np.where(same, self._ranks(sym[touched], sym[after]), none)
+        frags, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(frags, kind="stable")
+        packed = ids[order].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(word_of[frags], minlength=len(words))) * 4
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def _high_bytes(self) -> dict[int, str]:
         """Symbols of the bytes beyond ASCII, taken from characters that hold them."""
@@ -67,13 +141,6 @@ class ForcedBoundaryBpe:
                 out.update(zip(c.encode(), got[0][0]))
         return out
 
-    def plain_words(self, text: str) -> list[str] | None:
-        """Pre-tokens in the byte alphabet when ``text`` is plain, else None."""
-        if not _PLAIN.fullmatch(text):
-            return None
-        words = self.split_plain(text.lower())
-        return words if text.isascii() else [w if w.isascii() else "".join([self.bytes[b] for b in w.encode()]) for w in words]
-
     def symbols(self, word: str, ends: bool) -> list[str]:
         s = list(word)
         if ends and s:
@@ -117,54 +184,76 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (r, p, s[p], s[i]))
         return [x for x, y in zip(s, alive) if y]
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of one pre-token, given in the byte alphabet."""
-        if (got := self.words.get(word)) is not None:
-            return got
+    def learn(self, words: set[str]) -> None:
+        """Caches words.  The cache is two halves: a full newer one becomes
+        the older, whose words move back when they are met again."""
+        new = []
+        for w in words:
+            if (packed := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self._put(w, packed)
+        short = [w for w in new if len(w) <= 64]
+        for a in range(0, len(short), 20_000):
+            for w, packed in zip(short[a:a + 20_000], self.encode_words(short[a:a + 20_000])):
+                self._put(w, packed)
+        for w in new:
+            if len(w) > 64:
+                self._put(w, self.encode_word(w if w.isascii() else "".join([self.bytes[b] for b in w.encode()])))
+
+    def _put(self, word: str, packed: bytes) -> None:
+        self.words[word] = packed
+        self.held += ENTRY_BYTES + len(word) + len(packed)
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of plain texts without special tokens."""
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.words, self.held = self.words, {}, 0
+        split = [self.split_plain(t.lower()) for t in texts]
+        known = self.words
+        self.learn(set().union(*[set(ws).difference(known) for ws in split]))
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+    def encode_word(self, word: str) -> bytes:
+        """Packed ids of one pre-token, given in the byte alphabet."""
         s, out, a = self.symbols(word, True), [], 0
-        for k in range(1, len(s) + 1):
-            if k == len(s) or (s[k - 1], s[k]) not in self.inside:
-                out += [self.ids[t] for t in self.merge(s[a:k])]
+        ids, inside = self.ids, self.inside
+        for k, pair in enumerate(zip(s, s[1:]), 1):
+            if pair not in inside:
+                out += [ids[t] for t in self.merge(s[a:k])]
                 a = k
-        self.held += len(word) + 8 * len(out)
-        self.words[word] = out
-        return out
+        out += [ids[t] for t in self.merge(s[a:])]
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def encode_other(self, text: str) -> bytes:
+        """Packed ids of a text with special tokens or characters that are
+        not plain: run by run between blanks."""
+        out: list[bytes] = []
+        at = 0
+        for m in [*self.special_at.finditer(text), None]:
+            part = text[at:m.start()] if m else text[at:]
+            for run in part.translate(_BLANKS).split(" "):
+                if _PLAIN.fullmatch(run):
+                    out += self.encode_plain([run])
+                else:
+                    out += [self.encode_word(w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(run))]
+            if m:
+                out.append(struct.pack("<I", self.special[m[0]]))
+                at = m.end()
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian ids of each text."""
+        plain = [_PLAIN.fullmatch(t) is not None and self.special_at.search(t) is None for t in texts]
+        done = iter(self.encode_plain([t for t, p in zip(texts, plain) if p]))
+        return [next(done) if p else self.encode_other(t) for t, p in zip(texts, plain)]
 
-    def piece(self, text: str) -> tuple[bytes, str, int]:
-        """Packed ids, decoded text and number of ids of a run without blanks."""
-        got = self.pieces.get(text)
-        if got is None:
-            ids, at = [], 0
-            for m in [*self.special_at.finditer(text), None]:
-                plain = text[at:m.start() if m else len(text)]
-                if plain:
-                    words = self.plain_words(plain)
-                    if words is None:
-                        words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(plain))]
-                    for word in words:
-                        ids += self.word_ids(word)
-                if m:
-                    ids.append(self.special[m[0]])
-                    at = m.end()
-            got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids), len(ids)
-            if self.held > CACHE_CHARS:
-                self.pieces.clear()
-                self.words.clear()
-                self.held = 0
-            self.held += len(text) + 8 * len(ids)
-            self.pieces[text] = got
-        return got
-
-    def encode(self, text: str) -> tuple[bytes, str, int]:
-        """Packed little-endian ids, decoded text and number of ids."""
-        runs = text.translate(_BLANKS).split(" ")
-        found = self.pieces
-        got = [found.get(r) or self.piece(r) for r in runs if r]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[2]]), sum([g[2] for g in got])
-
-    def decode(self, ids) -> str:
-        """Token strings joined by a blank (these files name no decoder)."""
-        return " ".join([self.names[i] for i in ids])
+    def decode_all(self, packed: list[bytes]) -> pa.Array:
+        """Per row its token strings joined by a blank (these files name no decoder)."""
+        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int64)
+        rows = pa.LargeListArray.from_arrays(pa.array(offsets), self.tokens.take(pa.array(ids)))
+        return pc.binary_join(rows, pa.scalar(" ", pa.large_string()))
 
 
 _MODELS: dict[str, ForcedBoundaryBpe] = {}
@@ -195,15 +284,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = model(path)
         for batch in batches:
             texts = batch.column(len(cols))
-            for a, b in row_slices(text_buffers(texts)[1], 4 << 20):
+            for a, b in row_slices(text_buffers(texts)[1], 2 << 20):
                 gc.disable()  # the caches hold no cycles; scanning them costs a third of the time
                 try:
-                    got = [bpe.encode(t or "") for t in texts.slice(a, b - a).to_pylist()]
+                    got = bpe.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 finally:
                     gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(len(cols))]
-                    + [pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())],
+                    + [pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), bpe.decode_all(got).cast(pa.string())],
                     names=[*cols, "n_tokens", "ids", "decoded"])
 
     return docs.select(*cols, docs[text_col].alias("_bpe_text")).mapInArrow(run, schema)
