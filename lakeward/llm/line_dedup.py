@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeward.functions.keyed import packed_join
 from lakeward.llm.common import SPACE_CHARS, fold_case, free_name
+from lakeward.session import materialize
 
 
 def line_key(line: Column) -> Column:
@@ -14,42 +15,40 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE_CHARS))
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", min_documents: int = 10, min_length: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", min_documents: int = 10, min_length: int = 1, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with lines whose key occurs in at least ``min_documents``
     documents removed from ``text_col``; adds n_lines (before) and n_dropped.
 
-    A document is a row: rows that repeat an id count one by one, and a line
-    counts once per row.  A null or empty text is one empty line and comes
+    A document is a value of ``id_col``: rows that repeat an id count once, and
+    so do rows without one.  A null or empty text is one empty line and comes
     back empty.  Keys shorter than ``min_length`` code points stay.  Other
     columns pass through; n_lines and n_dropped replace columns so named.
-    ``docs`` must give the same rows in the same order on every read.
 
-    Normalised lines are exploded as distinct 128-bit digests per row, so a
-    line held by a third of all rows is pre-aggregated before its count is
-    shuffled, and the join that finds each row's lost lines reads plain
-    shuffles that skew handling can split.  Lines are reassembled in their
-    row by position; only the texts travel, once."""
-    at, drop = free_name(docs.columns, "_row_at"), free_name(docs.columns, "_lost")
-    numbered = docs.withColumn(at, F.monotonically_increasing_id())
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    Lines are exploded with their position as 128-bit digests.  A line held by
+    a third of all rows is counted partially before its count is shuffled; the
+    join that finds the rows of common lines reads plain shuffles that skew
+    handling can split, and only the lines found there are counted by
+    document.  A row is known by two 64-bit hashes of its id and text, so
+    reads need not agree on an order, and equal rows share what they lose.
+    Lines are reassembled by position, in time linear in their number; only
+    the texts travel, once."""
+    h1, h2, drop, parts = (free_name(docs.columns, n) for n in ("_row_h1", "_row_h2", "_lost", "_parts"))
+    text, name = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("string")
+    known = docs.withColumn(h1, F.xxhash64(name, text)).withColumn(h2, F.xxhash64(F.lit(1), text, name))
 
     keys = F.transform(F.split(fold_case(text), "\n", -1), line_key)
-    keys = F.filter(keys, lambda k: F.char_length(k) >= max(min_length, 1))
-    digests = F.array_distinct(F.transform(keys, lambda k: F.md5(k)))
-    lines = numbered.select(F.col(at), F.explode(digests).alias("_hex")).select(at, F.unhex("_hex").alias("_digest"))
-    common = lines.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).drop("_n")
-    lost = (packed_join(lines, common, ["_digest"], ["_digest"], "left_semi")
-            .groupBy(at).agg(F.collect_list(F.xxhash64("_digest")).alias(drop)))  # at most one document's lines
-
-    whole = F.split(text, "\n", -1)
-    whole_keys = F.split(fold_case(text), "\n", -1)
-    fast = F.col(drop).isNull()
-    mark = F.transform(whole_keys, lambda k: F.array_contains(F.col(drop), F.xxhash64(F.unhex(F.md5(line_key(k))))))
-    joined = numbered.join(lost, at, "left")
-    marks, parts = free_name(docs.columns, "_marks"), free_name(docs.columns, "_parts")
-    out = (joined.withColumn(marks, F.when(~fast, mark)).withColumn(parts, whole)
-           .withColumn("n_lines", F.size(F.col(parts)).cast("long"))
-           .withColumn("n_dropped", F.when(fast, F.lit(0)).otherwise(F.size(F.filter(F.col(marks), lambda m: m))).cast("long"))
-           .withColumn(text_col, F.when(fast, text).otherwise(F.array_join(
-               F.filter(F.col(parts), lambda p, i: ~F.get(F.col(marks), i)), "\n"))))
-    return out.drop(at, drop, marks, parts)
+    lines = (known.select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), name.alias("_id"), F.posexplode(keys).alias("_pos", "_key"))
+             .filter(F.char_length("_key") >= max(min_length, 1))
+             .select("_h1", "_h2", "_id", "_pos", F.unhex(F.md5("_key")).alias("_digest")))
+    often = lines.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).drop("_n")
+    met = materialize(packed_join(lines, often, ["_digest"], ["_digest"], "left_semi"), "lines")
+    common = met.select("_digest", "_id").distinct().groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).drop("_n")
+    lost = (packed_join(met, common, ["_digest"], ["_digest"], "left_semi")
+            .groupBy("_h1", "_h2").agg(F.collect_set("_pos").alias(drop)))  # at most one document's lines
+
+    joined = packed_join(known, lost, [h1, h2], ["_h1", "_h2"], "left").withColumn(parts, F.split(text, "\n", -1))
+    gone, size = F.coalesce(F.size(drop), F.lit(0)), F.size(parts)
+    left = F.array_except(F.sequence(F.lit(0), size - 1), F.col(drop))
+    return (joined.withColumn("n_lines", size.cast("long")).withColumn("n_dropped", gone.cast("long"))
+            .withColumn(text_col, F.when(gone == 0, text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n")))
+            .drop(h1, h2, drop, parts))

@@ -41,9 +41,9 @@ def test_empty_tables(spark):
 
 def lines_truth(rows, least):
     seen = {}
-    for k, (_, t) in enumerate(rows):
+    for i, t in rows:
         for line in (t or "").split("\n"):
-            seen.setdefault(fold(line).strip(SPACE), set()).add(k)
+            seen.setdefault(fold(line).strip(SPACE), set()).add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -57,10 +57,19 @@ def test_line_dedup_against_brute_force(spark):
     pool = ["Home", " home\t", "", "  ", "About us", "É", "é", "a\rb", "\x0bEnd\x0c", "lone " * 3]
     rows = [(i, "\n".join(rng.choice([*pool, f"own {i} {k}"]) for k in range(rng.randint(1, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n"), (103, "Home\n" * 3000 + "tail"), (103, "home"), (None, "HOME\nx")]
+    rows += [(200, "twelve rows\nof one id")] * 12 + [(201, f"own {k}\ntwelve rows") for k in range(12)] + [(None, "HOME\nx")] * 3
     got = line_dedup(frame(spark, rows), min_documents=10).select("doc_id", "n_lines", "n_dropped", "text").collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, lines_truth(rows, 10)))
 
 
+def test_line_dedup_of_many_common_lines(spark):
+    """Time in proportion to the lines: 100,000 common ones in a text."""
+    body = "\n".join(f"line {k}" for k in range(100_000))
+    rows = [(i, f"first {i}\n{body}\nlast {i}") for i in range(10)]
+    got = line_dedup(frame(spark, rows), min_documents=10).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got)) == [(i, 100_002, 100_000, f"first {i}\nlast {i}") for i in range(10)]
+
+
 def test_components_random(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400, 400 + i) for i in range(500)] + [(None, 3)]
