@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.functions.keyed import packed_join
-from lakeward.llm.common import checkpointed, free_name
+from lakeward.llm.common import Rounds, checkpointed, free_name
 
 
 @dataclass(frozen=True)
@@ -53,40 +53,52 @@ def _segment(seg: Column) -> Column:
     return F.regexp_replace(seg, r"[0-9]+", "{n}")
 
 
-def _form(seg: Column, literal: Column) -> Column:
-    return F.when(literal & ~seg.rlike(r"^(\{n\}|\{hex\}|[._-])+$"), F.concat(F.lit("/"), seg)).otherwise("/*")
+def _forms(segs: Column) -> Column:
+    """Literal parts of a template; segments of numbers or hex runs only are wildcards."""
+    variable = F.transform(segs, lambda s: F.when(s.rlike(r"^(\{n\}|\{hex\}|[._-])+$"), "/*").otherwise(F.concat(F.lit("/"), s)))
+    return F.array_join(variable, "")
 
 
-def path_templates(pages: DataFrame, host: str, path: str, out: str, min_pages: int = 5) -> DataFrame:
+def path_templates(pages: DataFrame, host: str, path: str, out: str, min_pages: int = 5, max_variable: int = 8) -> DataFrame:
     """Adds ``out``: the url's template in its host's tree, one part per segment.
 
     Below every node a segment stays literal when at least ``min_pages`` urls
-    have it there, however many urls the node has; rarer ones, and those that
-    hold numbers or hex runs only, become a wildcard.  The tree grows until no
-    path has a further segment: a round takes all leading segments that a
-    node's urls share, or one; when every node left has fewer than
-    ``min_pages`` urls, all that is left of their paths is wildcards."""
-    rest, seg, node = "_segs", "_seg", ["_h", "_t"]
+    have it there, however many urls the node has; rarer ones become one
+    wildcard, below which the tree goes on with the urls of them all, and those
+    that hold numbers or hex runs only are written as wildcards.  Below a node
+    of fewer urls, and below the ``max_variable``-th wildcard of rare segments
+    on a path, all that is left is wildcards.
+
+    The tree is built from the distinct generalised paths and their counts.
+    A round takes each path's whole run of literal segments, found by counting
+    all prefixes at once, and the wildcard after it; so there are at most
+    ``max_variable`` rounds, however deep the paths are, and the pages are
+    read twice."""
+    rest, shape = "_rest", ["_host", "_shape"]
     segs = F.transform(F.filter(F.split(F.col(path), "/"), lambda s: s != ""), _segment)
-    cur = pages.withColumn(rest, segs).withColumn(out, F.lit(""))
-    while True:
-        cur = checkpointed(cur.withColumn(seg, F.get(F.col(rest), F.lit(0))))
-        children = checkpointed(cur.filter(F.col(seg).isNotNull()).groupBy(F.col(host).alias("_h"), F.col(out).alias("_t"), F.col(seg).alias("_s"))
-                                .agg(F.count(F.lit(1)).alias("_n"), F.min(rest).alias("_low"), F.max(rest).alias("_high")))
-        nodes = children.groupBy(*node).agg(F.sum("_n").alias("_total"), F.min("_low").alias("_low"), F.max("_high").alias("_high")).filter(F.col("_total") >= min_pages)
-        if nodes.isEmpty():
+    keyed = pages.withColumn("_shape", F.array_join(segs, "/"))
+    rounds = Rounds(pages.sparkSession)
+    shapes = (keyed.groupBy(F.col(host).alias("_host"), "_shape").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn(rest, F.when(F.col("_shape") == "", F.array().cast("array<string>")).otherwise(F.split("_shape", "/", -1))))
+    cur = rounds.next(shapes.select(F.monotonically_increasing_id().alias("_id"), *shape, "_n", rest, F.lit("").alias("_out")))
+    for left in range(max_variable, -1, -1):
+        at = cur.filter(F.size(rest) > 0).select("_id", "_n", F.explode(F.transform(
+            F.sequence(F.lit(0), F.size(rest)), lambda i: F.xxhash64("_host", "_out", F.slice(rest, F.lit(1), i)))).alias("_prefix"))
+        often = at.groupBy("_prefix").agg(F.sum("_n").alias("_pages")).filter(F.col("_pages") >= min_pages)
+        # a prefix has at least as many pages as those that start with it: the number of frequent ones is their depth
+        run = packed_join(at, often, ["_prefix"], ["_prefix"], "left_semi").groupBy("_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("_run"))
+        met = packed_join(cur, run.withColumnRenamed("_id", "_i"), ["_id"], ["_i"], "left")
+        ends = F.col("_run").isNull() if left else F.lit(True)  # too few urls, or no wildcard left
+        literal = F.coalesce("_run", F.lit(0))
+        tail = F.slice(rest, literal + 1, F.greatest(F.size(rest), F.lit(1)))
+        told = F.concat("_out", _forms(F.slice(rest, F.lit(1), literal)))
+        cur = rounds.next(met.select(
+            "_id", *shape, "_n", F.when(ends, F.array().cast("array<string>")).otherwise(F.slice(tail, F.lit(2), F.greatest(F.size(tail), F.lit(1)))).alias(rest),
+            F.when(ends, F.concat(told, F.repeat(F.lit("/*"), F.size(tail)))).otherwise(F.concat(told, F.when(F.size(tail) > 0, "/*").otherwise(""))).alias("_out")))
+        if cur.filter(F.size(rest) > 0).isEmpty():
             break
-        same = F.zip_with("_low", "_high", lambda a, b: a.eqNullSafe(b))  # what the first and last path share, all share
-        apart = F.array_position(same, False)
-        nodes = nodes.select(F.col("_h").alias("_h2"), F.col("_t").alias("_t2"), F.when(apart == 0, F.size(same)).otherwise(apart - 1).cast("int").alias("_shared"))
-        literal = (children.filter(F.col("_n") >= min_pages).join(nodes, (F.col("_h") == F.col("_h2")) & (F.col("_t") == F.col("_t2")))
-                   .select(*node, "_s", F.greatest("_shared", F.lit(1)).alias("_take")))
-        cur = packed_join(cur, literal, [host, out, seg], [*node, "_s"])
-        taken = F.when(F.col(seg).isNull(), "").when(F.col("_take").isNull(), "/*").otherwise(
-            F.array_join(F.transform(F.slice(rest, 1, F.coalesce("_take", F.lit(1))), lambda s: _form(s, F.lit(True))), ""))
-        left = F.slice(rest, F.coalesce("_take", F.lit(1)) + 1, F.greatest(F.size(rest), F.lit(1)))
-        cur = cur.withColumn(out, F.concat(F.col(out), taken)).withColumn(rest, left).drop(seg, "_take")
-    return cur.withColumn(out, F.concat(F.col(out), F.repeat(F.lit("/*"), F.size(rest)))).drop(rest, seg)
+    return packed_join(keyed, cur.select(F.col("_host").alias("_h"), F.col("_shape").alias("_s"), F.col("_out").alias(out)),
+                       [host, "_shape"], ["_h", "_s"], "inner").drop("_shape")
 
 
 def template_purity(placed: DataFrame, host: str, template: str, bad: str, z: float = 1.96, prior: float = 0.5, strength: float = 2.0) -> DataFrame:
@@ -111,24 +123,24 @@ def template_purity(placed: DataFrame, host: str, template: str, bad: str, z: fl
     node = ["_h", "_i", "_node"]
     shapes = checkpointed(at.groupBy(*node, "_seg", "_below").agg(*[F.sum(c).alias(c) for c in ("_n", "_k", "_b")]))
     kinds = shapes.groupBy(*node, "_seg").agg(F.concat_ws(":", F.count(F.lit(1)), F.expr("bit_xor(xxhash64(_below))")).alias("_kind"))
-    shapes, node = shapes.join(kinds, [*node, "_seg"]), [*node, "_kind"]
+    shapes, node = packed_join(shapes, kinds, [*node, "_seg"], [*node, "_seg"], "inner"), [*node, "_kind"]
     pooled = shapes.groupBy(*node, "_below").agg(F.sum("_n").alias("_pn"), F.sum("_k").alias("_pk"), F.sum("_b").alias("_pb"))
     total = pooled.groupBy(*node).agg(F.sum("_pn").alias("_all"), F.sum("_pk").alias("_ak"), F.sum("_pb").alias("_ab"), F.count(F.lit(1)).alias("_kinds"))
-    fit = (shapes.join(pooled, [*node, "_below"]).groupBy(*node, "_seg")
-           .agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_b").alias("_b"), F.sum(F.col("_n") * F.col("_n") / F.col("_pn")).alias("_sq"))
-           .join(total, node))
+    fit = (packed_join(shapes, pooled, [*node, "_below"], [*node, "_below"], "inner").groupBy(*node, "_seg")
+           .agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_b").alias("_b"), F.sum(F.col("_n") * F.col("_n") / F.col("_pn")).alias("_sq")))
+    fit = packed_join(fit, total.select(*[F.col(c).alias(f"{c}2") for c in node], "_all", "_ak", "_ab", "_kinds"), node, [f"{c}2" for c in node], "inner")
     chi, free = F.col("_sq") * F.col("_all") / F.col("_n") - F.col("_n"), F.col("_kinds") - 1
     alike = chi <= free + z * F.sqrt(2 * free) + 1e-6
     p = F.when(F.col("_ak") > 0, F.col("_ab") / F.col("_ak"))
     share = F.when(F.col("_k") > 0, F.abs(F.col("_b") / F.greatest("_k", F.lit(1.0)) - p) <= z * F.sqrt(p * (1 - p) / F.greatest("_k", F.lit(1.0))) + 1e-12).otherwise(True)
     merged = fit.filter(alike & share).select(*node[:3], "_seg", F.concat(F.lit("/"), "_kind").alias("_name"))  # no segment holds a slash
 
-    named = at.join(merged, [*node[:3], "_seg"], "left").select("_h", "_t", F.struct("_i", F.coalesce("_name", "_seg").alias("s")).alias("_x"))
+    named = packed_join(at, merged, [*node[:3], "_seg"], [*node[:3], "_seg"], "left").select("_h", "_t", F.struct("_i", F.coalesce("_name", "_seg").alias("s")).alias("_x"))
     keys = named.groupBy("_h", "_t").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))  # at most one template's segments
-    keys = keys.select("_h", "_t", F.concat(F.lit("/"), F.concat_ws("/", F.col("_xs.s"))).alias("_key"))
-    judged = checkpointed(own.join(keys, ["_h", "_t"], "left").withColumn("_key", F.coalesce("_key", F.lit(""))))
-    pool = judged.groupBy(F.col("_h").alias("_h2"), F.col("_key").alias("_key2")).agg(F.sum("_k").alias("_mk"), F.sum("_b").alias("_mb"))
-    both = judged.join(pool, (F.col("_h") == F.col("_h2")) & (F.col("_key") == F.col("_key2")))
+    keys = keys.select("_h", "_t", F.concat(F.lit("/"), F.concat_ws("/", F.col("_xs.s"))).alias("_pooled"))
+    judged = checkpointed(own.join(keys, ["_h", "_t"], "left").withColumn("_pooled", F.coalesce("_pooled", F.lit(""))))
+    pool = judged.groupBy("_h", "_pooled").agg(F.sum("_k").alias("_mk"), F.sum("_b").alias("_mb"))
+    both = packed_join(judged, pool.withColumnRenamed("_h", "_h2").withColumnRenamed("_pooled", "_p2"), ["_h", "_pooled"], ["_h2", "_p2"], "inner")
     return both.select("_h", "_t", ((F.col("_mb") + prior * strength) / (F.col("_mk") + strength)).alias("purity"))
 
 

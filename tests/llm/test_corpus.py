@@ -307,3 +307,71 @@ def test_damage_and_empty(spark):
     gone = cv.damage(told).filter("false")
     out = repaired_rows(cv.repaired_or_empty(told, cv.repair_conversations(gone)))
     assert len(out) == 40 and set(out.values()) == {(0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+
+
+# --- op1: the template tree -------------------------------------------------------
+
+def segments(path):
+    out = []
+    for s in path.split("/"):
+        if s:
+            s = re.sub("[0-9a-f]{8}[0-9a-f-]*", "{hex}", s.lower())
+            out.append(re.sub("[0-9]+", "{n}", s))
+    return out
+
+
+def templates(paths, least=5, variable=8):
+    """Level by level within the urls of one host."""
+    form = lambda s: "*" if re.fullmatch(r"(\{n\}|\{hex\}|[._-])+", s) else s
+
+    def grow(group, left):
+        out = {}
+        if len(group) < least:
+            return {i: ["*"] * len(s) for i, s in group}
+        runs = {}
+        for i, s in group:
+            depth = 0
+            while depth < len(s) and sum(t[:depth + 1] == s[:depth + 1] for _, t in group) >= least:
+                depth += 1
+            runs[i] = depth
+        after = {}
+        for i, s in group:
+            out[i] = [form(x) for x in s[:runs[i]]]
+            if runs[i] < len(s):
+                if left:
+                    after.setdefault(tuple(out[i]), []).append((i, s[runs[i] + 1:]))
+                else:
+                    out[i] += ["*"] * (len(s) - runs[i])
+        for head, more in after.items():
+            open_ = [(i, s) for i, s in more if s]
+            for i, s in more:
+                out[i] = [*head, "*"]
+            for i, tail in (grow(open_, left - 1) if open_ else {}).items():
+                out[i] += tail
+        return out
+
+    return {i: "".join("/" + p for p in t) for i, t in grow([(i, segments(p)) for i, p in paths.items()], variable).items()}
+
+
+@pytest.mark.parametrize("variable", [1, 8])
+def test_templates_against_brute_force(spark, variable):
+    from lakeward.llm.url_filter import path_templates
+    rng = random.Random(variable)
+    paths = {}
+    for i in range(300):
+        parts = [rng.choice(["news", "shop", "u"]), rng.choice(["a", "b", f"x{chr(97 + i % 26)}{chr(97 + i // 26)}", str(i)]), rng.choice(["p", "q", f"r{chr(97 + i % 26)}z", "2024"]), rng.choice(["end", "", "fin"])]
+        paths[i] = "/" + "/".join(parts[:rng.randint(0, 4)])
+    df = spark.createDataFrame([(i, "h.org", p) for i, p in paths.items()], "id long, host string, path string").withColumn("_n", F.lit(1))
+    got = {r.id: r.template for r in path_templates(df, "host", "path", "template", max_variable=variable).collect()}
+    assert got == templates(paths, variable=variable)
+
+
+def test_trap_of_depth_200_and_a_host_of_many_sections(spark):
+    from lakeward.llm.url_filter import Rule, judge_urls
+    rows = [(1000 * d + k, "http://trap.org" + "/a" * d + f"/leaf{chr(97 + k)}") for d in range(200) for k in range(6)]
+    rows += [(10**6 + i, f"http://big.org/section-{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}/{['x', 'y'][i % 2]}/{i}") for i in range(15_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.template for r in judge_urls(df, [Rule("net/", "block")]).collect()}
+    assert len(got) == len(rows)
+    assert got[0] == "/*" and got[199_000] == "/a" * 199 + "/*"
+    assert {got[10**6 + i] for i in range(15_000)} <= {f"/{s}/{x}/*" for s in {f"section-{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15_000)} | {"*"} for x in "xy*"}
