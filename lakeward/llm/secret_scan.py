@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
-A candidate is a long unbroken run of key characters in a text that holds a
-sensitive word, before or after it, on its line or another.  Its novelty is
+A candidate is a long unbroken run of key characters, or what base spans leave
+of one, in a text that holds a sensitive word, before or after it, on its line or another.  Its novelty is
 the number of bytes that it adds to a compressed block of ordinary names, the
 identifiers it shares with the rest of its text and the corpus's words.  It is
 reported when that is more than ordinary names of its length add; a random key
@@ -13,15 +13,18 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lakeward.llm.common import checkpointed, row_slices, text_buffers
+from lakeward.functions.keyed import packed_join
+from lakeward.llm.common import row_slices, text_buffers
+from lakeward.session import materialize
 
 # Fixed patterns of the contract, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,7 +33,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of [0-9a-f]+ that are lon
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-SENSITIVE = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth[_-]key|signature)", re.I | re.A)
+SENSITIVE = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|(?:api|access|private|auth|aws|signing|encryption)[ _-]?key|credential|bearer|authorization|signature)", re.I | re.A)
+MIN_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 # Names and phrases that make ordinary code predictable.
@@ -74,7 +78,6 @@ OWN_BYTES, BYTE_SHARE = 0.5, 0.7
 
 PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}|[0-9]{3,}")  # a name's words and numbers
 CORPUS_WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,15}+(?![A-Za-z0-9+/_=-])"  # never a piece of a candidate
-CORPUS_WORDS = 20_000  # bound of the corpus dictionary: the words in most documents
 
 
 def ordinary_names(words: list[str], n: int, seed: int) -> list[str]:
@@ -123,85 +126,118 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], corpus: frozenset[str] = frozenset(), min_bytes: int = 12) -> list[tuple[int, int, str]]:
-    """Spans, outside ``base``, of candidates whose novelty is at least
-    ``min_bytes`` and above that of ordinary names of their length.  Every
-    candidate of a text that holds a sensitive word is tested, wherever the
-    word stands.  Known to a candidate are the identifiers of the rest of the
-    whole text and the lower-case words of ``corpus``."""
-    out, at, reach = [], 0, 0  # reach: the end of the base spans that start before the candidate's end
+Candidate = tuple[int, int, str, list[tuple[str, bool]], bool]  # start, end, name, its parts and whether the text knows them, met again
+
+
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
+    """Every run of key characters of a text that holds a sensitive word,
+    wherever the word stands; of a run that base spans cover in part, what
+    they leave, where that is long enough."""
     if SENSITIVE.search(text) is None:
-        return out
-    taken, test = sorted((a, b) for a, b, _ in base), []
+        return []
+    taken, at, test = sorted((a, b) for a, b, _ in base), 0, []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while at < len(taken) and taken[at][0] < b:
-            reach, at = max(reach, taken[at][1]), at + 1
-        if reach <= a and any(map(str.isalpha, m[0])):
-            test.append(m)
+        a, end = m.span()
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        k = at
+        while a < end:  # what stands before the next base span
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            b = min(end, taken[k][0]) if k < len(taken) else end
+            if b - a >= MIN_CANDIDATE and any(map(str.isalpha, text[a:b])):
+                test.append((a, b, a == m.start() and b == end))
+            a = max(a, b if b == end else taken[k][1])
     if not test:
-        return out
-    parts = Counter(p.lower() for p in PART.findall(text))
-    runs = Counter(CANDIDATE.findall(text))
-    for m in test:
-        name = m[0]
+        return []
+    parts, runs = Counter(p.lower() for p in PART.findall(text)), Counter(CANDIDATE.findall(text))
+    out = []
+    for a, b, whole in test:
+        name = text[a:b]
         inside = PART.findall(name)
         own = Counter(map(str.lower, inside))
-        known = [p for p in dict.fromkeys(inside) if parts[p.lower()] > own[p.lower()] or p.lower() in corpus]
-        if runs[name] > 1:
-            known.append(name)
+        out.append((a, b, name, [(p, parts[p.lower()] > own[p.lower()]) for p in dict.fromkeys(inside)], runs[name] > whole))
+    return out
+
+
+def novel_spans(found: list[Candidate], corpus: Container[str] = frozenset(), min_bytes: int = 12) -> list[tuple[int, int, str]]:
+    """Spans of the candidates whose novelty is at least ``min_bytes`` and
+    above that of ordinary names of their length.  Known to a candidate are
+    the identifiers of the rest of its text and the lower-case words of
+    ``corpus``."""
+    out = []
+    for a, b, name, inside, again in found:
+        known = [p for p, told in inside if told or p.lower() in corpus] + [name] * again
         if (n := novelty(name, known)) >= min_bytes and n > limit(len(name)):
-            out.append((*m.span(), "novel"))
+            out.append((a, b, "novel"))
     return out
 
 
-def scan(text: str, corpus: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan(text: str, corpus: Container[str] = frozenset()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     base = base_spans(text)
-    return base, novel_spans(text, base, corpus)
+    return base, novel_spans(candidates(text, base), corpus)
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text", bound: int = CORPUS_WORDS) -> frozenset[str]:
-    """At most ``bound`` lower-case words, those that stand in most rows, in
-    two at least; words in equally many rows are taken or left together.  Runs
-    long enough to be candidates are not read, so a key in many copies is not
-    learned.  Partial sums are taken before the shuffle; the driver receives
-    the words taken and one row per distinct number of rows."""
+def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w): the lower-case words that stand in two rows at least.  Runs long
+    enough to be candidates are not read, so a key in many copies is not
+    learned.  Partial sums are taken before the shuffle."""
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(CORPUS_WORD), F.lit(0)), lambda w: F.lower(w)))
-    counted = checkpointed(docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
-    least, total = None, 0
-    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
-        if (total := total + r["words"]) > bound:
-            break
-        least = r["n"]
-    return frozenset() if least is None else frozenset(r["w"] for r in counted.filter(F.col("n") >= least).collect())
+    return docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("w")
 
 
 def write_spans(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+CANDIDATES = "array<struct<start:int,end:int,name:string,parts:array<struct<part:string,known:boolean>>,again:boolean>>"
+
+
+def read_spans(spans: str) -> list[tuple[int, int, str]]:
+    return [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+
+
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_assign, n_access, n_hex, n_novel, base and spans.
 
     base and spans list kind:start:end (code points, end exclusive) by start,
     then kind; spans also holds the novel ones.  A null or empty text has no
     span; repeated rows are scanned each; an empty table gives an empty
-    result; other columns are not read.  A bounded aggregate over all texts
-    gathers the corpus's words; one narrow pass then scans whole texts."""
-    corpus = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(f"n_{k}", T.LongType()) for k in (*KINDS, "novel")]
-                          + [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
-    order = {k: i for i, k in enumerate((*KINDS, "novel"))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    result; other columns are not read.  One narrow pass over whole texts finds
+    base spans and candidates; the words that candidates are made of are
+    looked up in the corpus's words by a join, whatever their number; a second
+    pass over the candidates alone measures their novelty."""
+    row, told = "_scan_row", "_scan_known"
+    first = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL("base string, found " + CANDIDATES).fields])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for a, b in row_slices(text_buffers(texts)[1], 8 << 20):
-                found = [scan(t or "", corpus.value) for t in texts.slice(a, b - a).to_pylist()]
-                counts = [pa.array([sum(k == kind for _, _, k in base + novel) for base, novel in found], pa.int64()) for kind in order]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *counts, pa.array([write_spans(base) for base, _ in found], pa.string()),
-                     pa.array([write_spans(sorted(base + novel, key=lambda s: (s[0], order[s[2]]))) for base, novel in found], pa.string())],
-                    names=schema.names)
-
-    return docs.select(id_col, docs[text_col].alias("_scan_text")).mapInArrow(run, schema)
+                bases = [(t or "", base_spans(t or "")) for t in texts.slice(a, b - a).to_pylist()]
+                found = [[{"start": x, "end": y, "name": n, "parts": [{"part": p, "known": k} for p, k in inside], "again": again}
+                          for x, y, n, inside, again in candidates(t, base)] for t, base in bases]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([write_spans(base) for _, base in bases], pa.string()),
+                                                  pa.array(found, to_arrow_type(first["found"].dataType))], names=first.names)
+
+    passed = materialize(docs.select(id_col, docs[text_col].alias("_scan_text")).mapInArrow(find, first)
+                         .withColumn(row, F.monotonically_increasing_id()), "candidates")
+    asked = passed.select(row, F.explode(F.array_distinct(F.flatten(F.transform("found", lambda c: F.transform(
+        F.filter(c["parts"], lambda p: ~p["known"]), lambda p: F.lower(p["part"])))))).alias("w"))
+    known = packed_join(asked, corpus_words(docs, text_col), ["w"], ["w"], "left_semi").groupBy(row).agg(F.collect_set("w").alias(told))
+    kinds = (*KINDS, "novel")
+    schema = T.StructType([first[id_col], *T.StructType.fromDDL("n_assign bigint, n_access bigint, n_hex bigint, n_novel bigint, base string, spans string").fields])
+    order = {k: i for i, k in enumerate(kinds)}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for base, found, words in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                spans = read_spans(base)
+                novel = novel_spans([(c["start"], c["end"], c["name"], [(p["part"], p["known"]) for p in c["parts"]], c["again"]) for c in found], frozenset(words or ()))
+                both = sorted(spans + novel, key=lambda s: (s[0], order[s[2]]))
+                out.append([*(sum(k == kind for *_, k in both) for kind in kinds), base, write_spans(both)])
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=schema.names)
+
+    return passed.join(known, row, "left").select(id_col, "base", "found", told).mapInArrow(judge, schema)

@@ -164,8 +164,67 @@ def test_names_of_the_whole_text_and_corpus_are_known(spark):
     rows = [(1, f"token {name}"), (2, "qwertzuv brzk xylphong"), (3, "Xylphong, brzk, qwertzuv"), (4, f"token {key}"), (4, f"token {key}"), (5, None)]
     got = {r.doc_id: r.n_novel for r in ss.scan_documents(frame(spark, rows)).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0}
-    assert ss.corpus_words(frame(spark, rows)) == {"qwertzuv", "brzk", "xylphong", "token"}
-    assert ss.corpus_words(frame(spark, rows), bound=1) == {"token"}
+    assert {r.w for r in ss.corpus_words(frame(spark, rows)).collect()} == {"qwertzuv", "brzk", "xylphong", "token"}
+
+
+def test_what_base_spans_leave_of_a_run_is_tested():
+    key = "q9X2vB7LmK4tRz8WcY1pHn5Tg0ZsJ8wEd3RuXk6A" + "0" * 16 + "Lw2Pz7QkVn4Bt9XyCj6R"
+    assert ss.scan(f"token {key}") == ([(46, 62, "hex")], [(6, 46, "novel"), (62, 82, "novel")])
+    assert ss.scan(f"the private key {key[:24]}")[1] and ss.scan(f"AWS key: {key[:24]}")[1] and ss.scan(f"access key {key[:24]}")[1]
+    assert ss.scan(f"my_long_prefix_of_api_key={key[:40]}")[1] == []  # what is left of the run is a name
+
+
+def test_base_spans_against_plain_scanning():
+    """Leftmost matches found by trying every start."""
+    word, value = "password passwd secret token api_key apikey".split(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+
+    def assign(text, i):
+        for w in sorted(word, key=len, reverse=True):
+            if text[i:i + len(w)].lower() == w and text[i:i + len(w)].isascii():
+                ends = []
+                for q in ((1, 0) if text[i + len(w):i + len(w) + 1] in ("'", '"') and text[i + len(w):i + len(w) + 1] else (0,)):
+                    j = i + len(w) + q
+                    while text[j:j + 1] == " ":
+                        j += 1
+                    if text[j:j + 1] and text[j] in ":=":
+                        j += 1
+                        while text[j:j + 1] == " ":
+                            j += 1
+                        j += text[j:j + 1] in ("'", '"') and text[j:j + 1] != ""
+                        k = j
+                        while k < len(text) and text[k] in value:
+                            k += 1
+                        if k > j:
+                            ends.append((k, k - j))
+                if ends:
+                    return ends[0]
+        return None
+
+    def run(text, i, letters):
+        k = i
+        while k < len(text) and text[k] in letters:
+            k += 1
+        return k
+
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["token", "Secret", "api_KEY", "apikey", "passwd", ":", "=", " ", '"', "'", "AKIA", "ABC123XYZ", "0123456789abcdef", "deadbeef", "x", ".", "é", "-a_b"]) for _ in range(rng.randint(1, 25)))
+        want, i = [], 0
+        while i < len(text):
+            hit = assign(text, i)
+            if hit:
+                want += [(i, hit[0], "assign")] if hit[1] >= 12 else []
+            i = hit[0] if hit else i + 1
+        for kind, letters, head, least in (("access", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AKIA", 18), ("hex", "0123456789abcdef", "", 16)):
+            i = 0
+            while i < len(text):
+                k = run(text, i + len(head), letters) if text.startswith(head, i) else i
+                if k > i + len(head):
+                    want += [(i, k, kind)] if k - i >= least else []
+                    i = k
+                else:
+                    i += 1
+        assert ss.base_spans(text) == sorted(want, key=lambda s: (s[0], ss.KINDS.index(s[2]))), text
 
 
 def test_secret_table(spark):
