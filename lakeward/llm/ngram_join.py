@@ -123,9 +123,9 @@ class PointTree:
 
 # --- candidate classes ----------------------------------------------------------
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, exact: bool = False) -> DataFrame:
     """doc, n, digest, keys (smallest hashes) and point per row."""
-    most = sketch_size(percent)
+    most = HUGE if exact else sketch_size(percent)
 
     def run(batches):
         for batch in batches:
@@ -212,6 +212,39 @@ def _candidate_forest(percent: int):
     return run
 
 
+def _dealt(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, lo, hi): the tasks of each entry.  A key of at most CHUNK
+    sets is one task.  The sets of a larger one are dealt in chunks by their
+    size, on a scale on which sets that can link are at most one step apart;
+    only chunks of one step and of neighbouring steps meet."""
+    one = F.lit(0).cast("long")
+    few = entries.filter(F.col("m") <= CHUNK).select("key", "rep", one.alias("lo"), one.alias("hi"))
+    ratio = math.log(100 / percent) * 1.0001 + 1e-9 if percent else None
+    step = F.floor(F.log("n") / ratio).cast("long") if ratio else one
+    large = packed_join(entries.filter(F.col("m") > CHUNK), classes.select(F.col("rep").alias("_r"), "n"), ["rep"], ["_r"], "inner").withColumn("step", step)
+    parts = checkpointed(large.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("p")))
+
+    def beside(name: str, by: int) -> DataFrame:
+        return parts.select(F.col("key").alias("_k"), (F.col("step") - by).alias("_s"), F.col("p").alias(name))
+
+    for name, by in (("own", 0), ("above", 1), ("below", -1)):
+        large = packed_join(large, beside(name, by), ["key", "step"], ["_k", "_s"], "left")
+
+    def chunk(by: int, at):
+        return F.shiftleft(F.col("step") + by, 32) + at
+
+    def tasks(name: str, make):
+        return F.when(F.col(name) > 0, F.transform(F.sequence(one, F.col(name) - 1), make)).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
+
+    def pair(lo, hi):
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    large = large.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("own")))
+    met = F.concat(tasks("own", lambda o: pair(chunk(0, F.least("c", o)), chunk(0, F.greatest("c", o)))),
+                   tasks("above", lambda o: pair(chunk(0, F.col("c")), chunk(1, o))), tasks("below", lambda o: pair(chunk(-1, o), chunk(0, F.col("c")))))
+    return few.union(large.select("key", "rep", F.inline(met)))
+
+
 def candidate_classes(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component): sets that may be linked, directly or through others."""
     spark = classes.sparkSession
@@ -219,12 +252,8 @@ def candidate_classes(classes: DataFrame, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     entries = checkpointed(packed_join(keys, shared.withColumnRenamed("key", "k"), ["key"], ["k"], "inner"))
     slots = max(spark.sparkContext.defaultParallelism, -(-entries.count() // 20_000))
-    # a key with many entries is dealt in chunks; every pair of chunks is a task of its own
-    parts = F.ceil(F.col("m") / CHUNK)
-    entries = entries.withColumn("c", F.pmod(F.xxhash64("rep"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    entries = entries.select("key", "rep", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
-    entries = entries.withColumn("slot", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(slots)))
-    full = entries.join(classes.select("rep", "n", "point"), "rep")
+    dealt = _dealt(entries, classes, percent).withColumn("slot", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(slots)))
+    full = dealt.join(classes.select("rep", "n", "point"), "rep")
     edges = full.groupBy("slot").applyInPandas(_candidate_forest(percent), "a long, b long")
     return connected_components(edges)
 
@@ -319,7 +348,7 @@ def verified_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return first.union(solve(residents.select(*cols).union(visitors.select(*cols))))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, exact: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id.
 
     Words are runs outside [\\x20\\x09-\\x0D], A-Z lower-cased; a set holds the
@@ -332,11 +361,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
 
     Equal sets are one class.  Classes meet over shared hashes among the
-    smallest of their sets: a prefix as long as the threshold demands, or as
-    many as make a missed pair less likely than MISS.  Chunks of a common key
-    and of a large class are joined apart, and only spanning links leave a
-    task, so no group of copies is expanded into pairs."""
-    sig = checkpointed(signatures(docs, id_col, text_col, words, percent))
+    smallest of their sets: a prefix as long as the threshold demands, or,
+    unless ``exact``, as many as make a missed pair less likely than MISS.
+    Chunks of a common key, dealt by set size, and of a large class are joined
+    apart, and only spanning links leave a task, so no group of copies is
+    expanded into pairs."""
+    sig = checkpointed(signatures(docs, id_col, text_col, words, percent, exact))
     best = F.min(F.struct("doc", "n", "keys", "point"))
     classes = sig.filter("n > 0 and doc is not null").groupBy("digest").agg(best.alias("s"))
     classes = checkpointed(classes.select("digest", F.col("s.doc").alias("rep"), "s.n", "s.keys", "s.point"))

@@ -129,3 +129,29 @@ def test_digest_is_sha256(spark):
     r = exact_groups(frame(spark, [(1, "Ab\n")])).first()
     assert r.text_sha256 == hashlib.sha256(b"ab\n").hexdigest()
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_hot_key_dealt_by_size_against_brute_force(spark, monkeypatch, exact):
+    monkeypatch.setattr(nj, "CHUNK", 6)
+    rng = random.Random(12)
+    common, docs = "one two three four five", []
+    for i in range(90):  # families of near copies of many sizes, all with one shingle
+        size = rng.choice([6, 8, 12, 20, 33, 60])
+        base = [f"b{i // 3}x{k}" for k in range(size)]
+        base[rng.randrange(size)] = f"e{i}"
+        docs.append((i, f"{common} {' '.join(base)}"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_duplicates(frame(spark, docs), exact=exact).collect()}
+    assert got == near_truth(docs)
+
+
+def test_rows_of_a_hot_key_follow_the_documents_when_sizes_differ(spark, monkeypatch):
+    monkeypatch.setattr(nj, "CHUNK", 8)
+
+    def tasks(n):  # ten sets of every size, sizes a third apart
+        entries = spark.createDataFrame([(7, i, n) for i in range(n)], "key long, rep long, m long")
+        classes = spark.createDataFrame([(i, round(4 * 1.34 ** (i // 10))) for i in range(n)], "rep long, n long")
+        return nj._dealt(entries, classes, 75).count()
+
+    few, many = tasks(160), tasks(640)
+    assert many <= 4.5 * few and few <= 160 * 6
