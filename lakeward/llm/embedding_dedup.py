@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,18 +116,42 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                       F.coalesce(F.col("_id") == F.coalesce("component_id", "_id"), F.lit(False)).alias("kept"))
 
 
-def _join_classes(spark, classes: DataFrame, dim: int, least: float) -> DataFrame:
+SUMMED = "part long, m binary, n long"
+SUM_BYTES = 64 << 20  # of matrices that one task adds up
+
+
+def _second_moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray]:
+    """Number of unit vectors and the sum of their outer products.  Each
+    partition has one matrix; as many as SUM_BYTES hold are added per task,
+    round by round, and the driver receives one."""
     def moments(frames):
         total, n = np.zeros((dim, dim)), 0
         for f in frames:
             x = _rows(f["_v"])
             total += x.T @ x
             n += len(x)
-        yield pd.DataFrame({"m": [total.tobytes()], "n": [n]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "m": [total.tobytes()], "n": [n]})
+
+    def add(f):
+        total = np.zeros(dim * dim)
+        for m in f.sort_values("part")["m"]:
+            total += np.frombuffer(m)
+        return pd.DataFrame({"part": [int(f["part"].iloc[0]) // fan], "m": [total.tobytes()], "n": [int(f["n"].sum())]})
+
+    fan = max(2, SUM_BYTES // (8 * dim * dim))
+    parts = vectors.mapInPandas(moments, SUMMED)
+    left = vectors.rdd.getNumPartitions()
+    while True:
+        parts = checkpointed(parts.groupBy(F.floor(F.col("part") / fan).alias("g")).applyInPandas(add, SUMMED))
+        left = -(-left // fan)
+        if left <= 1:
+            break
+    rows = parts.collect()  # one, or none without vectors
+    return sum(r["n"] for r in rows), sum((np.frombuffer(bytes(r["m"])).reshape(dim, dim) for r in rows), np.zeros((dim, dim)))
 
-    parts = classes.select("_v").mapInPandas(moments, "m binary, n long").collect()  # dim x dim per partition
-    count = sum(p["n"] for p in parts)
-    second = sum(np.frombuffer(bytes(p["m"])).reshape(dim, dim) for p in parts)
+
+def _join_classes(spark, classes: DataFrame, dim: int, least: float) -> DataFrame:
+    count, second = _second_moments(classes.select("_v"), dim)
     lead = min(LEAD, dim)
     axes = np.linalg.eigh(second / max(count, 1))[1][:, ::-1][:, :lead]
     eps = float(np.sqrt(2 - 2 * least))

@@ -31,7 +31,7 @@ def _grams(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-cased code points, white space runs and digits folded, framed by blanks."""
+    """Lower-cased code points, white space runs folded, framed by blanks."""
     return np.frombuffer((" " + " ".join(text.lower().split()) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
@@ -54,6 +54,12 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return at, total[at], int(total.sum())
 
 
+def frequent(at: np.ndarray, count: np.ndarray, total: int, bound: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ``bound`` most frequent buckets, in their order."""
+    top = np.sort(np.argsort(-count, kind="stable")[:bound])
+    return at[top], count[top], total
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
@@ -146,11 +152,13 @@ def sample_threshold(rows: DataFrame, key: Column, bound: int):
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_rows: int = 4000, seed: int = 11) -> LanguageModel:
+          max_rows: int = 4000, seed: int = 11, max_grams: int = 4096) -> LanguageModel:
     """Fit on at most about ``max_rows`` rows (ties of the hash may add some)
     where ``learn`` holds and label and text are not null: those with the
     smallest seeded hash of the id.  Their n-grams are counted on the
-    executors; the driver receives at most BUCKETS counts a row."""
+    executors, whole texts; of a row's distinct n-grams the ``max_grams`` most
+    frequent take part (ties: the smaller bucket), so the driver receives at
+    most 8 bytes times ``max_rows`` times ``max_grams``, 131 MB."""
     own = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     limit = sample_threshold(own, key, max_rows)
@@ -159,7 +167,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def featurise(batches):
         for batch in batches:
-            got = [(y, *counts(t)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
+            got = [(y, *frequent(*counts(t), max_grams)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], pa.string()), pa.array([g[1].astype("<i4").tobytes() for g in got], pa.binary()),
                  pa.array([g[2].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[3] for g in got], pa.int64())],
