@@ -108,10 +108,13 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, str]], epochs: int
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1) * SCALE
     k = len(labels)
     z, n, w = np.zeros((k, BUCKETS + 1)), np.zeros((k, BUCKETS + 1)), np.zeros((k, BUCKETS + 1))
-    data = [(np.append(at, BUCKETS), np.append(c / total * idf[at], 1.0), labels.index(y)) for at, c, total, y in rows]
-    order = np.random.default_rng(seed).permutation(len(data))
-    fit = [i for j, i in enumerate(order) if j % held or len(data) < 2 * held]
-    check = [i for j, i in enumerate(order) if not j % held] if len(data) >= 2 * held else fit
+    order = np.random.default_rng(seed).permutation(len(rows))
+    fit = [i for j, i in enumerate(order) if j % held or len(rows) < 2 * held]
+    check = [i for j, i in enumerate(order) if not j % held] if len(rows) >= 2 * held else fit
+
+    def example(i):  # made when it is needed: the driver holds the counts only
+        at, c, total, y = rows[i]
+        return np.append(at.astype(np.intp), BUCKETS), np.append(c / total * idf[at], 1.0), labels.index(y)
 
     def weights(at):
         zz, nn = z[:, at], n[:, at]
@@ -119,7 +122,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, str]], epochs: int
 
     for _ in range(epochs):
         for i in fit:
-            at, x, y = data[i]
+            at, x, y = example(i)
             cur = weights(at)
             s = cur @ x
             p = np.exp(s - s.max())
@@ -130,8 +133,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, str]], epochs: int
             z[:, at] += g - (np.sqrt(n[:, at] + g2) - np.sqrt(n[:, at])) / alpha * cur
             n[:, at] += g2
     w = weights(np.arange(BUCKETS + 1))
-    s = np.array([w[:, data[i][0]] @ data[i][1] for i in check])
-    y = np.array([data[i][2] for i in check])
+    held_out = [(w[:, at] @ x, y) for at, x, y in map(example, check)]
+    s, y = np.array([z for z, _ in held_out]), np.array([y for _, y in held_out])
 
     def loss(log_t):
         q = s / np.exp(log_t)
@@ -151,6 +154,15 @@ def sample_threshold(rows: DataFrame, key: Column, bound: int):
     return top["k"]
 
 
+def _flat(column: pa.Array) -> np.ndarray:
+    """All integers of a column of packed ones, without a copy."""
+    if not len(column):
+        return np.zeros(0, "<i4")
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0]:offs[-1]].view("<i4") if offs[-1] > offs[0] else np.zeros(0, "<i4")
+
+
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           max_rows: int = 4000, seed: int = 11, max_grams: int = 4096) -> LanguageModel:
     """Fit on at most about ``max_rows`` rows (ties of the hash may add some)
@@ -170,13 +182,20 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             got = [(y, *frequent(*counts(t), max_grams)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], pa.string()), pa.array([g[1].astype("<i4").tobytes() for g in got], pa.binary()),
-                 pa.array([g[2].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[3] for g in got], pa.int64())],
-                names=["y", "at", "c", "total"])
+                 pa.array([g[2].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[3] for g in got], pa.int64()),
+                 pa.array([len(g[1]) for g in got], pa.int64())],
+                names=["y", "at", "c", "total", "n"])
 
+    # sorted, for arrival order must not matter; flat buffers instead of an object per row
     rows = (own.filter(key <= limit).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-            .mapInArrow(featurise, "y string, at binary, c binary, total long").collect())
-    rows.sort(key=lambda r: (r["y"], r["total"], bytes(r["at"]), bytes(r["c"])))  # arrival order must not matter
-    return train_ftrl([(np.frombuffer(r["at"], "<i4").astype(np.intp), np.frombuffer(r["c"], "<i4").astype(float), r["total"], r["y"]) for r in rows])
+            .mapInArrow(featurise, "y string, at binary, c binary, total long, n long").orderBy("y", "total", "at", "c").toArrow().combine_chunks())
+    flat = [_flat(rows[c].combine_chunks()) for c in ("at", "c")]
+    ends = np.concatenate(([0], np.cumsum(rows["n"].to_numpy(), dtype=np.int64)))
+    model = train_ftrl([(flat[0][a:b], flat[1][a:b], total, y)
+                        for a, b, total, y in zip(ends[:-1], ends[1:], rows["total"].to_pylist(), rows["y"].to_pylist())])
+    del rows, flat
+    pa.default_memory_pool().release_unused()  # the driver goes on for long after this
+    return model
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
