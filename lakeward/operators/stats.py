@@ -65,33 +65,44 @@ def _as_text(c: str, dtype: T.DataType):
     return col.cast("string")
 
 
-def _identity(c: str, dtype: T.DataType) -> Column:
-    """Text that two values of a column share if and only if they are equal;
-    long ones by their SHA-256."""
-    if isinstance(dtype, T.BinaryType):
-        text = F.hex(c)
-    elif isinstance(dtype, T.TimestampType):  # a local time can stand for two instants
-        text = F.unix_micros(c).cast("string")
-    else:
-        text = _as_text(c, dtype)
-    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text) if isinstance(dtype, (T.BinaryType, T.StringType)) else text
+def _identity(c: str, dtype: T.DataType) -> tuple[str, Column] | None:
+    """A type that columns of its kind share, and a value of it that two values
+    of the column share if and only if they are equal; long texts by their
+    SHA-256.  None for nested types."""
+    col = F.col(c)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "bigint", col.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return "bigint", F.unix_date(col).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return "bigint", F.unix_micros(col)
+    if isinstance(dtype, _FLOATING):
+        return "double", col.cast("double")  # Spark groups -0.0 with 0.0, and NaN with NaN
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return None
+    text = F.hex(c) if isinstance(dtype, T.BinaryType) else col.cast("string")
+    return "string", F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
 
 
 def _distinct_counts(data: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, distinct_count) of all columns in one scan: rows become
+    """(column_name, distinct_count) of all columns in one scan per kind of
+    value (whole numbers and times, floating numbers, texts): rows become
     (column, value) pairs, which are made distinct map-side before they are
     shuffled, and then counted per column.  Columns of nested types are
     counted on their own."""
-    types = {f.name: f.dataType for f in data.schema.fields}
-    flat = [c for c in cols if not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _identity(c, types[c]).alias("v")) for i, c in enumerate(flat)])
-    names = F.array(*[F.lit(c) for c in flat])
+    kinds: dict[str, list[tuple[str, Column]]] = {}
     out = []
-    if flat:
-        seen = data.select(F.inline(pairs)).filter("v is not null").distinct()
+    for f in data.schema.fields:
+        known = _identity(f.name, f.dataType) if f.name in cols else None
+        if known is not None:
+            kinds.setdefault(known[0], []).append((f.name, known[1]))
+        elif f.name in cols:
+            out.append(data.agg(F.count_distinct(F.col(f.name)).alias("distinct_count")).select(F.lit(f.name).alias("column_name"), "distinct_count"))
+    for pairs in kinds.values():
+        stacked = F.stack(F.lit(len(pairs)), *[x for i, (_, v) in enumerate(pairs) for x in (F.lit(i), v)]).alias("i", "v")
+        seen = data.select(stacked).filter("v is not null").distinct()
+        names = F.array(*[F.lit(c) for c, _ in pairs])
         out.append(seen.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count")).select(F.get(names, F.col("i")).alias("column_name"), "distinct_count"))
-    out += [data.agg(F.count_distinct(F.col(c)).alias("distinct_count")).select(F.lit(c).alias("column_name"), "distinct_count")
-            for c in cols if c not in flat]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -100,10 +111,11 @@ def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx:
     """A4: ``SIMPLE`` -- per column: non-null count, null count, distinct
     count, min and max (as text), in long form.
 
-    Two scans, whatever the number of columns: one global aggregate for
-    counts/min/max (one row per task crosses the shuffle) and one of distinct
-    (column, value) pairs for the exact distinct counts.  The long forms are
-    merged by a union and a group-by on the column name.
+    At most four scans, whatever the number of columns: one global aggregate
+    for counts/min/max (one row per task crosses the shuffle) and one of
+    distinct (column, value) pairs per kind of value for the exact distinct
+    counts.  The long forms are merged by a union and a group-by on the column
+    name.
 
     ``approx=True`` puts HyperLogLog++ sketches (``approx_count_distinct``)
     into the global aggregate: one scan and no shuffle of values -- the choice
@@ -112,7 +124,7 @@ def profile_simple(df: DataFrame, columns: Sequence[str] | None = None, approx:
 
     ``staged=True`` writes ``df`` once to the shared folder and profiles that:
     for a view whose plan is more than a scan, which would otherwise run
-    twice."""
+    once per scan."""
     cols = list(columns) if columns else list(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     data = df.select(*cols)

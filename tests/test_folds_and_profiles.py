@@ -109,7 +109,7 @@ def test_two_streams_fold_one_store(spark, scratch):
 
 # --- profiles -------------------------------------------------------------------
 
-def test_exact_profile_takes_two_scans_for_any_number_of_columns(spark, scratch):
+def test_exact_profile_takes_as_many_scans_for_any_number_of_columns(spark, scratch):
     path = os.path.join(scratch, "t")
     spark.range(100).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(12)]).write.parquet(path)
     df = spark.read.parquet(path)
@@ -118,6 +118,9 @@ def test_exact_profile_takes_two_scans_for_any_number_of_columns(spark, scratch)
         assert plan.count("Relation [") == 2
     got = {r["column_name"]: r["distinct_count"] for r in stats.profile_simple(df).collect()}
     assert got == {f"c{i}": i + 2 for i in range(12)}
+    mixed = df.select("*", *[F.col(c).cast(t).alias(f"{c}_{t}") for c in df.columns for t in ("string", "double", "boolean", "int")])
+    plan = stats.profile_simple(mixed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4
 
 
 def test_distinct_counts_of_odd_values(spark):
