@@ -46,7 +46,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_documents: int = 10,
     lost = (packed_join(met, common, ["_digest"], ["_digest"], "left_semi")
             .groupBy("_h1", "_h2").agg(F.collect_set("_pos").alias(drop)))  # at most one document's lines
 
-    joined = packed_join(known, lost, [h1, h2], ["_h1", "_h2"], "left").withColumn(parts, F.split(text, "\n", -1))
+    joined = packed_join(known, lost.hint("merge"), [h1, h2], ["_h1", "_h2"], "left").withColumn(parts, F.split(text, "\n", -1))
     gone, size = F.coalesce(F.size(drop), F.lit(0)), F.size(parts)
     left = F.array_except(F.sequence(F.lit(0), size - 1), F.col(drop))
     return (joined.withColumn("n_lines", size.cast("long")).withColumn("n_dropped", gone.cast("long"))
