@@ -375,3 +375,55 @@ def test_trap_of_depth_200_and_a_host_of_many_sections(spark):
     assert len(got) == len(rows)
     assert got[0] == "/*" and got[199_000] == "/a" * 199 + "/*"
     assert {got[10**6 + i] for i in range(15_000)} <= {f"/{s}/{x}/*" for s in {f"section-{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15_000)} | {"*"} for x in "xy*"}
+
+
+def purities(rows, z=1.96, prior=0.5, strength=2.0):
+    """Pooled smoothed shares of one host's (template, bad) rows."""
+    own, shapes = {}, {}
+    for t, bad in rows:
+        add = (1, int(bad is not None), int(bool(bad)))
+        own[t] = tuple(a + b for a, b in zip(own.get(t, (0, 0, 0)), add))
+        parts = [p for p in t.split("/") if p]
+        for i, seg in enumerate(parts):
+            below = shapes.setdefault((i, tuple(parts[:i]), seg), {})
+            key = tuple(parts[i + 1:])
+            below[key] = tuple(a + b for a, b in zip(below.get(key, (0, 0, 0)), add))
+    groups = {}
+    for (i, node, seg), below in shapes.items():
+        groups.setdefault((i, node, frozenset(below)), []).append(seg)
+    merged = {}
+    for (i, node, kind), segs in groups.items():
+        pooled = {b: [sum(shapes[i, node, s][b][x] for s in segs) for x in range(3)] for b in kind}
+        all_n, all_k, all_b = (sum(v[x] for v in pooled.values()) for x in range(3))
+        p = all_b / all_k if all_k else None
+        for s in segs:
+            n, k, b = (sum(v[x] for v in shapes[i, node, s].values()) for x in range(3))
+            chi = sum(shapes[i, node, s][x][0] ** 2 / pooled[x][0] for x in kind) * all_n / n - n
+            free = len(kind) - 1
+            if chi <= free + z * (2 * free) ** 0.5 + 1e-6 and (not k or abs(b / k - p) <= z * (p * (1 - p) / k) ** 0.5 + 1e-12):
+                merged[i, node, s] = kind
+    pool, keys = {}, {}
+    for t, (_, k, b) in own.items():
+        parts = [p for p in t.split("/") if p]
+        keys[t] = tuple(merged.get((i, tuple(parts[:i]), s), s) for i, s in enumerate(parts))
+        mk, mb = pool.get(keys[t], (0, 0))
+        pool[keys[t]] = mk + k, mb + b
+    return {t: (pool[key][1] + prior * strength) / (pool[key][0] + strength) for t, key in keys.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merged_purity_against_brute_force(spark, seed):
+    from lakeward.llm.url_filter import template_purity
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        a, b, c = rng.choice("abcdef"), rng.choice("xy*"), rng.choice(["p", "q", "*"][:rng.choice([2, 3])])
+        t = "".join("/" + s for s in (a, b, c)[:rng.choice([0, 1, 2, 3, 3, 3])])
+        bad = {"a": True, "b": rng.random() < 0.9, "c": None, "d": False}.get(a, rng.choice([None, True, False]))
+        rows.append((t, bad))
+    df = spark.createDataFrame([("h", t, b) for t, b in rows], "host string, template string, bad boolean")
+    got = {r._t: r.purity for r in template_purity(df, "host", "template", "bad").collect()}
+    want = purities(rows)
+    assert got.keys() == want.keys()
+    assert all(got[t] == pytest.approx(want[t], abs=1e-9) for t in want)
+    assert len(set(want.values())) < len(want)  # some are merged
