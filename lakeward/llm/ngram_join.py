@@ -212,47 +212,52 @@ def _candidate_forest(percent: int):
     return run
 
 
-def _dealt(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _step(percent: int):
+    """Set sizes on a scale on which sets that can link are at most one step apart."""
+    return F.floor(F.log("n") / (math.log(100 / percent) * 1.0001 + 1e-9)).cast("int") if percent else F.lit(0)
+
+
+def _entries(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, step, m, steps): the sets of every key that two have, how
+    many have it, and, of a key of more than CHUNK, the chunks of each step."""
+    keys = classes.select("rep", _step(percent).alias("step"), F.explode("keys").alias("key"))
+    counted = keys.groupBy("key", "step").agg(F.count(F.lit(1)).alias("c"))
+    shared = counted.groupBy(F.col("key").alias("k")).agg(F.sum("c").alias("m"), F.collect_list(F.struct("step", F.ceil(F.col("c") / CHUNK).alias("p"))).alias("steps"))
+    shared = shared.filter("m > 1").withColumn("steps", F.when(F.col("m") > CHUNK, F.col("steps")))
+    return packed_join(keys, shared, ["key"], ["k"], "inner")
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
     """(key, rep, lo, hi): the tasks of each entry.  A key of at most CHUNK
     sets is one task.  The sets of a larger one are dealt in chunks by their
-    size, on a scale on which sets that can link are at most one step apart;
-    only chunks of one step and of neighbouring steps meet."""
+    size; only chunks of one step and of neighbouring steps meet."""
     one = F.lit(0).cast("long")
-    few = entries.filter(F.col("m") <= CHUNK).select("key", "rep", one.alias("lo"), one.alias("hi"))
-    ratio = math.log(100 / percent) * 1.0001 + 1e-9 if percent else None
-    step = F.floor(F.log("n") / ratio).cast("long") if ratio else one
-    large = packed_join(entries.filter(F.col("m") > CHUNK), classes.select(F.col("rep").alias("_r"), "n"), ["rep"], ["_r"], "inner").withColumn("step", step)
-    parts = checkpointed(large.groupBy("key", "step").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("p")))
-
-    def beside(name: str, by: int) -> DataFrame:
-        return parts.select(F.col("key").alias("_k"), (F.col("step") - by).alias("_s"), F.col("p").alias(name))
 
-    for name, by in (("own", 0), ("above", 1), ("below", -1)):
-        large = packed_join(large, beside(name, by), ["key", "step"], ["_k", "_s"], "left")
+    def chunks(by: int):
+        return F.coalesce(F.get(F.filter("steps", lambda s: s["step"] == F.col("step") + by), F.lit(0))["p"], one)
 
     def chunk(by: int, at):
-        return F.shiftleft(F.col("step") + by, 32) + at
+        return F.shiftleft((F.col("step") + by).cast("long"), 32) + at
 
-    def tasks(name: str, make):
-        return F.when(F.col(name) > 0, F.transform(F.sequence(one, F.col(name) - 1), make)).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
+    def tasks(by: int, make):
+        return F.transform(F.filter(F.sequence(F.lit(-1).cast("long"), chunks(by) - 1), lambda o: o >= 0), make)
 
     def pair(lo, hi):
         return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    large = large.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("own")))
-    met = F.concat(tasks("own", lambda o: pair(chunk(0, F.least("c", o)), chunk(0, F.greatest("c", o)))),
-                   tasks("above", lambda o: pair(chunk(0, F.col("c")), chunk(1, o))), tasks("below", lambda o: pair(chunk(-1, o), chunk(0, F.col("c")))))
-    return few.union(large.select("key", "rep", F.inline(met)))
+    own = F.pmod(F.xxhash64("rep"), F.greatest(chunks(0), F.lit(1)))
+    dealt = entries.withColumn("c", own)
+    met = F.concat(tasks(0, lambda o: pair(chunk(0, F.least("c", o)), chunk(0, F.greatest("c", o)))),
+                   tasks(1, lambda o: pair(chunk(0, F.col("c")), chunk(1, o))), tasks(-1, lambda o: pair(chunk(-1, o), chunk(0, F.col("c")))))
+    return dealt.select("key", "rep", F.inline(F.when(F.col("m") <= CHUNK, F.array(pair(one, one))).otherwise(met)))
 
 
 def candidate_classes(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component): sets that may be linked, directly or through others."""
     spark = classes.sparkSession
-    keys = classes.select("rep", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    entries = checkpointed(packed_join(keys, shared.withColumnRenamed("key", "k"), ["key"], ["k"], "inner"))
+    entries = checkpointed(_entries(classes, percent))
     slots = max(spark.sparkContext.defaultParallelism, -(-entries.count() // 20_000))
-    dealt = _dealt(entries, classes, percent).withColumn("slot", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(slots)))
+    dealt = _dealt(entries).withColumn("slot", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(slots)))
     full = dealt.join(classes.select("rep", "n", "point"), "rep")
     edges = full.groupBy("slot").applyInPandas(_candidate_forest(percent), "a long, b long")
     return connected_components(edges)

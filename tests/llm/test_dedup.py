@@ -149,9 +149,8 @@ def test_rows_of_a_hot_key_follow_the_documents_when_sizes_differ(spark, monkeyp
     monkeypatch.setattr(nj, "CHUNK", 8)
 
     def tasks(n):  # ten sets of every size, sizes a third apart
-        entries = spark.createDataFrame([(7, i, n) for i in range(n)], "key long, rep long, m long")
-        classes = spark.createDataFrame([(i, round(4 * 1.34 ** (i // 10))) for i in range(n)], "rep long, n long")
-        return nj._dealt(entries, classes, 75).count()
+        classes = spark.createDataFrame([(i, round(4 * 1.34 ** (i // 10)), [7]) for i in range(n)], "rep long, n long, keys array<long>")
+        return nj._dealt(nj._entries(classes, 75)).count()
 
     few, many = tasks(160), tasks(640)
     assert many <= 4.5 * few and few <= 160 * 6
