@@ -21,6 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = "_key"
+BYTES_PER_TASK = 8 << 20  # of input files; a few 100,000 rows
+
+
+def task_count(df: DataFrame) -> int | None:
+    """Tasks for ``df`` by the size of the files it is read from: one per
+    ``BYTES_PER_TASK``, at least one per core.  None if it is read from none."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files:
+        return None
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_TASK))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``task_count`` tasks.
+
+    A shuffle that Spark plans has as many tasks as the session says, fewer
+    where AQE finds the rows small once compressed, and the hash maps and
+    sorts of a task hold all its rows.  Here their number grows with the
+    input, so what a task holds does not.  Choose keys of which none has many
+    rows: a shuffle of given size is not split.  Rows that are read from no
+    files are left as they lie."""
+    n = task_count(df)
+    return df if n is None else df.repartition(n, *keys)
 
 
 def pack_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:

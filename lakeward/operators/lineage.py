@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.functions.keyed import first_per_key, packed_join
+from lakeward.functions.keyed import first_per_key, packed_join, spread
 
 
 def models_in_space(models: DataFrame, space: str) -> DataFrame:
@@ -80,15 +80,14 @@ def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,
     m = unique_models(models_in_space(models, space) if space is not None else models)
     m = m.select("model_id", F.col("name").alias("model_name"),
                  F.col("space_name").alias("model_space"), "position")
-    # Exact repeats of an edge row are dropped (a hash aggregate that reuses
-    # an existing (model_id, view_id) partitioning); one name per (model,
-    # view) is the input contract, as the source answers with a map.  Only
+    # Exact repeats of an edge row are dropped, in tasks whose number grows
+    # with the edges; one name per (model, view) is the input contract, as the source answers with a map.  Only
     # edges of the selected models take part: a space-filtered export cuts
     # the edges by a semi join before anything else shuffles them.
     e = edges.select("model_id", "view_id", "view_name")
     if space is not None:
         e = packed_join(e, m.select(F.col("model_id").alias("_m")), ["model_id"], ["_m"], "left_semi")
-    e = e.distinct()
+    e = spread(e, "model_id", "view_id").distinct()
     if skip_duplicates:
         e = _first_model_per_view(e, m.select("model_id", "position"))
     resolved = map_views_to_spaces(e, views)

@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeward.functions.keyed import spread
+
 # --- fixed values: fixture parameters --------------------------------------
 RUN_WINDOW_END = "2024-01-08 00:00:00"
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -60,8 +62,8 @@ def models(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("model_id"),
-                                           F.col("l_partkey").alias("view_id")).distinct()
+    li = spread(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("model_id"), F.col("l_partkey").alias("view_id")),
+                "model_id", "view_id").distinct()
     p = table(spark, d, "part").select(F.col("p_partkey").alias("view_id"), F.col("p_name").alias("view_name"))
     return li.join(p, "view_id").select("model_id", "view_id", "view_name")
 

@@ -1,7 +1,10 @@
 """Plan-shape checks for the scale rules: a key may hold a third of all rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from lakeward.functions import keyed
 from lakeward.functions.keyed import first_per_key, last_per_key
 from lakeward.operators import lineage, outcomes as oc
 from lakeward.session import BASE_CONF
@@ -148,3 +151,41 @@ def test_hot_model_is_split_in_model_export(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def _filed(spark, scratch, n=400):
+    """Models, edges (every row twice) and views read from files."""
+    models = spark.range(7).selectExpr("id AS model_id", "concat('m', id) AS name", "concat('s', id % 2) AS space_name", "id AS position")
+    edges = spark.range(2 * n).selectExpr("id % 5 AS model_id", f"id % {n} AS view_id", f"concat('v', id % {n}) AS view_name")
+    views = spark.range(n // 2).selectExpr("id AS view_id", "concat('p', id % 3) AS space_name", "id AS position")
+    frames = []
+    for k, df in enumerate((models, edges, views)):
+        df.write.parquet(f"{scratch}/t{k}")
+        frames.append(spark.read.parquet(f"{scratch}/t{k}"))
+    return frames
+
+
+def _dealt(df, *keys):
+    """Tasks of the shuffles by ``keys`` whose number the library sets."""
+    columns = ", ".join(k + r"#\d+L?" for k in keys)
+    return [int(x) for x in re.findall(rf"(?:hash|range)partitioning\({columns}, (\d+)\), REPARTITION_BY_NUM", _plan(df))]
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
+    models, edges, _ = _filed(spark, str(tmp_path))
+    least = spark.sparkContext.defaultParallelism
+    assert keyed.task_count(edges) == least and keyed.task_count(spark.range(3)) is None
+    size = sum(f.stat().st_size for f in tmp_path.glob("t1/*.parquet"))
+    monkeypatch.setattr(keyed, "BYTES_PER_TASK", 1000)
+    assert keyed.task_count(edges) == max(least, -(-size // 1000))
+    assert keyed.task_count(models.join(edges, "model_id")) > keyed.task_count(edges)
+
+
+def test_distinct_edges_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
+    models, edges, views = _filed(spark, str(tmp_path))
+    monkeypatch.setattr(keyed, "BYTES_PER_TASK", 1000)
+    n = keyed.task_count(edges)
+    lf = lineage.model_edges(models, edges, views)
+    assert n in _dealt(lf, "model_id", "view_id")
+    # two of the seven models hold no view
+    assert lf.filter("view_id IS NOT NULL").count() == edges.distinct().count() and lf.filter("view_id IS NULL").count() == 2
