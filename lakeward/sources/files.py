@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeward import schemas
+from lakeward.functions.keyed import task_count
 from lakeward.operators.tables import path_exists
 
 # --- fixed values: catalogue layouts ---------------------------------------------
@@ -158,7 +159,8 @@ def write_model_rows(df: DataFrame, path: str, by_space: bool = False) -> None:
     over as many files as it needs and nothing is gathered per model.
     Optionally one folder per space (``space_name``)."""
     order = ["model_id", "view_id"]
-    rows = df.repartitionByRange(*order)
+    n = task_count(df)
+    rows = df.repartitionByRange(*order) if n is None else df.repartitionByRange(n, *order)
     w = rows.sortWithinPartitions(*(["space_name"] if by_space else []), *order).write.mode("overwrite").option("ignoreNullFields", False)
     if by_space:
         w = w.partitionBy("space_name").option("partitionOverwriteMode", "dynamic")

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lakeward import sources
 from lakeward.functions import keyed
 from lakeward.functions.keyed import first_per_key, last_per_key
 from lakeward.operators import lineage, outcomes as oc
@@ -189,3 +190,15 @@ def test_distinct_edges_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
     assert n in _dealt(lf, "model_id", "view_id")
     # two of the seven models hold no view
     assert lf.filter("view_id IS NOT NULL").count() == edges.distinct().count() and lf.filter("view_id IS NULL").count() == 2
+
+
+def test_range_files_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
+    models, edges, views = _filed(spark, str(tmp_path))
+    monkeypatch.setattr(keyed, "BYTES_PER_TASK", 1000)
+    rows = lineage.model_edges(models, edges, views).withColumnRenamed("model_space", "space_name")
+    n = keyed.task_count(rows)
+    sources.write_model_rows(rows, f"{tmp_path}/out")
+    back = spark.read.json(f"{tmp_path}/out")
+    assert back.count() == rows.count() and back.select("model_id", "view_id").distinct().count() == rows.count()
+    files = back.select(F.input_file_name()).distinct().count()
+    assert files > 8 and files > n // 2
