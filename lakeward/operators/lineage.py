@@ -115,10 +115,11 @@ def nested_export(long_form: DataFrame, parts: int = 1) -> DataFrame:
     views over ``parts`` fit in a record.  Parts without views are left out.
     The long form is the scale path.  A (model, view) named twice keeps the
     smallest name, as a map holds one entry per key."""
-    one = long_form.groupBy("model_id", "model_name", "model_space", "view_id").agg(
+    # Rows are dealt by record, so that both aggregates do without another shuffle.
+    dealt = spread(long_form.withColumn("part", F.when(F.col("view_id").isNull(), F.lit(0))
+                                        .otherwise(F.pmod(F.xxhash64("view_id"), F.lit(int(parts)))).cast("int")), "model_id", "part")
+    keyed = dealt.groupBy("model_id", "model_name", "model_space", "part", "view_id").agg(
         F.min(F.struct(F.col("view_name").cast("string").alias("name"), F.col("view_space").cast("string").alias("space"))).alias("_v"))
-    keyed = one.withColumn("part", F.when(F.col("view_id").isNull(), F.lit(0))
-                           .otherwise(F.pmod(F.xxhash64("view_id"), F.lit(int(parts)))).cast("int"))
     entry = F.when(F.col("view_id").isNotNull(),
                    F.struct(F.col("view_id").cast("string").alias("key"),
                             F.struct(F.col("_v.space").alias("space"), F.col("_v.name").alias("name")).alias("value")))

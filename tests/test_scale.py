@@ -202,3 +202,13 @@ def test_range_files_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
     assert back.count() == rows.count() and back.select("model_id", "view_id").distinct().count() == rows.count()
     files = back.select(F.input_file_name()).distinct().count()
     assert files > 8 and files > n // 2
+
+
+def test_nested_records_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
+    models, edges, views = _filed(spark, str(tmp_path))
+    monkeypatch.setattr(keyed, "BYTES_PER_TASK", 1000)
+    lf = lineage.model_edges(models, edges, views)
+    nested = lineage.nested_export(lf, 4)
+    assert keyed.task_count(lf) in _dealt(nested, "model_id", "part")
+    assert nested.select("model_id", "part").distinct().count() == nested.count() == 5 * 4 + 2
+    assert nested.agg(F.sum(F.size("dependencies"))).first()[0] == edges.distinct().count()
