@@ -52,19 +52,25 @@ def map_views_to_spaces(edges: DataFrame, views: DataFrame) -> DataFrame:
     return packed_join(edges, first_space_per_view(views), ["view_id"], ["view_id"], "left", null_safe=True)
 
 
+MODEL_PARTS = 8  # a view's models are compared in so many parts first
+
+
 def first_model_per_view(edges: DataFrame, models: DataFrame) -> DataFrame:
     """Keep a view only in the first model (catalogue order) that holds it.
 
     Returns the kept edges: model_id, view_id, view_name.  Equivalent to the
     original "drop the view if an earlier model already holds it" loop, but
-    one partial aggregate instead of a scan over all earlier models."""
+    two aggregates instead of a scan over all earlier models: the first of each
+    part of a view's models, then the first of these."""
     return _first_model_per_view(edges, unique_models(models).select("model_id", "position"))
 
 
 def _first_model_per_view(edges: DataFrame, positions: DataFrame) -> DataFrame:
     ordered = packed_join(edges, positions.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner")
-    return first_per_key(ordered, ["view_id"], ["position", "model_id"], ["model_id", "view_name"]) \
-        .select("model_id", "view_id", "view_name")
+    ordered = ordered.withColumn("_part", F.pmod(F.xxhash64("model_id"), F.lit(MODEL_PARTS)))
+    order, values = ["position", "model_id"], ["position", "model_id", "view_name"]
+    firsts = first_per_key(spread(ordered, "view_id", "_part"), ["view_id", "_part"], order, values)
+    return first_per_key(spread(firsts, "view_id"), ["view_id"], order, values).select("model_id", "view_id", "view_name")
 
 
 def model_edges(models: DataFrame, edges: DataFrame, views: DataFrame,

@@ -212,3 +212,13 @@ def test_nested_records_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
     assert keyed.task_count(lf) in _dealt(nested, "model_id", "part")
     assert nested.select("model_id", "part").distinct().count() == nested.count() == 5 * 4 + 2
     assert nested.agg(F.sum(F.size("dependencies"))).first()[0] == edges.distinct().count()
+
+
+def test_first_models_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
+    models, edges, views = _filed(spark, str(tmp_path))
+    edges = edges.unionByName(edges.withColumn("model_id", F.col("model_id") + 1))  # two models for each view
+    monkeypatch.setattr(keyed, "BYTES_PER_TASK", 1000)
+    firsts = lineage.first_model_per_view(edges, models)
+    assert _dealt(firsts, "view_id", "_part") and _dealt(firsts, "view_id")
+    assert {(r["view_id"], r["model_id"]) for r in firsts.collect()} == {(v, v % 5) for v in range(400)}
+    assert firsts.count() == 400
