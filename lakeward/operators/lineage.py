@@ -176,6 +176,6 @@ def requested_model_edges(requests: DataFrame, models: DataFrame, edges: DataFra
     resolved = resolve_models(requests, models).select("model_id", F.col("name").alias("model_name"))
     # Distinct edges make the result unique per (model, view): resolved
     # models are unique per id and J1 gives one space per view.
-    e = packed_join(edges.select("model_id", "view_id", "view_name").distinct(),
+    e = packed_join(spread(edges.select("model_id", "view_id", "view_name"), "model_id", "view_id").distinct(),
                     resolved.withColumnRenamed("model_id", "_m"), ["model_id"], ["_m"], "inner")
     return map_views_to_spaces(e, views).select("model_id", "model_name", "view_id", "view_name", "view_space")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeward.functions.keyed import last_per_key, null_safe_join, packed_join
+from lakeward.functions.keyed import last_per_key, null_safe_join, packed_join, spread
 from lakeward.functions.scalars import NO_PARTITIONS, outcome_flag, runtime_rule
 from lakeward.operators.lineage import requested_model_edges
 
@@ -185,6 +185,6 @@ def runtime_report_nested(report: DataFrame, parts: int = 1) -> DataFrame:
     entry = F.struct(F.col("view_id").cast("string").alias("key"),
                      F.struct(F.col("view_space").alias("space"), F.col("view_name").alias("name"),
                               "runtime", "alreadyPersisted", "removedPersistence").alias("value"))
-    return keyed.groupBy("model_id", "model_name", "part").agg(
+    return spread(keyed, "model_id", "part").groupBy("model_id", "model_name", "part").agg(
         F.map_from_entries(F.collect_list(entry)).alias("dependencies")
     ).select("model_id", F.col("model_name").alias("name"), "part", "dependencies")

@@ -222,3 +222,12 @@ def test_first_models_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
     assert _dealt(firsts, "view_id", "_part") and _dealt(firsts, "view_id")
     assert {(r["view_id"], r["model_id"]) for r in firsts.collect()} == {(v, v % 5) for v in range(400)}
     assert firsts.count() == 400
+
+
+def test_requested_edges_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
+    models, edges, views = _filed(spark, str(tmp_path))
+    requests = models.selectExpr("name AS modelname", "space_name AS space").filter("modelname < 'm3'")
+    monkeypatch.setattr(keyed, "BYTES_PER_TASK", 1000)
+    work = lineage.requested_model_edges(requests, models, edges, views)
+    assert keyed.task_count(edges) in _dealt(work, "model_id", "view_id")
+    assert work.count() == work.distinct().count() == edges.distinct().filter("model_id < 3").count()
