@@ -26,6 +26,8 @@ from lakeward.llm.components import connected_components
 from lakeward.llm.union import Union
 
 PER_GROUP = 4  # shingles per coordinate of a point, at most
+LEAST_GROUPS = 256  # coordinates of a point, at least: with few, small sets that share little reach the threshold
+COARSE = 64  # coordinates on which blocks of pairs are compared before their points
 LEAF, FAN = 64, 8
 HUGE = 1 << 20  # stands for a count that one byte cannot hold
 CHUNK = 1024  # entries of one key, or members of one class, joined in one task
@@ -63,7 +65,7 @@ def sketch_size(percent: int) -> int:
 def groups_for(n):
     """Coordinates of a point for sets of n: a power of two, so that a finer
     point folds into a coarser one.  Sets that link differ little in size, so their points are seldom folded."""
-    return 1 << np.maximum(4, np.ceil(np.log2(np.maximum(np.asarray(n), 1) / PER_GROUP))).astype(np.int64)
+    return np.maximum(LEAST_GROUPS, 1 << np.maximum(0, np.ceil(np.log2(np.maximum(np.asarray(n), 1) / PER_GROUP))).astype(np.int64))
 
 
 def point(s: np.ndarray, groups: int) -> np.ndarray:
@@ -74,13 +76,36 @@ def fold(p: np.ndarray, groups: int) -> np.ndarray:
     return p.reshape(-1, groups).sum(axis=0)
 
 
+def common_bound(points: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Most members that sets ``x`` and ``y`` can share, pair by pair."""
+    out, step = np.empty(len(x), np.int64), max(1, (1 << 20) // points.shape[1])
+    for k in range(0, len(x), step):
+        out[k:k + step] = np.minimum(points[x[k:k + step]], points[y[k:k + step]]).sum(axis=1)
+    return out
+
+
+_LANES, _ADD = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+
+
+def block_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed minima of every row of ``a`` with every row of ``b``; COARSE
+    counts of one byte each are added eight at a time."""
+    low = np.minimum(a[:, None], b[None])
+    if low.dtype != np.uint8:
+        return low.sum(axis=2)
+    low = low.view(np.uint64)
+    return (((low & _LANES) + ((low >> np.uint64(8)) & _LANES)).sum(axis=2) * _ADD >> np.uint64(48)).astype(np.int64)
+
+
 class PointTree:
-    """Packed R-tree over count points, in the order of set size."""
+    """Packed R-tree over count points folded to COARSE coordinates, in the
+    order of set size; the points themselves bound the pairs it leaves."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
         self.percent = percent
-        self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        coarse = points.reshape(len(points), -1, COARSE).sum(axis=1)
+        self.order = np.lexsort((coarse[:, 1], coarse[:, 0], sizes))
+        self.fine, self.points, self.sizes = points, coarse[self.order], sizes[self.order]
         n, self.levels = len(sizes), []
         starts = np.arange(0, n, LEAF)
         top, low = np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts)
@@ -89,6 +114,8 @@ class PointTree:
             starts = np.arange(0, len(top), FAN)
             top, low = np.maximum.reduceat(top, starts), np.minimum.reduceat(low, starts)
             self.levels.append((top, low))
+        if self.points.max(initial=0) < 256:
+            self.points = self.points.astype(np.uint8)
 
     def reaches(self, common: np.ndarray, both: np.ndarray) -> np.ndarray:
         return (100 + self.percent) * common >= self.percent * both
@@ -110,15 +137,17 @@ class PointTree:
                         stack.append((level - 1, x, y))
                 continue
             i, j = np.arange(a * LEAF, min((a + 1) * LEAF, n)), np.arange(b * LEAF, min((b + 1) * LEAF, n))
-            if skip(self.order[i if a == b else np.concatenate((i, j))]):
-                continue
-            bound = np.minimum(self.points[i][:, None], self.points[j][None]).sum(axis=2)
-            ok = self.reaches(bound, self.sizes[i][:, None] + self.sizes[j][None])
+            ok = self.reaches(block_bound(self.points[i], self.points[j]), self.sizes[i][:, None] + self.sizes[j][None])
             if a == b:
                 ok = np.triu(ok, 1)
             x, y = np.nonzero(ok)
+            if not len(x) or skip(self.order[i if a == b else np.concatenate((i, j))]):
+                continue
+            x, y = i[x], j[y]
+            near = self.reaches(common_bound(self.fine, self.order[x], self.order[y]), self.sizes[x] + self.sizes[y])
+            x, y = x[near], y[near]
             if len(x):
-                visit(self.order[i[x]], self.order[j[y]])
+                visit(self.order[x], self.order[y])
 
 
 # --- candidate classes ----------------------------------------------------------
@@ -192,12 +221,9 @@ def _candidate_forest(percent: int):
             place = np.full(len(docs), -1)
             place[members] = np.arange(len(members))
             mine = pairs[coarser == groups]
-            step = max(1, (1 << 22) // groups)
-            for k in range(0, len(mine), step):
-                x, y = mine[k:k + step].T
-                bound = np.minimum(points[place[x]], points[place[y]]).sum(axis=1)
-                ok = (100 + percent) * bound >= percent * (sizes[x] + sizes[y])
-                link(x[ok], y[ok])
+            x, y = mine.T
+            ok = (100 + percent) * common_bound(points, place[x], place[y]) >= percent * (sizes[x] + sizes[y])
+            link(x[ok], y[ok])
             for s, length in zip(starts[lengths > 32], lengths[lengths > 32]):
                 here = np.unique(m[s:s + length])
                 here = here[place[here] >= 0]

@@ -154,3 +154,26 @@ def test_rows_of_a_hot_key_follow_the_documents_when_sizes_differ(spark, monkeyp
 
     few, many = tasks(160), tasks(640)
     assert many <= 4.5 * few and few <= 160 * 6
+
+
+def test_sets_that_share_a_passage_only_are_no_candidates(spark):
+    rng = random.Random(21)
+    common, docs = " ".join(f"c{k}" for k in range(16)), []
+    for i in range(600):  # a quarter of each text is common to all
+        docs.append((i, f"{common} {' '.join(f'u{rng.randrange(10**9)}' for _ in range(rng.randint(40, 60)))}"))
+    docs += [(600 + i, docs[i][1]) for i in range(20)] + [(700 + i, docs[i][1] + " end") for i in range(20)]
+    sig = nj.signatures(frame(spark, docs), "doc_id", "text", 5, 75)
+    classes = sig.selectExpr("doc as rep", "n", "keys", "point").filter("rep < 600 or rep >= 700")
+    got = {r.node for r in nj.candidate_classes(classes, 75).collect()}
+    assert {*range(20), *range(700, 720)} <= got and len(got) <= 60
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_duplicates(frame(spark, docs)).collect()} == near_truth(docs)
+
+
+def test_block_bound_adds_all_minima():
+    rng = np.random.default_rng(3)
+    for most in (4, 256, 1000):
+        a, b = (rng.integers(0, most, (k, nj.COARSE)) for k in (9, 5))
+        a[0], b[0] = most - 1, most - 1
+        want = np.minimum(a[:, None], b[None]).sum(axis=2)
+        kind = np.uint8 if most <= 256 else np.int32
+        assert (nj.block_bound(a.astype(kind), b.astype(kind)) == want).all()
