@@ -259,6 +259,43 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embedding_intervals_are_joined_where_they_lie(spark, monkeypatch):
+    from lakeward.llm import embedding_dedup as em
+    monkeypatch.setattr(em, "ROWS_PER_INTERVAL", 20)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 12)).astype(np.float32)
+    x[200:] = x[:100] + rng.normal(size=(100, 12)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    _, classes = em.distinct_vectors(df, "vec_id", "embedding")
+    joined = em._join_classes(spark, classes, 12, 0.9, np.dtype("<f4"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # nothing is shuffled per pair of intervals
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    links = [(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.9]
+    comp = closure(range(300), links)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(df).collect()}
+    assert len(links) > 50 and got == {i: (sum(i in e for e in links), comp[i]) for i in range(300)}
+
+
+def test_leading_coordinates_rule_out_no_link(monkeypatch):
+    from lakeward.llm import embedding_dedup as em
+    monkeypatch.setattr(em, "SMALL", 24)
+    monkeypatch.setattr(em, "SURE_PAIRS", 7)
+    rng = np.random.default_rng(4)
+    for dim, decay in ((64, 1.0), (64, 0.8), (200, 1.0), (3, 1.0), (1, 1.0)):
+        x = em._unit(rng.normal(size=(150, dim)) * decay ** np.arange(dim))
+        x = np.concatenate([x, em._unit(x[:100] + rng.normal(size=(100, dim)) * 0.4 / np.sqrt(dim)), x[:9]])
+        energy, axes = (a[..., ::-1] for a in np.linalg.eigh(x.T @ x / len(x)))
+        width = em.filter_width(energy, 0.9)
+        assert min(dim, em.LEAD) <= width <= dim
+        y = x[40:]
+        for same, z in ((True, x), (False, y)):
+            want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x @ z.T >= 0.9))) if not same or i < j}
+            near = {(i, j) for i, j in want if abs(x[i] @ z[j] - 0.9) < 1e-12}
+            got = [p for i, j in em.join_sequences(x, z, np.ascontiguousarray(axes[:, :width]), 0.9, same) for p in zip(i.tolist(), j.tolist())]
+            assert len(got) == len(set(got)) and set(got) ^ want <= near, (dim, decay, same)
+
+
 # --- mixing ------------------------------------------------------------------------
 
 def fill(sizes, weights=(1, 2, 3), epochs=3):
