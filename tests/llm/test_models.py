@@ -266,15 +266,19 @@ def test_embedding_intervals_are_joined_where_they_lie(spark, monkeypatch):
     x = rng.normal(size=(300, 12)).astype(np.float32)
     x[200:] = x[:100] + rng.normal(size=(100, 12)) * 0.1
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    _, classes = em.distinct_vectors(df, "vec_id", "embedding")
-    joined = em._join_classes(spark, classes, 12, 0.9, np.dtype("<f4"))
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" in plan and "Exchange" not in plan  # nothing is shuffled per pair of intervals
+    plans, written = {}, em.checkpointed
+
+    def noted(table):
+        plans[tuple(table.columns)] = table._jdf.queryExecution().executedPlan().toString()
+        return written(table)
+
+    monkeypatch.setattr(em, "checkpointed", noted)
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     links = [(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.9]
     comp = closure(range(300), links)
     got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(df).collect()}
     assert len(links) > 50 and got == {i: (sum(i in e for e in links), comp[i]) for i in range(300)}
+    assert "Exchange" not in plans["rep", "root", "n"]  # nothing is shuffled per pair of intervals
 
 
 def test_leading_coordinates_rule_out_no_link(monkeypatch):
